@@ -150,7 +150,7 @@ def _side(sig: DataFrame, side: str) -> DataFrame:
 def confirm(scratch: Scratch, docs: DataFrame, pairs: DataFrame, size: int, threshold_pct: int, name: str) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) whose full sets have 100 * intersection >= threshold_pct * union."""
     pairs = scratch.save(pairs, f"{name}-pairs")
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    need = scratch.save_ids(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))), f"{name}-need")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +174,7 @@ def confirm(scratch: Scratch, docs: DataFrame, pairs: DataFrame, size: int, thre
 
     joined = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s_a")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("s_b")), "b")
     links = scratch.save(joined.select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long"), f"{name}-links")
-    scratch.drop(f"{name}-sets", f"{name}-pairs")
+    scratch.drop(f"{name}-sets", f"{name}-pairs", f"{name}-need")
     return links
 
 

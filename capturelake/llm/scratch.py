@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -55,6 +56,18 @@ class Scratch:
             self.spark.conf.set(_CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
+    def save_ids(self, ids: DataFrame, name: str) -> DataFrame:
+        """Writes distinct ids (one long column) so that a join with them filters the other side by a Bloom filter first.
+
+        Spark builds that filter only from a side with a predicate, hence the one that always holds; the filter's size
+        is bounded by spark.sql.optimizer.runtime.bloomFilter.maxNumBits, and the join itself stays exact.
+        """
+        rule = "spark.sql.optimizer.runtime.bloomFilter"
+        self.spark.conf.set(f"{rule}.applicationSideScanSizeThreshold", "0")
+        self.spark.conf.set(f"{rule}.creationSideThreshold", "1GB")
+        column = ids.columns[0]
+        return self.save(ids.distinct(), name).where(F.col(column) > -(1 << 63))
+
     def drop(self, *names: str) -> None:
         for name in names:
             path, fs = self._hadoop(f"{self.folder}/{name}")
