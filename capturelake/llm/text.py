@@ -80,6 +80,19 @@ def find_words(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = SPACE
     return Words(buf, start, np.flatnonzero(ends) + 1, np.searchsorted(start, offsets), offsets)
 
 
+def find_runs(buf: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> Words:
+    """Maximal runs of bytes of one class other than 0 that do not cross a document's border."""
+    kind = classes[buf]
+    turn = np.ones(len(buf) + 1, dtype=bool)
+    turn[1:-1] = kind[1:] != kind[:-1]
+    turn[offsets] = True
+    place = np.flatnonzero(turn[:-1])
+    end = np.append(place[1:], len(buf))
+    full = kind[place] > 0
+    start = place[full]
+    return Words(buf, start, end[full], np.searchsorted(start, offsets), offsets)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(32))
