@@ -28,6 +28,20 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, threshold_pct=80)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, held_out
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = fit(docs, _table(spark, sf_dir, "labels")).score(docs, "doc_id")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    return judge(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import remove_repeats
 
@@ -47,6 +61,30 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import reply_order
+
+    return reply_order(_table(spark, sf_dir, "conversations"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if re.match(r"op\d+_", name)}
 
