@@ -3,7 +3,8 @@
 1. ``word_vectors``: every word has a fixed sparse ternary index vector; a word's vector is the sum of the index vectors of
    the words up to ``REACH`` places away, over all documents.  Words are hashed to ``ROWS`` rows, so what a task holds and
    what the driver gathers has one size whatever the corpus.
-2. ``Pooler``: a document is the mean of its words' vectors, the mean of their squares, and a constant.
+2. ``Pooler``: a document is the mean of its words' vectors, the mean of their squares, the shares of words that repeat
+   the word before and of distinct words, and a constant.
 3. ``Network``: two layers of numpy weights, trained on at most ``TRAIN_ROWS`` labelled documents (those with the smallest
    hash of doc_id), with a temperature fitted on a fifth of them that the weights have not seen.
 
@@ -93,11 +94,15 @@ class Pooler:
         return cls(np.hstack([unit, unit**2]).astype(np.float32))
 
     def __call__(self, row: np.ndarray, first: np.ndarray) -> np.ndarray:
-        n, out = np.diff(first), np.zeros((len(first) - 1, self.vectors.shape[1] + 1), dtype=np.float32)
+        n, width = np.diff(first), self.vectors.shape[1]
+        out = np.zeros((len(n), width + 3), dtype=np.float32)
         for d in np.flatnonzero(n).tolist():
             # a document's words, counted: long documents repeat their words
-            own, times = np.unique(row[first[d] : first[d + 1]], return_counts=True)
-            out[d, :-1] = times.astype(np.float32) @ self.vectors[own]
+            all_of = row[first[d] : first[d + 1]]
+            own, times = np.unique(all_of, return_counts=True)
+            out[d, :width] = times.astype(np.float32) @ self.vectors[own]
+            out[d, width] = np.count_nonzero(all_of[1:] == all_of[:-1])
+            out[d, width + 1] = len(own)
         out[:, :-1] /= np.maximum(n, 1)[:, None]
         out[:, -1] = n > 0
         return out
@@ -200,5 +205,5 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows:
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     rows = chosen.mapInArrow(run, "doc_id long, x binary, y double").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    x = np.frombuffer(b"".join(rows["x"]), dtype=np.float32).reshape(len(rows), -1) if len(rows) else np.zeros((0, 2 * WIDTH + 1), np.float32)
+    x = np.frombuffer(b"".join(rows["x"]), dtype=np.float32).reshape(len(rows), -1) if len(rows) else np.zeros((0, 2 * WIDTH + 3), np.float32)
     return QualityModel(pooler, Network.fit(x.astype(np.float64), rows["y"].to_numpy(dtype=np.float64)))
