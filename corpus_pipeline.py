@@ -5,20 +5,57 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from capturelake.llm.minhash import near_duplicates
+from capturelake.llm.packing import pack_documents
+from capturelake.llm.quality import fit
+from capturelake.llm.queries import vocabulary
+from capturelake.llm.scratch import Scratch
+from capturelake.llm.substring import remove_repeats
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier gives label 1; vectors and weights come from the stage's own input."""
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return model.score(docs, *docs.columns).where("score >= 0.5").select(*docs.columns)
+
+
+def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 and more."""
+    scratch = Scratch(spark, "pipeline-minhash")
+    judged = near_duplicates(docs, shingle=5, threshold_pct=80)
+    gone = scratch.save(judged.where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+
+
+def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 13 words and more that an earlier document has; texts without any stay as they are."""
+    found = remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("text").alias("_kept"))
+    out = docs.join(found.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("text", F.coalesce("_kept", "text"))
+    return out.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids in sequences of 2048."""
+    return pack_documents(docs, vocabulary("byte_bpe_50k.json"), digest=True)
+
+
+STAGES: list[tuple[str, Stage]] = [("quality", quality), ("minhash", minhash), ("substring", substring), ("packing", packing)]
 
 #: SQL cannot express the stages (a trained network, MinHash buckets, a tokenizer); tests hold them against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from capturelake.llm.scratch import Scratch
-
+    """Rows of the last stage over ``documents`` of ``sf_dir``."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if k:
+            scratch.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
