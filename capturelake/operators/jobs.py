@@ -24,7 +24,7 @@ def _given(pages: DataFrame) -> DataFrame:
     return pages.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in kinds.items() if name not in pages.columns))
 
 
-def summary(pages: DataFrame, *by: str) -> DataFrame:
+def summary(pages: DataFrame, *by: str, digits: int = 4) -> DataFrame:
     """The figures of a data card over page records, for all or for each value of ``by``."""
     rows = _given(pages)
     ok, site = succeeded(), netloc(F.col("url"))
@@ -37,7 +37,7 @@ def summary(pages: DataFrame, *by: str) -> DataFrame:
         F.coalesce(F.sum(F.coalesce("markdown_chars", F.lit(0))), F.lit(0)).cast("bigint").alias("total_markdown_chars"),
         F.round(F.min(ratio), 4).alias("retention_min"),
         F.round(F.max(ratio), 4).alias("retention_max"),
-        F.round(F.avg(ratio), 4).alias("retention_avg"),
+        F.round(F.avg(ratio), digits).alias("retention_avg"),
         F.sort_array(F.collect_set(F.when(F.col("license") != "", F.col("license")))).alias("licenses_seen"),
         F.count_distinct(F.when(F.size(F.coalesce("ai_txt", F.create_map().cast("map<string,string>"))) > 0, site)).alias("ai_txt_hosts"),
         F.count_distinct(F.when(F.col("llms_txt"), site)).alias("llms_txt_hosts"),

@@ -453,7 +453,7 @@ def data_card(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def data_card_by_host(spark: SparkSession, folder: str) -> DataFrame:
     rows = _page_rows(spark, folder).withColumn("host", urls.host(F.col("url")))
-    return _flat(jobs.summary(rows, "host"))
+    return _flat(jobs.summary(rows, "host", digits=6))
 
 
 @query

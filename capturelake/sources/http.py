@@ -165,8 +165,8 @@ def capture(urls: DataFrame, settings: Fetching = Fetching()) -> DataFrame:
                     row = fetcher.fetch(url, dict(extra) if extra else None)
                 except Exception as e:  # a page that fails must not end the job
                     row = {"url": url, "final_url": url, "error": str(e), "error_kind": type(e).__name__}
-                rows.append(row | {"latency_ms": 1000 * (time.monotonic() - began)})
-            yield pd.DataFrame(rows, columns=names)
+                rows.append(dict.fromkeys(names) | row | {"latency_ms": 1000 * (time.monotonic() - began)})
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     headers = F.col("request_headers") if "request_headers" in urls.columns else F.create_map().cast("map<string,string>")
     asked = urls.select("url", headers.alias("request_headers"), host(F.col("url")).alias("_host"))
