@@ -28,7 +28,6 @@ from .scratch import Scratch
 RARE = 6
 LEAST = 0.6
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Every base phrase and every key phrase holds one of these.
 CUE = r"(?i)licen[sc]e|copying|copyright|redistribution|public domain"
 
@@ -72,6 +71,13 @@ def split_words(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, SEPARATOR), lambda w: w != ""), lambda w: F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(w))
 
 
+def word_count(text: Column) -> Column:
+    """The number of words; splitting at separators is several times as fast as matching every word."""
+    parts = F.split(F.coalesce(text, F.lit("")), SEPARATOR)
+    empty = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0) + F.when((F.size(parts) > 1) & (F.get(parts, F.size(parts) - 1) == ""), 1).otherwise(0)
+    return (F.size(parts) - empty).cast("long")
+
+
 def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """(word, df) over all of ``docs`` (text); words that are in no document have no row."""
     known = F.array_distinct(F.transform(F.filter(F.split("text", SEPARATOR), lambda w: F.lower(w).isin(vocabulary) & (F.octet_length(w) == F.length(w))), lambda w: F.lower(w)))
@@ -158,7 +164,7 @@ def scan(docs: DataFrame) -> DataFrame:
     none = F.lit(None).cast("long")
     rest = plain.where(~cued).select(
         "doc_id",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
+        word_count(F.col("text")).alias("n_words"),
         F.lit(0).cast("long").alias("n_base"),
         none.alias("first_word"),
         none.alias("last_word"),
