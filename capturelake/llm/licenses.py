@@ -159,7 +159,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_max(places_of).cast("long").alias("last_word"),
         F.array_join(F.sort_array(base_labels), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.array_union(base_labels, F.coalesce("found", F.array().cast("array<string>")))), ",").alias("labels"),
-        F.greatest(F.coalesce("share", F.lit(0.0)), F.when(F.size("base") > 0, 0.5).otherwise(0.0)).alias("score"),
+        F.round(F.greatest(F.coalesce("share", F.lit(0.0)), F.when(F.size("base") > 0, 0.5).otherwise(0.0)), 6).alias("score"),
     )
     none = F.lit(None).cast("long")
     rest = plain.where(~cued).select(

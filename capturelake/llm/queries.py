@@ -90,4 +90,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracle import ORACLE
+
+    return dict(ORACLE)
