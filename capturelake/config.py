@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import datetime as dt
 import os
 import re
 from dataclasses import dataclass, field, fields, is_dataclass, replace
@@ -21,20 +22,22 @@ class Auth:
     """How to log in; ``type`` is bearer, basic or header."""
 
     type: str = ""
-    token: str = ""
     username: str = ""
-    password: str = ""
+    token: str = ""
     header_name: str = ""
+    password: str = ""
     header_value: str = ""
 
-    def headers(self) -> dict[str, str]:
-        if self.type == "bearer" and self.token:
-            return {"Authorization": f"Bearer {self.token}"}
-        if self.type == "basic" and self.username:
-            return {"Authorization": "Basic " + base64.b64encode(f"{self.username}:{self.password}".encode()).decode()}
-        if self.type == "header" and self.header_name:
-            return {self.header_name: self.header_value}
-        return {}
+    def headers(self):  # noqa: ANN201
+        """The login as request headers; without what it needs, none."""
+        login = ":".join((self.username, self.password)).encode()
+        ways = {
+            "header": (self.header_name, self.header_name, self.header_value),
+            "basic": (self.username, "Authorization", f"Basic {base64.b64encode(login).decode()}"),
+            "bearer": (self.token, "Authorization", f"Bearer {self.token}"),
+        }
+        needed, name, value = ways.get(self.type, ("", "", ""))
+        return {name: value} if needed else {}
 
 
 @dataclass(frozen=True)
@@ -47,30 +50,31 @@ class Fetching:
     block_private_networks: bool = True
     max_body_bytes: int = 50 << 20
     max_redirects: int = 10
-    headers: dict[str, str] = field(default_factory=dict)
     auth: Auth = Auth()
+    headers: dict[str, str] = field(default_factory=dict)
 
-    def request_headers(self) -> dict[str, str]:
+    def request_headers(self):  # noqa: ANN201
         """Custom headers, and those of the login over them."""
         return self.headers | self.auth.headers()
 
-    def effective_headers(self) -> dict[str, str]:
-        return {"User-Agent": self.user_agent, "Accept": "text/html,application/xhtml+xml,*/*;q=0.8", "Accept-Language": "en"} | self.request_headers()
+    def effective_headers(self):  # noqa: ANN201
+        usual = {"Accept-Language": "en", "Accept": "text/html,*/*;q=0.5", "User-Agent": self.user_agent}
+        return usual | self.request_headers()
 
 
 @dataclass(frozen=True)
 class Crawling:
-    max_depth: int = 10
-    max_pages: int = 500
     concurrent_requests: int = 5
+    max_pages: int = 500
+    max_depth: int = 10
 
 
 @dataclass(frozen=True)
 class Output:
     directory: str = "./"
-    overwrite: bool = False
     extension: str = ".md"
     frontmatter: bool = True
+    overwrite: bool = False
     warc: bool = False
     chunk: bool = False
 
@@ -103,6 +107,16 @@ class Settings:
     plugins: list[str] = field(default_factory=list)
 
 
+def utc_text(moment: dt.datetime) -> str:
+    """A moment in UTC to the second, or to its microseconds if it has any."""
+    text = moment.astimezone(dt.timezone.utc).isoformat(timespec="microseconds" if moment.microsecond else "seconds")
+    return text.replace("+00:00", "Z")
+
+
+def utc_now() -> str:
+    return utc_text(dt.datetime.now(dt.timezone.utc).replace(microsecond=0))
+
+
 def expand(value: Any) -> Any:
     """``${NAME}`` in all strings replaced by the environment's value, or nothing."""
     if isinstance(value, str):

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .urls import netloc, origin, path, scheme
 
-_DENY = ["deny", "disallow", "no", "opt-out", "optout", "forbidden", "prohibited", "false", "never"]
-_ALLOW = ["allow", "yes", "opt-in", "optin", "permitted", "true", "always"]
+_DENY = "never no false deny disallow opt-out optout forbidden prohibited".split()
+_ALLOW = "always yes true allow permitted opt-in optin".split()
 MAX_CRAWL_DELAY_S = 60
 
 
@@ -30,13 +30,13 @@ def summary(directives: Column) -> Column:
 
 def directives_of(text: str, user_agent: str) -> dict[str, str]:
     """The group of an ai.txt that a user agent belongs to: the longest name that is a token prefix of it, else ``*``."""
-    groups: dict[str, dict[str, str]] = {"*": {}}
-    group = groups["*"]
+    group: dict[str, str] = {}
+    groups = {"*": group}
     for line in map(str.strip, text.splitlines()):
         if not line or line[0] == "#":
             continue
         key, colon, value = line.partition(":")
-        if line.lower().startswith("user-agent:"):
+        if colon and key.lower() == "user-agent":
             group = groups.setdefault(value.strip().lower() or "*", {})
         elif colon and (value := value.split("#", 1)[0].strip()):
             group[key.strip().lower()] = value
@@ -81,7 +81,7 @@ def with_consent(pages: DataFrame, files: DataFrame, user_agent: str, url: str =
 
 def crawl_delay(robots: Column) -> Column:
     """Seconds of the first Crawl-delay line of a file, whatever its group."""
-    return F.regexp_extract(robots, r"(?im)^\s*crawl-delay\s*:\s*(\d+(?:\.\d+)?)", 1).try_cast("double")
+    return F.regexp_extract(robots, r"(?im)^[\s]*crawl-delay[\s]*:[\s]*([0-9]+(?:[.][0-9]+)?)", 1).try_cast("double")
 
 
 def delay_ms(rate_limit_ms: Column, crawl_delay_s: Column) -> Column:
@@ -116,3 +116,11 @@ def robots_allowed(pages: DataFrame, robots: DataFrame, user_agent: str, url: st
     files = robots.where(F.col("status_code") == 200).groupBy(origin(F.col("url")).alias("_origin")).agg(F.min("body").alias("_robots"))
     joined = pages.withColumn("_origin", origin(F.col(url))).join(files, "_origin", "left")
     return joined.withColumn("robots_allowed", allowed(F.col(url), F.col("_robots"))).drop("_origin", "_robots")
+
+
+def robots_allow_chain(captures: DataFrame, robots: DataFrame, user_agent: str, chain: str = "redirect_chain") -> DataFrame:
+    """``captures`` (url, redirect_chain) with robots_allowed: whether every hop is; a capture without hops is allowed."""
+    hops = captures.select(F.explode(chain).alias("_hop")).distinct()
+    denied = robots_allowed(hops, robots, user_agent, "_hop").where(~F.col("robots_allowed")).select("_hop")
+    bad = captures.select("url", F.explode(chain).alias("_hop")).join(denied, "_hop", "left_semi").select("url").distinct()
+    return captures.join(bad.withColumn("_bad", F.lit(True)), "url", "left").withColumn("robots_allowed", F.col("_bad").isNull()).drop("_bad")

@@ -13,15 +13,21 @@ from pyspark.sql import functions as F
 
 from .urls import path as path_of
 
+def _deny(rule: str, why: str, **terms: object) -> dict:
+    return {"reason": why, "name": rule, "deny_if": terms}
+
+
+_RESERVED = "All Rights Reserved"
+_OPTED_OUT = [
+    _deny("no-training-denied", "site prohibits AI training", ai_txt=dict(training="Deny")),
+    _deny("no-data-denied", "site prohibits use of its content as data", ai_txt=dict(data="Deny")),
+    _deny("no-disallow", "site disallows scraping", ai_txt=dict(disallow=True)),
+    _deny("no-proprietary", "proprietary content", license=[_RESERVED]),
+]
 PROFILES: dict[str, list[dict]] = {
+    "open-only": [_deny("open-licenses-only", "license is not permissive/open", license=[_RESERVED, *"proprietary by-nc by-nd".split()])],
+    "strict-optout": _OPTED_OUT,
     "default": [],
-    "strict-optout": [
-        {"name": "no-training-denied", "reason": "site prohibits AI training", "deny_if": {"ai_txt": {"training": "Deny"}}},
-        {"name": "no-data-denied", "reason": "site prohibits use of its content as data", "deny_if": {"ai_txt": {"data": "Deny"}}},
-        {"name": "no-disallow", "reason": "site disallows scraping", "deny_if": {"ai_txt": {"disallow": True}}},
-        {"name": "no-proprietary", "reason": "proprietary content", "deny_if": {"license": ["All Rights Reserved"]}},
-    ],
-    "open-only": [{"name": "open-licenses-only", "reason": "license is not permissive/open", "deny_if": {"license": ["All Rights Reserved", "proprietary", "by-nc", "by-nd"]}}],
 }
 
 
@@ -30,7 +36,7 @@ def profile(name: str) -> list[dict]:
     try:
         return copy.deepcopy(PROFILES[name])
     except KeyError:
-        raise ValueError(f"unknown profile: {name!r} (available: {', '.join(PROFILES)})") from None
+        raise ValueError(f"no profile {name!r}; there are {sorted(PROFILES)}") from None
 
 
 def _several(value: object) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CJK = r"[\u4e00-\u9fff\u3400-\u4dbf\u3040-\u30ff\uac00-\ud7af\uf900-\ufaff]"
+CJK = r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff]"
 LOW_CONTENT_CHARS = 150
 
 
@@ -18,7 +18,7 @@ def token_estimate(text: Column) -> Column:
 
 def visible_text(markdown: Column) -> Column:
     """What a reader of Markdown sees, white space collapsed."""
-    steps = [("(?s)```.*?```", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^#{1,6}(?U:\s*)", ""), ("[*_`>~]", ""), (r"\|", " "), (r"(?U)\s+", " ")]
+    steps = [("(?s)```.*?```", " "), (r"!\[[^\]]*[\]][(][^)]*[)]", " "), (r"[\[]([^\]]*)[\]][(][^)]*[)]", "$1"), (r"(?m)^#{1,6}(?U:\s*)", ""), ("[*_`>~]", ""), (r"\|", " "), (r"(?U)\s+", " ")]
     for pattern, to in steps:
         markdown = F.regexp_replace(markdown, pattern, to)
     return F.trim(markdown)
@@ -26,7 +26,7 @@ def visible_text(markdown: Column) -> Column:
 
 def tidy(markdown: Column) -> Column:
     """At most one blank line, no white space at line ends, one line end at the end of what is not empty."""
-    slim = F.regexp_replace(F.regexp_replace(markdown, r"\n{3,}", "\n\n"), r"(?U)[^\S\n]+(?=\n|\z)", "")
+    slim = F.regexp_replace(F.regexp_replace(markdown, "\n\n\n+", "\n\n"), r"(?U)[^\S\n]+(?=\n|\z)", "")
     bare = F.regexp_replace(slim, r"(?U)^\s+|\s+\z", "")
     return F.when(bare == "", bare).otherwise(F.concat(bare, F.lit("\n")))
 

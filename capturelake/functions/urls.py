@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .hashing import short_hash
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
-_UNSAFE = r"""[\\/:*?"<>|\x00-\x1f]"""
+_UNSAFE = r"""[\x00-\x1f"*/:<>?\\|]"""
 
 
 def _part(url: Column, n: int) -> Column:
@@ -85,3 +85,8 @@ def collection_name(url: Column) -> Column:
     trimmed = F.regexp_replace(path(url), "^/+|/+$", "")
     full = F.when(trimmed != "", F.concat(netloc(url), F.lit("/"), trimmed)).otherwise(netloc(url))
     return F.regexp_replace(F.regexp_replace(F.lower(full), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def scoped_headers(headers: Column, asked: Column, hop: Column, public: tuple[str, ...] = ("User-Agent", "Accept", "Accept-Language")) -> Column:
+    """Headers for a hop of a redirect: all of them at the origin that was asked, else those that tell nothing."""
+    return F.when(same_origin(asked, hop), headers).otherwise(F.map_filter(headers, lambda k, v: k.isin(*public)))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 VOID = frozenset("area base basefont br col embed frame hr img input isindex keygen link meta param source track wbr".split())
-HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+HEADINGS = tuple(f"h{level}" for level in range(1, 7))
 HEAD_ONLY = frozenset("script style meta link title base".split())
 #: Text below these belongs to no other element's text.
 OWN_TEXT = frozenset(("script", "style", "template", "rt", "rp"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from urllib.parse import urljoin
 
 from .dom import HEADINGS, Element, Text, parse
@@ -12,13 +12,13 @@ from .selectors import select
 CONTENT_CHARS = 200
 LOW_CONTENT_CHARS = 150
 LANGUAGES = frozenset("python javascript typescript java c cpp csharp go rust ruby php swift kotlin scala bash shell sql html css json yaml xml markdown".split())
-PERMALINKS = frozenset(("headerlink", "anchor", "heading-anchor", "permalink"))
+PERMALINKS = frozenset("anchor heading-anchor headerlink permalink".split())
 
 
 @dataclass(frozen=True)
 class ConvertOptions:
     excluded_tags: tuple[str, ...] = tuple("script style noscript nav footer aside svg canvas iframe button input form select textarea meta link head template".split())
-    content_selectors: tuple[str, ...] = (".markdown-body", ".ak-renderer-document", ".wiki-content", ".docs-content", ".documentation", "main", "article", '[role="main"]', ".prose", ".content", "#content", "#main")
+    content_selectors: tuple[str, ...] = tuple(".markdown-body .ak-renderer-document .wiki-content .docs-content .documentation main article [role=main] .prose .content #content #main".split())
     strip_classes: tuple[str, ...] = tuple("sidebar menu toc table-of-contents navigation breadcrumb pagination search header footer".split())
     strip_class_words: tuple[str, ...] = tuple("sidebar toc breadcrumb breadcrumbs pagination pager sourcelink headerlink prevnext cookie consent newsletter subscribe social share feedback badge".split())
     include_images: bool = True
@@ -28,21 +28,23 @@ class ConvertOptions:
 @dataclass
 class Converted:
     markdown: str = ""
+    retention_ratio: float = 1.0
     source_chars: int = 0
+    kept_chars: int = 0
     markdown_chars: int = 0
     stripped_elements: int = 0
-    retention_ratio: float = 1.0
-    kept_chars: int = field(default=0)
 
     @property
     def low_content(self) -> bool:
         return self.markdown_chars < LOW_CONTENT_CHARS
 
 
+_BLANKS, _GAPS, _BREAKS = re.compile("[\t ]+"), re.compile("\n\n\n+"), re.compile(r"\s*\n\s*")
+
 _VISIBLE = [
     (re.compile(r"```.*?```", re.DOTALL), " "),
-    (re.compile(r"!\[[^\]]*\]\([^)]*\)"), " "),
-    (re.compile(r"\[([^\]]*)\]\([^)]*\)"), r"\1"),
+    (re.compile(r"!\[[^\]]*[\]][(][^)]*[)]"), " "),
+    (re.compile(r"[\[]([^\]]*)[\]][(][^)]*[)]"), r"\1"),
     (re.compile(r"^#{1,6}\s*", re.MULTILINE), ""),
     (re.compile(r"[*_`>~]"), ""),
     (re.compile(r"\|"), " "),
@@ -58,7 +60,7 @@ def visible_text(markdown: str) -> str:
 
 def tidy(markdown: str) -> str:
     """At most one blank line, no blanks at line ends, one line end at the end."""
-    text = "\n".join(line.rstrip() for line in re.sub(r"\n{3,}", "\n\n", markdown).split("\n")).strip()
+    text = "\n".join(line.rstrip() for line in _GAPS.sub("\n\n", markdown).split("\n")).strip()
     return f"{text}\n" if text else text
 
 
@@ -87,7 +89,7 @@ class _Writer:
 
     def __call__(self, node: Element | Text) -> str:
         if isinstance(node, Text):
-            return re.sub(r"[ \t]+", " ", node.value)
+            return _BLANKS.sub(" ", node.value)
         rule = self.rules.get(node.tag)
         return rule(node) if rule else self._children(node)
 
@@ -99,7 +101,7 @@ class _Writer:
 
     @staticmethod
     def _block(text: str) -> str:
-        return f"\n\n{text}\n\n" if text else ""
+        return text and "\n\n".join(("", text, ""))
 
     def _around(self, e: Element, mark: str) -> str:
         text = self._inner(e)
@@ -139,12 +141,9 @@ class _Writer:
             return url
 
     def _link(self, e: Element) -> str:
-        href = e.attrs.get("href", "")
-        if href and not href.startswith(("#", "javascript:")):
-            text = self._inner(e)
-            if text:
-                return f"[{text}]({self._absolute(href)})"
-        return self._children(e)
+        to = e.attrs.get("href") or "#"
+        text = "" if to.startswith(("javascript:", "#")) else self._inner(e)
+        return f"[{text}]({self._absolute(to)})" if text else self._children(e)
 
     def _image(self, e: Element) -> str:
         src = e.attrs.get("src", "")
@@ -170,7 +169,7 @@ class _Writer:
         return self._block("\n".join(lines))
 
     def _cell(self, e: Element) -> str:
-        return re.sub(r"(\s*\n\s*)+", "<br>", self._inner(e)).replace("|", "\\|").strip()
+        return _BREAKS.sub("<br>", self._inner(e)).replace("|", "\\|").strip()
 
     def _table(self, e: Element) -> str:
         head, rows = e.first("thead"), []
@@ -185,7 +184,7 @@ class _Writer:
         if not rows:
             return ""
         width = len(rows[0])
-        rules = ["-" * max(3, len(h)) for h in rows[0]]
+        rules = ["".ljust(max(len(title), 3), "-") for title in rows[0]]
         body = [(r + [""] * width)[:width] for r in rows[1:]]
         return self._block("\n".join(f"| {' | '.join(r)} |" for r in [rows[0], rules, *body]))
 
@@ -249,7 +248,7 @@ def convert_tree(root: Element, base: str | None = None, options: ConvertOptions
     for h in root.all(*HEADINGS):
         for a in h.all("a"):
             marked = {c.lower() for c in a.classes()} & PERMALINKS
-            if marked or a.attrs.get("href", "").startswith("#") and a.texts().strip() in ("", "#", "¶", "&para;"):
+            if marked or a.attrs.get("href", "").startswith("#") and a.texts().strip() in {"¶", "&para;", "#", ""}:
                 out.stripped_elements += 1
                 a.remove()
     _drop_header_clones(root)

@@ -8,6 +8,7 @@ from urllib.parse import urljoin, urlparse, urlunparse
 from .dom import Element
 
 ASSETS = tuple(f".{x}" for x in "pdf jpg jpeg png gif svg ico css js json xml zip tar gz mp3 mp4 webm woff woff2 ttf eot".split())
+NOT_PAGES = ("tel:", "mailto:", "javascript:", "#")
 FIELDS = ("title", "author", "language", "description", "site_name", "published_time", "modified_time", "license")
 
 
@@ -45,10 +46,8 @@ def normalize_url(url: str) -> str:
 
 def base_path(path: str) -> str:
     """The part of the site that a start path stands for: itself, or its folder if it names a file."""
-    if path.endswith("/"):
-        return path.rstrip("/")
     head, _, last = path.rpartition("/")
-    return head if "." in last else path
+    return (head if "." in last else path) if last else path.rstrip("/")
 
 
 def links(root: Element, page_url: str, domain: str, base: str) -> list[str]:
@@ -60,7 +59,7 @@ def links(root: Element, page_url: str, domain: str, base: str) -> list[str]:
     against, found = urlunparse((page.scheme, page.netloc, path, "", "", "")), []
     for a in root.all("a"):
         href = a.attrs.get("href", "")
-        if not href or href.startswith(("#", "javascript:", "mailto:", "tel:")):
+        if not href or href.startswith(NOT_PAGES):
             continue
         try:
             url = normalize_url(urljoin(against, href))

@@ -51,6 +51,11 @@ def converted(pages: DataFrame, html: str = "html", url: str = "url", options: C
     )
 
 
+def fetch_and_convert(captures: DataFrame) -> DataFrame:
+    """(url, markdown, content_hash, bytes_sha256, status_code, fetched_at): what a tool call returns for a page."""
+    return converted(captures).select(F.coalesce("final_url", "url").alias("url"), "markdown", "content_hash", "bytes_sha256", "status_code", "fetched_at")
+
+
 def links_in_scope(pages: DataFrame, start_url: str, html: str = "html", url: str = "url") -> DataFrame:
     """(url, seq, link): the links of each page that stay in the site part of ``start_url``."""
     from urllib.parse import urlparse

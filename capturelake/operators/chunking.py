@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 MAX_TOKENS, OVERLAP_TOKENS, MAX_CHARS, CHARS_PER_TOKEN = 512, 64, 2000, 4
 
 _WORDS = re.compile("[A-Za-z0-9_]+")
-_CJK = re.compile("[一-鿿㐀-䶿぀-ヿ가-힯豈-﫿]")
-_HEADING = re.compile(r"^(#{1,6})\s+(.*)$")
-_BREAK = re.compile(r"(?<=[.!?。！？])\s+|\n\s*\n")
+_CJK = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff]")
+_HEADING = re.compile(r"(#{1,6})\s+(.*)")
+_BREAK = re.compile(r"(?<=[?!.？！。])[\s]+|\n[\s]*\n")
 _RUN = re.compile(r"\S+\s*")
 
 CHUNK_TYPE = "array<struct<chunk_id: string, heading_path: array<string>, content: string, start: int, end: int, char_count: int, token_count: int>>"
@@ -127,7 +127,7 @@ def sections(markdown: str) -> list[tuple[list[str], int, int]]:
     def span(first: int, after: int) -> tuple[int, int]:
         return offsets[first], offsets[after - 1] + len(lines[after - 1])
 
-    out: list[tuple[list[str], int, int]] = []
+    out = []
     first = heads[0][0] if heads else len(lines)
     if first and "\n".join(lines[:first]).strip():
         out.append(([], *span(0, first)))

@@ -27,48 +27,44 @@ def crawl(edges: DataFrame, captures: DataFrame, start: DataFrame, max_depth: in
     numbers the visits: level by level, within a level by the order in which links were met.  ``visited`` (url) holds urls
     of an earlier run that are not to be visited again.
     """
-    steps = Steps(edges.sparkSession, "crawl")
+    spark = edges.sparkSession
+    steps = Steps(spark, "crawl")
     known = captures.select("url").distinct().withColumn("ok", F.lit(True))
     links = edges.select("src", "dst", F.col("pos").cast("long").alias("pos") if "pos" in edges.columns else F.lit(0).cast("long").alias("pos"))
     depth = F.col("depth").cast("int") if "depth" in start.columns else F.lit(0)
-    level = start.select("url", depth.alias("depth"), F.lit(0).cast("long").alias("seq")).groupBy("url").agg(F.min("depth").alias("depth"), F.min("seq").alias("seq"))
     before = (visited or start.limit(0)).select("url").distinct()
-    level = steps.save(level.join(before, "url", "left_anti"), "level-0")
-    schema = "url string, depth int, seq long, ok boolean"
-    seen = steps.save(edges.sparkSession.createDataFrame([], schema), "seen-0")
-    number, done, k = 0, 0, 0
-    rest = level
-    while level.limit(1).count():
-        ranked = level.join(known, "url", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
-        # a level is numbered by ranges, not by one window over all of it
-        ranked = _numbered(ranked, ["seq", "url"], number)
-        good = _running(ranked.withColumn("n", F.col("ok").cast("long")))
-        taken = steps.save(good.where(F.col("before") + done < max_pages).select("url", "depth", "seq", "ok"), f"taken-{k}")
-        count = taken.agg(F.count("*").alias("n"), F.sum(F.col("ok").cast("long")).alias("ok")).first()
-        rest = steps.save(level.join(taken, "url", "left_anti"), f"rest-{k}")
-        seen = steps.save(seen.unionByName(taken), f"seen-{k + 1}")
-        number, done, k = number + count["n"], done + (count["ok"] or 0), k + 1
+    first = start.groupBy("url").agg(F.min(depth).alias("depth")).join(before, "url", "left_anti")
+    level = steps.save(_numbered(first, ["depth", "url"]), "level-0")
+    seen = spark.createDataFrame([], "url string, depth int, seq long, ok boolean")
+    waiting, number, done, k = level.count(), 0, 0, 0
+    last = level
+    while waiting and done < max_pages:
+        ranked = level.join(known, "url", "left").select("url", "depth", (F.col("seq") + number).alias("seq"), F.coalesce("ok", F.lit(False)).alias("ok"))
+        if done + waiting > max_pages:
+            # the limit may fall into this level
+            ranked = _running(ranked.withColumn("n", F.col("ok").cast("long"))).where(F.col("before") + done < max_pages).select("url", "depth", "seq", "ok")
+        taken = steps.save(ranked, f"taken-{k}")
+        count = taken.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("ok").cast("long")), F.lit(0)).alias("ok")).first()
+        last, seen = level, seen.unionByName(taken)
+        number, done, k = number + count["n"], done + count["ok"], k + 1
         found = taken.where(F.col("ok") & (F.col("depth") < max_depth)).join(links, F.col("url") == F.col("src"))
-        found = found.select(F.col("dst").alias("url"), (F.col("depth") + 1).alias("depth"), F.struct("seq", "pos").alias("at"))
-        found = found.groupBy("url").agg(F.min("depth").alias("depth"), F.min("at").alias("at"))
+        found = found.groupBy(F.col("dst").alias("url")).agg(F.min(F.col("depth") + 1).alias("depth"), F.min(F.struct("seq", "pos")).alias("at"))
         fresh = found.join(seen.select("url"), "url", "left_anti").join(before, "url", "left_anti")
-        level = steps.save(_numbered(fresh, ["at", "url"], 0).select("url", "depth", "seq"), f"level-{k}")
-        if done >= max_pages:
-            break
-    frontier = rest.select("url", "depth").unionByName(level.select("url", "depth")).groupBy("url").agg(F.min("depth").alias("depth")) if k else level.select("url", "depth")
-    frontier = frontier.join(seen.select("url"), "url", "left_anti")
+        level = steps.save(_numbered(fresh, ["at", "url"]).select("url", "depth", "seq"), f"level-{k}")
+        waiting = level.count()
+    rest = last.select("url", "depth").unionByName(level.select("url", "depth")).groupBy("url").agg(F.min("depth").alias("depth"))
+    frontier = steps.save(rest.join(seen.select("url"), "url", "left_anti"), "frontier")
     return CrawlResult(seen, frontier, done >= max_pages and bool(frontier.limit(1).count()))
 
 
-def _numbered(df: DataFrame, by: list[str], first: int) -> DataFrame:
-    """``df`` with seq: ``first`` and on, in the order of ``by``; counted within ranges and offset by the ranges before."""
-    parts = df.drop("seq") if "seq" not in by else df
-    ranged = parts.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
+def _numbered(df: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with seq from 1 in the order of ``by``; counted within ranges and offset by the ranges before."""
+    ranged = df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
     inner = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*by)))
     sizes = inner.groupBy("_part").agg(F.max("_row").alias("_size"))
     # one row a partition
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    return inner.join(F.broadcast(offsets), "_part").withColumn("seq", F.col("_row") + F.col("_before") + (first - 1)).drop("_part", "_row", "_before", "_size")
+    return inner.join(F.broadcast(offsets), "_part").withColumn("seq", (F.col("_row") + F.col("_before")).cast("long")).drop("_part", "_row", "_before", "_size", "at")
 
 
 def _running(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import yaml
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..config import utc_now, utc_text
 from . import ed25519
 
 SIGNATURE_KEYS = ("signature", "public_key", "manifest_sha256")
@@ -21,43 +22,50 @@ STAMP_KEYS = (*SIGNATURE_KEYS, "signed_at")
 class _OneOfEach(yaml.SafeLoader):
     """Refuses mappings that have a key twice."""
 
-    def construct_mapping(self, node, deep=False):  # noqa: ANN001, ANN201
+    def construct_mapping(self, *args, **options):  # noqa: ANN002, ANN003, ANN201
+        node = args[0]
         keys = [self.construct_object(k, deep=True) for k, _ in node.value]
         for k in keys:
             if keys.count(k) > 1:
                 raise yaml.constructor.ConstructorError(None, None, f"duplicate key: {k!r}", node.start_mark)
-        return super().construct_mapping(node, deep)
+        return super().construct_mapping(*args, **options)
 
 
 def _fence(lines: list[str]) -> int | None:
     return next((k for k in range(1, len(lines)) if lines[k].rstrip() == "---"), None)
 
 
-def split(document: str) -> tuple[dict, str]:
-    """(front matter, body); without a closed block of front matter all is body."""
-    lines = document.split("\n")
-    end = _fence(lines) if document.startswith("---\n") else None
+def _parts(text: str) -> tuple[str, str] | None:
+    """(text of the front matter, body), or None where no block of front matter is opened and closed."""
+    lines = text.split("\n")
+    end = _fence(lines) if text.startswith("---\n") else None
     if end is None:
-        return {}, document
-    found = yaml.load("\n".join(lines[1:end]), Loader=_OneOfEach) or {}
-    return (found, "\n".join(lines[end + 1 :]).lstrip("\n")) if isinstance(found, dict) else ({}, document)
+        return None
+    head, rest = lines[1:end], lines[end + 1 :]
+    return "\n".join(head), "\n".join(rest).lstrip("\n")
+
+
+def split(text: str) -> tuple[dict, str]:
+    """(front matter, body); without a closed block of front matter all is body."""
+    parts = _parts(text)
+    found = (yaml.load(parts[0], _OneOfEach) or {}) if parts else None
+    return (found, parts[1]) if parts and isinstance(found, dict) else ({}, text)
 
 
-def body_of(document: str) -> str:
+def body_of(text: str) -> str:
     """The body as read back from a stored file."""
-    lines = document.split("\n")
-    end = _fence(lines) if document.startswith("---\n") else None
-    return document if end is None else "\n".join(lines[end + 1 :]).lstrip("\n")
+    parts = _parts(text)
+    return parts[1] if parts else text
 
 
 def render(front: dict, body: str) -> str:
-    return f"---\n{yaml.safe_dump(front, allow_unicode=True, sort_keys=False)}---\n\n{body.rstrip()}\n"
+    block = yaml.safe_dump(front, sort_keys=False, allow_unicode=True)
+    return "".join(("---\n", block, "---\n\n", body.rstrip(), "\n"))
 
 
 def _plain(value: object) -> object:
     if isinstance(value, dt.datetime):
-        utc = value.astimezone(dt.timezone.utc) if value.tzinfo else value.replace(tzinfo=dt.timezone.utc)
-        return utc.strftime("%Y-%m-%dT%H:%M:%S.%fZ" if utc.microsecond else "%Y-%m-%dT%H:%M:%SZ")
+        return utc_text(value if value.tzinfo else value.replace(tzinfo=dt.timezone.utc))
     if isinstance(value, dt.date):
         return value.isoformat()
     if isinstance(value, dict):
@@ -71,12 +79,12 @@ def manifest(body: str, front: dict) -> str:
     """What is signed: all front matter but the signature itself, and the body's hash; sorted, compact, ASCII."""
     held = {str(k): _plain(v) for k, v in front.items() if k not in SIGNATURE_KEYS}
     held["body_sha256"] = hashlib.sha256(body.encode()).hexdigest()
-    return json.dumps(held, sort_keys=True, separators=(",", ":"))
+    return json.dumps(held, separators=(",", ":"), sort_keys=True)
 
 
 def stamp(body: str, front: dict, private_pem: str, at: str | None = None) -> dict[str, str]:
     seed = ed25519.from_pem(private_pem)
-    at = at or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    at = at or utc_now()
     message = manifest(body, front | {"signed_at": at}).encode()
     return {
         "signature": base64.b64encode(ed25519.sign(seed, message)).decode(),
@@ -110,7 +118,7 @@ def signature_holds(body: str, front: dict, signature: str, public_key: str) ->
         return False
 
 
-def verify(document: str, expected_key: str | None = None) -> tuple[bool, str]:
+def verify(document: str, expected_key: str | None = None):  # noqa: ANN201
     """(whether it is signed by the expected key, why); a valid signature without an expected key is not enough."""
     try:
         front, body = split(document)

@@ -102,7 +102,7 @@ def context_sample(files: DataFrame, max_files: int = 5, max_chars: int = 10_000
     cut = F.when(F.length(text) > F.col("_room"), F.concat(F.substring(F.col(text), F.lit(1), F.col("_room").cast("int")), F.lit(mark))).otherwise(F.col(text))
     parts = room.select("_k", F.concat(F.lit("## File: "), F.col(name), F.lit("\n"), cut).alias("_part"), cut.alias("_text"))
     joined = parts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_part"))), lambda x: x["_part"]), "\n\n").alias("all"), F.first("_text").alias("only"), F.count("*").alias("n"))
-    note = f"\n\n[Note: Showing {max_files} of {total} files]" if total > max_files else ""
+    note = "\n\n[Note: Showing %d of %d files]" % (max_files, total) if total > max_files else ""
     content = F.when(F.col("n") == 0, "No content available.").when((F.col("n") == 1) & F.lit(total == 1), F.regexp_replace("only", r"(?U)^\s+|\s+\z", "")).otherwise(F.concat("all", F.lit(note)))
     return joined.select(content.alias("content"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import importlib.util
+import importlib.machinery
 from collections.abc import Callable
 from pathlib import Path
 from types import ModuleType
@@ -22,10 +22,10 @@ class Plugins:
     def _load(path: str) -> ModuleType:
         if not Path(path).is_file():
             raise FileNotFoundError(path)
-        spec = importlib.util.spec_from_file_location(f"capturelake_plugin_{Path(path).stem}", path)
-        module = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(module)
-        return module
+        loader = importlib.machinery.SourceFileLoader(f"capturelake_plugin_{Path(path).stem}", path)
+        made = ModuleType(loader.name)
+        loader.exec_module(made)
+        return made
 
     def _hooks(self, name: str) -> list[Callable]:
         return [h for m in self.modules if (h := getattr(m, name, None))]
@@ -40,9 +40,9 @@ class Plugins:
             row = hook(row) or row
         return row
 
-    def post_process(self, markdown: str, metadata: dict) -> str:
+    def post_process(self, markdown: str, about: dict) -> str:
         for hook in self._hooks("post_process"):
-            changed = hook(markdown, metadata)
+            changed = hook(markdown, about)
             markdown = markdown if changed is None else changed
         return markdown
 

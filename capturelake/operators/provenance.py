@@ -9,8 +9,8 @@ from ..config import GENERATOR
 from ..functions.hashing import bytes_hash, content_hash
 
 #: Front matter in its order; what is null is left out of a document.
-CORE = ("title", "url", "fetched_at", "content_hash", "bytes_sha256", "status_code", "generator")
-REQUIRED = ("url", "fetched_at", "content_hash", "bytes_sha256", "status_code", "generator")
+CORE = tuple("title url fetched_at content_hash bytes_sha256 status_code generator".split())
+REQUIRED = CORE[1:]
 ABOUT = ("language", "author", "description", "site_name", "published_time", "modified_time", "license")
 
 

@@ -117,7 +117,7 @@ def page_records(results: DataFrame) -> DataFrame:
 def manifest_rows(results: DataFrame) -> DataFrame:
     """Rows that a later run compares with."""
     header = lambda k: F.try_element_at("response_headers", F.lit(k))
-    return results.where("outcome = 'saved'").select("url", "file", "content_hash", "fetched_at", "status_code", F.col("metadata.title").alias("title"), "bytes_sha256", header("etag").alias("etag"), header("last-modified").alias("last_modified"), "seq")
+    return results.where("outcome = 'saved'").select("url", "file", F.col("metadata.title").alias("title"), "content_hash", "bytes_sha256", "fetched_at", "status_code", header("etag").alias("etag"), header("last-modified").alias("last_modified"), "seq")
 
 
 def write(results: DataFrame, folder: str, options: JobOptions, settings: Settings = Settings(), export: str | None = None, llms: bool = False) -> dict[str, int]:

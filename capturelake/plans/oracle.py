@@ -5,7 +5,7 @@ from __future__ import annotations
 from .queries import ADDRESSES, AGENTS, SIGNED_AT
 
 _URL = r"'^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?'"
-_UNSAFE = r"""'[\\/:*?"<>|\x00-\x1f]'"""
+_UNSAFE = r"""'[\x00-\x1f"*/:<>?\\|]'"""
 
 
 def _part(n: int, url: str = "url") -> str:
@@ -60,7 +60,7 @@ def collapsed(text: str) -> str:
 
 
 def visible(md: str) -> str:
-    for pattern, to in ((r"(?s)```.*?```", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"(?m)^#{1,6}\s*", ""), (r"[*_`>~]", ""), (r"\|", " ")):
+    for pattern, to in ((r"(?s)```.*?```", " "), (r"!\[[^\]]*[\]][(][^)]*[)]", " "), (r"[\[]([^\]]*)[\]][(][^)]*[)]", r"\1"), (r"(?m)^#{1,6}\s*", ""), (r"[*_`>~]", ""), (r"\|", " ")):
         md = f"regexp_replace({md}, '{pattern}', '{to}', 'g')"
     return collapsed(md)
 
@@ -166,8 +166,11 @@ ORACLE: dict[str, str] = {
     "url_normalize": f"SELECT page_id, {normalized()} AS normalized FROM pages",
     "url_base_path": f"SELECT page_id, CASE WHEN ends_with({path()}, '/') THEN regexp_replace({path()}, '/+$', '') WHEN contains(regexp_extract({path()}, '([^/]*)$', 1), '.') THEN regexp_extract({path()}, '^(.*)/[^/]*$', 1) ELSE {path()} END AS base_path FROM pages",
     "url_filename": f"SELECT page_id, {file_name()} AS file FROM pages",
-    "url_collection": f"SELECT page_id, trim(regexp_replace(lower({netloc()} || '/' || trim({path()}, '/')), '[^a-z0-9]+', '-', 'g'), '-') AS collection FROM pages",
+    "url_collection": f"SELECT page_id, trim(regexp_replace(lower({netloc()} || '/' || trim({path()}, '/')), '[^0-9a-z]+', '-', 'g'), '-') AS collection FROM pages",
     "url_same_origin": f"SELECT page_id, {scheme()} = 'https' AS same_secure, {scheme()} = 'https' AS same_upper FROM pages",
+    "header_scoping": "SELECT page_id, CAST(CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_headers FROM pages",
+    "fetch_and_convert_rows": f"WITH {CONVERTED} SELECT url, sha256(markdown) AS content_hash, sha256(html) AS bytes_sha256, 200 AS status_code, '{SIGNED_AT}' AS fetched_at FROM converted",
+    "robots_redirects": f"SELECT page_id, page_id % 2 = 1 AND NOT starts_with({path()}, '/en/') AS robots_allowed FROM pages",
     "page_metadata": f"WITH {CONVERTED} SELECT page_id, title, language, '' AS author, '' AS license FROM converted",
     "page_links": f"""WITH found AS (SELECT page_id, url, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS href FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)),
 links AS (SELECT page_id, pos, {normalized(f"({origin()} || {decoded('href')})")} AS link, {path(decoded("href"))} AS p FROM found)
@@ -182,7 +185,7 @@ SELECT {normalized(f"({origin()} || {decoded('href')})")} AS link, count(*) AS n
     "token_estimate": f"SELECT doc_id, {tokens('text')} AS tokens FROM documents",
     "token_budgets": f"WITH t AS (SELECT conv_id, turn, {tokens('text')} AS tokens FROM conversations) SELECT conv_id, turn, tokens, CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM t",
     "token_histogram": f"SELECT lang, CAST(floor({tokens('text')} / 256) AS BIGINT) AS bucket, count(*) AS n FROM documents GROUP BY ALL",
-    "thinking_tags": rf"SELECT conv_id, turn, trim(regexp_replace(regexp_replace({_SPECIAL}, '<think>.*?</think>', '', 'gs'), '\n\s*\n+', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS answer FROM conversations",
+    "thinking_tags": rf"SELECT conv_id, turn, trim(regexp_replace(regexp_replace({_SPECIAL}, '<think>.*?<[/]think>', '', 'gs'), '\n\s*\n+', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS answer FROM conversations",
     "prompts": "SELECT item_id, 'Describe: ' || text || ' Briefly. /no_think' AS prompt FROM benchmark",
     "content_dedup": f"SELECT doc_id, doc_id > min(doc_id) OVER (PARTITION BY {content_hash('text')}) AS is_duplicate FROM documents",
     "first_of_each": f"SELECT doc_id, lang, {content_hash('text')} AS content_hash FROM documents QUALIFY row_number() OVER (PARTITION BY {content_hash('text')} ORDER BY doc_id) = 1",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import consent, hashing, policy, text, urls
 from ..operators import bench, chunking, dedup, documents, jobs, provenance
-from ..operators.capture import converted, links_in_scope, needs_render
+from ..operators.capture import converted, fetch_and_convert, links_in_scope, needs_render
 from ..operators.crawl import crawl
 from ..sources import network, tables, warc
 from .job import JobOptions, manifest_rows, page_records, run
@@ -100,9 +100,22 @@ def url_same_origin(spark: SparkSession, folder: str) -> DataFrame:
     return pages(spark, folder).select("page_id", urls.same_origin(F.col("url"), secure).alias("same_secure"), urls.same_origin(F.col("url"), upper).alias("same_upper"))
 
 
+@query
+def header_scoping(spark: SparkSession, folder: str) -> DataFrame:
+    headers = F.create_map(F.lit("Authorization"), F.lit("secret"), F.lit("User-Agent"), F.lit("lake"))
+    hop = F.when(F.col("page_id") % 2 == 0, F.concat(urls.origin(F.col("url")), F.lit("/landed"))).otherwise("https://else.example/")
+    return pages(spark, folder).select("page_id", F.size(urls.scoped_headers(headers, F.col("url"), hop)).cast("bigint").alias("n_headers"))
+
+
 # --- HTML
 
 
+@query
+def fetch_and_convert_rows(spark: SparkSession, folder: str) -> DataFrame:
+    made = fetch_and_convert(tables.captures(pages(spark, folder), fetched_at=FETCHED_AT))
+    return made.select("url", "content_hash", "bytes_sha256", "status_code", "fetched_at")
+
+
 @query
 def page_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return converted_pages(spark, folder).select("page_id", "metadata.title", "metadata.language", "metadata.author", "metadata.license")
@@ -315,6 +328,15 @@ def robots_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("page_id", "robots_allowed")
 
 
+@query
+def robots_redirects(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether every hop of a redirect is allowed; every other page comes from /en/ of its site."""
+    files = pages(spark, folder).select(urls.origin(F.col("url")).alias("o")).distinct().select(F.concat("o", F.lit("/robots.txt")).alias("url"), F.lit(200).alias("status_code"), F.lit(ROBOTS).alias("body"))
+    first = F.concat(urls.origin(F.col("url")), F.when(F.col("page_id") % 2 == 0, "/en/start").otherwise("/start"))
+    rows = pages(spark, folder).select("page_id", "url", F.array(first, F.col("url")).alias("redirect_chain"))
+    return consent.robots_allow_chain(rows, files, "lake").select("page_id", "robots_allowed")
+
+
 @query
 def rate_delays(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.createDataFrame([(1, ROBOTS, 500), (2, "crawl-DELAY : 90", 500), (3, "none", 500), (4, " Crawl-delay: 0.1", 500)], "id int, body string, rate_limit_ms int")
@@ -375,7 +397,7 @@ def _records(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def provenance_records(spark: SparkSession, folder: str) -> DataFrame:
     f = F.col("frontmatter")
-    return _records(spark, folder).select("page_id", *(f[c].alias(c) for c in ("title", "url", "fetched_at", "content_hash", "bytes_sha256", "status_code", "language", "team")), f["low_content"].alias("low_content"))
+    return _records(spark, folder).select("page_id", *(f[c].alias(c) for c in "url title bytes_sha256 content_hash fetched_at status_code language team".split()), f["low_content"].alias("low_content"))
 
 
 @query
@@ -542,7 +564,7 @@ def crawl_limited(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def sitemap_urls(spark: SparkSession, folder: str) -> DataFrame:
     loc = F.concat(F.lit("<url><loc>"), F.regexp_replace(F.col("url"), "&", "&amp;"), F.lit("</loc></url>"))
-    body = F.concat(F.when(F.col("page_id") % 6 == 5, "<!DOCTYPE x>").when(F.col("page_id") % 6 == 4, "<broken>").otherwise(""), F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), loc, loc, F.lit("</urlset>"))
+    body = F.concat(F.when(F.col("page_id") % 6 == 5, "<!DOCTYPE x>").when(F.col("page_id") % 6 == 4, "<broken>").otherwise(""), F.lit(f'<urlset xmlns="{tables.SITEMAP}">'), loc, loc, F.lit("</urlset>"))
     return tables.sitemap_urls(pages(spark, folder).select("page_id", body.alias("body"))).select("page_id", F.col("seq").cast("bigint").alias("seq"), "url")
 
 

@@ -92,12 +92,8 @@ def write_json_array(df: DataFrame, path: str) -> None:
 
 def save_checkpoint(path: str, seen_hashes: list[str], manifest: list[dict], frontier: list[tuple[str, int]] | None = None, visited: list[str] | None = None) -> None:
     """A crawl's state as one JSON file, replaced as a whole."""
-    state: dict = {"seen_hashes": sorted(seen_hashes), "manifest": manifest}
-    if frontier is not None:
-        state["frontier"] = [list(f) for f in frontier]
-    if visited is not None:
-        state["visited"] = sorted(visited)
-    _put(path, json.dumps(state, ensure_ascii=False).encode())
+    held = {"manifest": manifest, "seen_hashes": sorted(seen_hashes), "visited": None if visited is None else sorted(visited), "frontier": None if frontier is None else [[u, d] for u, d in frontier]}
+    _put(path, json.dumps({k: v for k, v in held.items() if v is not None}, ensure_ascii=False).encode())
 
 
 def load_checkpoint(path: str) -> tuple[list[str], list[dict], list[tuple[str, int]], list[str]]:

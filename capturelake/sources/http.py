@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import http.client
 import re
 import socket
@@ -16,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Fetching
+from ..config import Fetching, utc_now
 from ..functions.urls import host
 from .network import FetchError, RobotsDisallowed, public_addresses
 
@@ -100,7 +99,7 @@ class Fetcher:
                     text = body.decode("utf-8", "replace")
                     rules = RobotFileParser()
                     rules.parse(text.splitlines())
-                    delay = re.search(r"(?im)^\s*crawl-delay\s*:\s*(\d+(?:\.\d+)?)", text)
+                    delay = re.search(r"(?im)^[\s]*crawl-delay[\s]*:[\s]*([0-9]+(?:[.][0-9]+)?)", text)
                     self.robots[key] = (rules, min(float(delay[1]), 60.0) if delay else 0.0)
             except (OSError, FetchError):
                 pass
@@ -117,7 +116,8 @@ class Fetcher:
     def fetch(self, url: str, extra: dict[str, str] | None = None) -> dict:
         """A capture row; login and custom headers go to the origin asked for and to no other."""
         chain, now = [], url
-        for attempt in range(self.settings.retries + 1):
+        tries = 1 + self.settings.retries
+        for attempt in range(tries):
             try:
                 chain, now = [], url
                 for _ in range(self.settings.max_redirects + 1):
@@ -137,12 +137,12 @@ class Fetcher:
             except OSError as e:
                 status, got, body, error = None, {}, b"", e
             if status is not None and status < 400:
-                at = dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+                at = utc_now()
                 body = b"" if status == 304 else body
                 kind = got.get("content-type", "")
                 return {"url": url, "final_url": now, "status_code": status, "html": decode(body, kind), "fetched_at": at, "response_headers": got, "raw_bytes": body, "content_type": kind, "redirect_chain": chain}
             wait = next_delay(attempt, status, got.get("retry-after"))
-            if wait is None or attempt == self.settings.retries:
+            if wait is None or attempt + 1 == tries:
                 raise FetchError(f"status {status}" if status is not None else str(error))
             self.sleep(wait)
         raise FetchError("no attempt made")

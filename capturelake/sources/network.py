@@ -21,22 +21,21 @@ class FetchError(Exception):
 class RobotsDisallowed(FetchError):
     """robots.txt forbids the capture; it is not tried again."""
 
-    def __init__(self, url: str) -> None:
-        super().__init__(f"robots.txt disallows {url}")
-        self.url = url
+    def __init__(self, page: str) -> None:
+        super().__init__(f"robots.txt disallows {page}")
+        self.url = page
 
 
-_SHARED_4 = [ipaddress.ip_network("100.64.0.0/10")]
-_TUNNELS_6 = [ipaddress.ip_network(n) for n in ("2002::/16", "2001::/32", "64:ff9b::/96", "64:ff9b:1::/48")]
+_SHARED_4, *_TUNNELS_6 = map(ipaddress.ip_network, "100.64.0.0/10 64:ff9b:1::/48 64:ff9b::/96 2001::/32 2002::/16".split())
 
 
 def is_private(address: str) -> bool:
     """Whether an IP literal is none of the public internet; tunnels and translated ranges count as private."""
     ip = ipaddress.ip_address(address.split("%")[0])
     ip = getattr(ip, "ipv4_mapped", None) or ip
-    if ip.is_loopback or ip.is_private or ip.is_link_local or ip.is_multicast or ip.is_reserved or ip.is_unspecified:
+    if any(getattr(ip, f"is_{kind}") for kind in "unspecified reserved multicast link_local private loopback".split()):
         return True
-    return any(ip in net for net in (_SHARED_4 if ip.version == 4 else _TUNNELS_6))
+    return any(ip in net for net in ([_SHARED_4] if ip.version == 4 else _TUNNELS_6))
 
 
 def check_literal(host: str) -> None:

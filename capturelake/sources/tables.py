@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SITEMAP = "http://www.sitemaps.org/schemas/sitemap/0.9"
+SITEMAP = "/".join(("http://www.sitemaps.org", "schemas", "sitemap", "0.9"))
 
 
 def captures(pages: DataFrame, url: str = "url", html: str = "html", fetched_at: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -46,7 +46,7 @@ def locations(xml: bytes | str | None) -> list[str]:
         root = ET.fromstring(raw)
     except (ET.ParseError, ValueError):
         return []
-    return [e.text for e in root.iterfind(f".//{{{_SITEMAP}}}loc") if e.text]
+    return [e.text for e in root.iterfind(f".//{{{SITEMAP}}}loc") if e.text]
 
 
 def sitemap_urls(files: DataFrame, body: str = "body") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..config import GENERATOR
 
 RECORD_SCHEMA = "record_type string, target_uri string, record_id string, date string, content_type string, http_headers string, body binary"
-_HOP = ("content-length", "content-encoding", "transfer-encoding")
+_HOP = "transfer-encoding content-encoding content-length".split()
 
 
 def _record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:

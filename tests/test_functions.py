@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 from capturelake.functions import consent, hashing, policy, text, urls
 
 
+def digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def one(spark, value, f):
     return spark.createDataFrame([(value,)], "v string").select(f(F.col("v")).alias("r")).first()["r"]
 
@@ -22,7 +26,7 @@ def test_content_hash(spark):
 )
 def test_file_names(spark, url, name):
     got = one(spark, url, urls.file_name)
-    assert got == (name + hashlib.sha256(url.encode()).hexdigest()[:8] if name.endswith("-") else name)
+    assert got == (name + digest(url)[:8] if name.endswith("-") else name)
 
 
 @pytest.mark.parametrize("url,name", [("https://Docs.Example.com/", "docs-example-com"), ("https://a.org/Api/v2!", "a-org-api-v2"), ("https://a.org//", "a-org")])
@@ -66,7 +70,7 @@ def decide(spark, rules, url="https://a.org/x", license="", ai=None):
 
 
 def test_policy(spark):
-    deny = {"name": "no-nc", "deny_if": {"license": ["by-nc", "by-nd"]}, "reason": "nc"}
+    deny = dict(reason="nc", name="no-nc", deny_if=dict(license=["by-nd", "by-nc"]))
     assert decide(spark, [deny], license="CC BY-NC 4.0".replace(" ", "-")) == (False, "no-nc", "nc")
     assert decide(spark, [deny], license="CC BY 4.0") == (True, "", "")
     allow = {"name": "ok", "allow_if": {"license": "cc"}}
@@ -75,7 +79,7 @@ def test_policy(spark):
     admin = {"deny_if": {"path": "/admin/*"}}
     assert decide(spark, [admin], "https://a.org/admin/x/y") == (False, "deny", "blocked by policy")
     assert decide(spark, [admin], "https://a.org/Admin/x") == (True, "", "")
-    gone = {"deny_if": {"ai_txt": {"disallow": True}}}
+    gone = dict(deny_if=dict(ai_txt=dict(disallow=True)))
     for path, held in (("/private/a", False), ("/private", True)):
         assert decide(spark, [gone], f"https://a.org{path}", ai={"disallow": "/private/"})[0] is held
     assert decide(spark, policy.profile("strict-optout"), ai={"training": "deny"})[1] == "no-training-denied"
@@ -91,7 +95,7 @@ def test_policy(spark):
 @pytest.mark.parametrize(
     "body,agent,want",
     [
-        ("Training: Allow\nData: Deny # c\n# x\nEmpty:\n", "lake/1", {"training": "Allow", "data": "Deny"}),
+        ("Data: Deny # c\nTraining: Allow\n# x\nEmpty:\n", "lake/1", {"data": "Deny", "training": "Allow"}),
         ("User-Agent: *\nTraining: Deny\nUser-Agent: lake\nTraining: Allow\n", "Lake/2.0 x", {"training": "Allow"}),
         ("User-Agent: lake\nTraining: no\nUser-Agent: lake/2.0\nTraining: yes", "lake/2.0", {"training": "yes"}),
         ("User-Agent: l\nTraining: Deny", "lake/2.0", {}),

@@ -9,7 +9,7 @@ LONG = "Many words of real content stand in this paragraph. " * 6
 
 
 def md(body, base=None, **options):
-    return convert(f"<html><body><main>{body}<p>{LONG}</p></main></body></html>", base, ConvertOptions(**options)).markdown
+    return convert(f"<html><body><main>{body}<p>{LONG}</p></main>", base, ConvertOptions(**options)).markdown
 
 
 @pytest.mark.parametrize(
@@ -28,15 +28,15 @@ def md(body, base=None, **options):
         ("<ol start=abc><li>a</li></ol>", "1. a"),
         ("<blockquote><p>a</p><p>b</p></blockquote>", "> a\n>\n>\n>\n> b\n"),
         ("<dl><dt>T</dt><dd>D</dd></dl>", "**T**\n: D"),
-        ("<table><tr><td>only</td><td>row</td></tr></table>", "| only | row |\n| ---- | --- |"),
-        ("<table><thead><tr><th>A</th><th>B</th></tr></thead><tbody><tr><td>1</td></tr><tr><td>1</td><td>2</td><td>3</td></tr></tbody></table>", "| A | B |\n| --- | --- |\n| 1 |  |\n| 1 | 2 |"),
-        ("<table><tr><td><p>line one</p><p>line two</p></td><td>a | b</td></tr></table>", "line one<br>line two | a \\| b"),
-        ("<table><thead><tr><th>H</th></tr></thead><tbody><tr><td>H</td></tr><tr><td>x</td></tr></tbody></table>", "| H |\n| --- |\n| x |"),
+        ("<table><tr><td>only<td>row</table>", "| only | row |\n| ---- | --- |"),
+        ("<table><thead><tr><th>A<th>B<tbody><tr><td>1<tr><td>1<td>2<td>3</table>", "| A | B |\n| --- | --- |\n| 1 |  |\n| 1 | 2 |"),
+        ("<table><tr><td><p>line one<p>line two<td>a | b</table>", "line one<br>line two | a \\| b"),
+        ("<table><thead><tr><th>H<tbody><tr><td>H<tr><td>x</table>", "| H |\n| --- |\n| x |"),
         ("<p>a &amp; b &lt;c&gt; &copy;</p>", "a & b <c> ©"),
         ("<p><b>open bold<br><p>next</p>", "**open bold**\n\nnext"),
         ("<h1>Quickstart<a class='headerlink' href='#quickstart'>#</a></h1>", "# Quickstart\n"),
         ("<h2>Install<a href='#install'>¶</a></h2>", "## Install\n"),
-        ("<h2>See <a href='#install'>Installation guide</a></h2>", "## See Installation guide\n"),
+        ("<h3>Read <a href='#part'>the guide</a></h3>", "### Read the guide\n"),
     ],
 )
 def test_elements(html, fragment):
@@ -58,7 +58,7 @@ def test_boilerplate():
     assert out.stripped_elements == 5
 
 
-@pytest.mark.parametrize("body", [f"<main><div class='cookie-api-docs'>{LONG}</div></main>", f"<div class='markdown-body'><div class='toc'>x</div>{LONG}</div>"])
+@pytest.mark.parametrize("body", [f"<main><div class='cookie-api-docs'>{LONG}</div></main>", f"<section class='markdown-body'><p class='toc'>x</p>{LONG}</section>"])
 def test_content_is_protected(body):
     assert "real content" in convert(f"<html><body>{body}</body></html>").markdown
 
@@ -74,7 +74,7 @@ def test_sticky_header_clone():
     real = "<table><tr><th>N</th></tr><tr><td>1</td></tr></table>"
     out = md(f"<div class='pm-table-sticky-wrapper'><table><tr><th>N</th></tr></table></div>{real}")
     assert out.count("| N |") == 1
-    assert md(f"<table><tr><th>Name</th><td>Alice</td></tr></table>{real}").count("Alice") == 1
+    assert md(f"<table><tr><th>Who<td>Bob</table>{real}").count("Bob") == 1
 
 
 def test_measures():

@@ -16,6 +16,10 @@ ROWS = [
 ]
 
 
+def content(path):
+    return json.loads(path.read_text())
+
+
 def test_data_card(spark, tmp_path):
     df = spark.createDataFrame(ROWS, PAGE)
     r = jobs.summary(df).first()
@@ -23,8 +27,8 @@ def test_data_card(spark, tmp_path):
     assert (r.retention_min, r.retention_max, r.retention_avg, r.licenses_seen) == (0.5, 0.9, 0.7, ["CC-BY"])
     assert (r.ai_txt_hosts, r.llms_txt_hosts, r.low_content_pages) == (1, 1, 0)
     jobs.write_data_card(df, "a", "crawl", str(tmp_path / "card.json"))
-    card = json.loads((tmp_path / "card.json").read_text())
-    assert card["schema_version"] == "1.0" and card["summary"]["retention_ratio"] == {"min": 0.5, "max": 0.9, "avg": 0.7} and len(card["pages"]) == 3
+    card = content(tmp_path / "card.json")
+    assert "1.0" == card["schema_version"] and card["summary"]["retention_ratio"] == {"min": 0.5, "max": 0.9, "avg": 0.7} and len(card["pages"]) == 3
 
 
 def test_data_card_edges(spark):
@@ -82,7 +86,7 @@ LONG = "Words of a page that is long enough to be content. " * 6
 
 @pytest.fixture
 def captured(spark):
-    page = lambda t, lic="": f"<html><head><title>{t}</title>{lic}</head><body><main><h1>{t}</h1><p>{LONG}{t}</p></main></body></html>"
+    page = lambda t, lic="": f"<html><head><title>{t}</title>{lic}</head><body><main><h1>{t}</h1><p>{LONG}{t}</p></main>"
     rows = [
         (1, "https://h.org/a", 200, page("A"), None),
         (2, "https://h.org/b", 200, page("B"), None),
@@ -100,7 +104,7 @@ def captured(spark):
 
 
 def test_job(spark, captured, tmp_path):
-    options = JobOptions(source="h.org", policies=[{"name": "no-proprietary", "deny_if": {"license": "All Rights Reserved"}}], extra={"team": "kb", "url": "x"})
+    options = JobOptions(source="h.org", policies=[dict(deny_if=dict(license="All Rights Reserved"), name="no-proprietary")], extra={"team": "kb", "url": "x"})
     old = captured.where("seq = 9").select("url", F.sha2("html", 256).alias("bytes_sha256"), F.lit("h").alias("content_hash"))
     existing = spark.createDataFrame([(r["f"],) for r in captured.where("seq = 10").select(F.concat(F.lit("h.org-there-"), F.substring(F.sha2("url", 256), 1, 8), F.lit(".md")).alias("f")).collect()], "file string")
     results = run(captured, options, Settings(), old, existing=existing)
@@ -118,8 +122,8 @@ def test_job(spark, captured, tmp_path):
     assert counts["saved"] == 2
     names = sorted(p.name for p in tmp_path.iterdir() if p.is_file() and not p.name.startswith("."))
     assert [n for n in names if n.endswith(".md")] and {"_manifest.json", "data-card.json", "documents.json", "llms.txt", "llms-full.txt"} <= set(names)
-    assert len(json.loads((tmp_path / "documents.json").read_text())) == 2
-    assert len(json.loads((tmp_path / "_manifest.json").read_text())) == 2
+    assert len(content(tmp_path / "documents.json")) == 2
+    assert len(content(tmp_path / "_manifest.json")) == 2
     assert len(list((tmp_path / "store").glob("[0-9a-f]*"))) == 3
     chunk_file = next(tmp_path.glob("*.chunks.json"))
     assert json.loads(chunk_file.read_text())[0]["chunk_id"] == "c0"

@@ -57,21 +57,20 @@ def site():
                 status = 503 if Handler.tries < 3 else 200
             elif self.path == "/big":
                 body = b"x" * 5000
-            elif self.headers.get("If-None-Match") == '"e"':
+            elif '"e"' == self.headers.get("If-None-Match"):
                 status, body = 304, b""
             self.send_response(status)
             for k, v in extra.items():
                 self.send_header(k, v)
-            self.send_header("Content-Length", str(len(body)))
             self.end_headers()
-            self.wfile.write(body)
+            self.wfile.writelines([body])
 
-        def log_message(self, *a):
-            pass
+        def log_message(self, form, *rest):
+            seen.append((form, {}))
 
     server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    yield f"http://127.0.0.1:{server.server_port}", seen
+    yield "http://%s:%d" % server.server_address, seen
     server.shutdown()
 
 
@@ -102,7 +101,7 @@ def test_capture_table(spark, site, tmp_path):
 
 
 def test_sitemaps():
-    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    ns = f'xmlns="{tables.SITEMAP}"'
     good = f"<urlset {ns}><url><loc>https://a/1</loc></url><url><loc>https://a/2</loc></url><url><loc/></url></urlset>"
     assert tables.locations(good.encode()) == ["https://a/1", "https://a/2"]
     assert tables.locations("<!DOCTYPE x [<!ENTITY a 'b'>]>" + good) == [] == tables.locations("<broken") == tables.locations(None)
@@ -123,7 +122,7 @@ def test_warc(spark, tmp_path):
     warc.append(path, [one])
     spark.dataSource.register(warc.WarcSource)
     got = spark.read.format("warc").load(str(tmp_path)).collect()
-    assert [r.record_type for r in got] == ["warcinfo", "request", "response", "request", "response"]
+    assert " ".join(r.record_type for r in got) == "warcinfo request response request response"
     assert got[2].body == b"<html>hello</html>" and "content-encoding" not in got[2].http_headers and "content-length: 18" in got[2].http_headers
     assert "user" not in gzip.decompress(open(path, "rb").read()).decode() and "Host: example.com" in got[1].http_headers
     df = spark.createDataFrame([("https://a/", "2026-01-01T00:00:00Z", 200, {"a": "b"}, bytearray(b"x"))] * 3, "url string, fetched_at string, status_code int, response_headers map<string,string>, raw_bytes binary")
@@ -166,7 +165,7 @@ def test_settings(tmp_path, monkeypatch):
 
 
 def test_plugins(spark, tmp_path):
-    (tmp_path / "p.py").write_text("def post_process(markdown, metadata):\n    return markdown.upper() if metadata['title'] else None\n\ndef pre_fetch(url, headers):\n    return url + '?x', {**headers, 'A': 'b'}\n")
+    (tmp_path / "p.py").write_text("def post_process(text, about):\n    return text.upper() if about['title'] else None\n\ndef pre_fetch(url, headers):\n    return url + '?x', {**headers, 'A': 'b'}\n")
     p = Plugins([str(tmp_path / "p.py")])
     assert p.pre_fetch("u", {}) == ("u?x", {"A": "b"}) and p.post_fetch({"a": 1}) == {"a": 1}
     df = spark.createDataFrame([("a", ("t",)), ("b", ("",))], "m string, meta struct<title: string>")
