@@ -23,6 +23,7 @@ import json
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .text import chunks, span_hash
 
-#: Words that an encoder remembers before it starts anew.
-MEMORY = 1_500_000
+#: Words of one generation of an encoder's memory; it holds two, and what the older one gives moves to the newer.
+MEMORY = 400_000
 
 OTHER, LETTER, NUMBER, SPACE, BLANK = range(5)
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -168,6 +169,7 @@ class Encoder:
         self.special, self.encode = special, encode
         self.kinds = character_classes()
         self._forget()
+        self.older: tuple[dict[int, int], np.ndarray, np.ndarray, np.ndarray] = ({}, self.start, self.size, self.ids)
 
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
@@ -229,6 +231,18 @@ class Encoder:
             start = start[(start <= lo) | (start >= hi)]
         return start, np.append(start[1:], len(buf)) if len(start) else start
 
+    def _remember(self, h: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        """Adds words, their numbers of ids, and these ids one after the other."""
+        n = len(self.known)
+        if n + len(h) > len(self.start):
+            self.start, self.size = (np.concatenate([a, np.zeros(max(len(h), len(a)), a.dtype)]) for a in (self.start, self.size))
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(flat), len(self.ids)), np.uint32)])
+        self.start[n : n + len(h)], self.size[n : n + len(h)] = self.used + np.cumsum(size) - size, size
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.known.update(zip(h.tolist(), range(n, n + len(h))))
+
     def __call__(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of all documents, one after the other."""
         if not len(buf):
@@ -236,28 +250,23 @@ class Encoder:
         start, end = self._split(buf, offsets)
         h, first, back = np.unique(span_hash(buf, start, end), return_index=True, return_inverse=True)
         if len(self.known) > MEMORY:
+            self.older = self.known, self.start, self.size, self.ids
             self._forget()
-        known, fresh, slots = self.known, [], np.empty(len(h), dtype=np.int64)
-        for k, x in enumerate(h.tolist()):
-            slot = known.get(x)
-            if slot is None:
-                slot = known[x] = len(known)
-                fresh.append(k)
-            slots[k] = slot
-        if fresh:
-            raw, at = buf.tobytes(), first[fresh]
-            lists = self.encode([raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())])
-            size = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-            flat = np.fromiter((i for ids in lists for i in ids), dtype=np.uint32, count=int(size.sum()))
-            n = len(known)
-            if n > len(self.start):
-                self.start, self.size = (np.concatenate([a, np.zeros(max(n, len(a)), a.dtype)]) for a in (self.start, self.size))
-            if self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(flat), len(self.ids)), np.uint32)])
-            where = slots[fresh]
-            self.start[where], self.size[where] = self.used + np.cumsum(size) - size, size
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
+        keys = h.tolist()
+        slots = np.fromiter(map(self.known.get, keys, repeat(-1)), dtype=np.int64, count=len(keys))
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            names, (known, old_start, old_size, old_ids) = h[missing].tolist(), self.older
+            old = np.fromiter(map(known.get, names, repeat(-1)), dtype=np.int64, count=len(names))
+            had = old >= 0
+            self._remember(h[missing[had]], old_size[old[had]].astype(np.int64), old_ids[ragged(old_start[old[had]], old_size[old[had]].astype(np.int64))])
+            fresh = missing[~had]
+            if len(fresh):
+                raw, at = buf.tobytes(), first[fresh]
+                lists = self.encode([raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())])
+                size = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+                self._remember(h[fresh], size, np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(size.sum())))
+            slots[missing] = np.fromiter(map(self.known.__getitem__, names), dtype=np.int64, count=len(names))
         slot = slots[back]
         size = self.size[slot].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(size)])
