@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder
+from .bpe import Encoder, byte_letters
 from .text import chunks
 
 _made: dict[str, Encoder] = {}
@@ -40,7 +40,9 @@ def library_encoder(path: str) -> Encoder:
 
         lib = Tokenizer.from_file(path)
         special = {t.content.encode(): i for i, t in lib.get_added_tokens_decoder().items()}
-        _made[path] = Encoder(special, lambda words: [e.ids for e in lib.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)])
+        letters, merge = {b: c for c, b in byte_letters().items()}, lib.model.tokenize
+        # words are pre-split: the library's merges alone are applied, to the letters that stand for their bytes
+        _made[path] = Encoder(special, lambda words: [[special[w]] if w in special else [t.id for t in merge(w.decode("latin-1").translate(letters))] for w in words])
     return _made[path]
 
 
