@@ -56,16 +56,12 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for _, row, first in hashed_words(batch.column("text")):
                 doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                at, weight = [], []
                 for gap in range(1, REACH + 1):
                     same = doc[gap:] == doc[:-gap]
                     left, right = row[:-gap][same], row[gap:][same]
                     for word, near in ((left, right), (right, left)):
                         for k in range(NONZERO):
-                            at.append(word * WIDTH + _DIM[near, k])
-                            weight.append(_SIGN[near, k])
-                if at:
-                    total += np.bincount(np.concatenate(at), np.concatenate(weight), minlength=ROWS * WIDTH)
+                            total += np.bincount(word * WIDTH + _DIM[near, k], _SIGN[near, k], minlength=ROWS * WIDTH)
         table = total.reshape(ROWS, WIDTH)
         used = np.flatnonzero(np.abs(table).sum(axis=1))
         if len(used):
