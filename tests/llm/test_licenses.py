@@ -4,11 +4,7 @@ import pytest
 
 from capturelake.llm import licenses
 
-MIT = (
-    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
-    "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
-    "The above copyright notice and this permission notice shall be included in all copies."
-)
+MIT = licenses.TEMPLATES[1].text.capitalize().replace(" software ", ' "Software", ').replace(" conditions ", " conditions:\n") + " in all copies."
 TEXTS = [
     "Plain words only.",
     "Some text.\nReleased under the MIT License.",
@@ -19,7 +15,7 @@ TEXTS = [
     "general public license general public licenses ageneral public license",
     "the Apache licence and the mit licenses",
     MIT,
-    MIT.replace("The above copyright notice", "Some notice"),
+    MIT.replace("the above copyright notice", "some notice"),
     "mit\xa0license mit license élicense mitélicense",
     "Mit Licen\u017fe",
     None,
