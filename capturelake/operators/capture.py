@@ -38,9 +38,21 @@ def page(html: Column, url: Column, options: ConvertOptions = ConvertOptions(),
     return run(html, url)
 
 
+#: Rows of an Arrow batch of pages: a page has tens of kilobytes and more.
+BATCH_ROWS = 512
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches no longer than pages allow."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def converted(pages: DataFrame, html: str = "html", url: str = "url", options: ConvertOptions = ConvertOptions()) -> DataFrame:
     """``pages`` with markdown, its measures, metadata, links, content_hash, bytes_sha256, raw_bytes, low_content."""
-    out = pages.withColumn("_page", page(F.col(html), F.col(url), options))
+    out = short_batches(pages).withColumn("_page", page(F.col(html), F.col(url), options))
     return out.select(
         *pages.columns,
         "_page.*",

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .capture import short_batches
+
 MAX_TOKENS, OVERLAP_TOKENS, MAX_CHARS, CHARS_PER_TOKEN = 512, 64, 2000, 4
 
 _WORDS = re.compile("[A-Za-z0-9_]+")
@@ -170,7 +172,7 @@ def chunks(markdown: Column, max_chars: int = MAX_CHARS, max_tokens: int = MAX_T
 
 def manifest(docs: DataFrame, doc_id: str = "url", markdown: str = "markdown", content_hash: str = "content_hash", **limits: int) -> DataFrame:
     """One row per chunk with its document, the document's hash and the chunk's own."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(content_hash).alias("content_hash"), F.explode(chunks(F.col(markdown), **limits)).alias("c"))
+    rows = short_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(content_hash).alias("content_hash"), F.explode(chunks(F.col(markdown), **limits)).alias("c"))
     return rows.select("doc_id", "content_hash", "c.chunk_id", "c.heading_path", "c.start", "c.end", "c.char_count", "c.token_count", F.sha2("c.content", 256).alias("chunk_sha256"))
 
 

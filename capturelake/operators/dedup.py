@@ -15,13 +15,15 @@ def first_of_each(df: DataFrame, key: str, seq: str) -> DataFrame:
 def marked(df: DataFrame, key: str, seq: str, seen: DataFrame | None = None) -> DataFrame:
     """``df`` with is_duplicate: the key is in ``seen`` or another row with a smaller ``seq`` has it.
 
-    Only keys and minima are aggregated; a key that very many rows share meets them in a join that can be split.
+    Only keys and minima are aggregated, and only keys that repeat (or were seen) are joined back: as long as those are few,
+    the wide rows need no shuffle; a key that very many rows share meets them in a join that can be split.
     """
-    first = df.groupBy(key).agg(F.min(seq).alias("_first"))
+    first = df.groupBy(key).agg(F.min(seq).alias("_first"), F.count("*").alias("_n"))
     if seen is not None:
         first = first.join(seen.select(F.col(seen.columns[0]).alias(key)).distinct().withColumn("_seen", F.lit(True)), key, "left")
     else:
         first = first.withColumn("_seen", F.lit(None).cast("boolean"))
+    first = first.where("_n > 1 OR _seen").drop("_n")
     out = df.join(first, key, "left")
     return out.withColumn("is_duplicate", F.coalesce("_seen", F.lit(False)) | F.coalesce(F.col(seq) > F.col("_first"), F.lit(False))).drop("_first", "_seen")
 
