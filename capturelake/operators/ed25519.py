@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+from functools import lru_cache
 
 P = 2**255 - 19
 ORDER = 2**252 + 27742317777372353535851937790883648493
@@ -38,12 +39,46 @@ def _add(p: Point, q: Point) -> Point:
     return e * f % P, g * h % P, f * g % P, e * h % P
 
 
+def _twice(p: Point) -> Point:
+    a, b = p[0] * p[0] % P, p[1] * p[1] % P
+    c, h = 2 * p[2] * p[2] % P, a + b
+    e = (h - (p[0] + p[1]) ** 2) % P
+    g = a - b
+    f = c + g
+    return e * f % P, g * h % P, f * g % P, e * h % P
+
+
 def _times(n: int, p: Point) -> Point:
+    """n * p by windows of four bits."""
+    table = [NEUTRAL, p]
+    for _ in range(14):
+        table.append(_add(table[-1], p))
+    total = NEUTRAL
+    for shift in range((n.bit_length() + 3) // 4 * 4 - 4, -1, -4):
+        total = _twice(_twice(_twice(_twice(total))))
+        if digit := n >> shift & 15:
+            total = _add(total, table[digit])
+    return total
+
+
+@lru_cache(maxsize=1)
+def _base_table() -> list[list[Point]]:
+    """Multiples 0 to 15 of 16^k times the base point."""
+    rows, p = [], BASE
+    for _ in range(64):
+        row = [NEUTRAL]
+        for _ in range(15):
+            row.append(_add(row[-1], p))
+        rows.append(row)
+        p = _add(row[-1], p)
+    return rows
+
+
+def _times_base(n: int) -> Point:
     total = NEUTRAL
-    while n:
-        if n & 1:
-            total = _add(total, p)
-        p, n = _add(p, p), n >> 1
+    for k, row in enumerate(_base_table()):
+        if digit := n >> 4 * k & 15:
+            total = _add(total, row[digit])
     return total
 
 
@@ -63,20 +98,22 @@ def _number(*parts: bytes) -> int:
     return int.from_bytes(hashlib.sha512(b"".join(parts)).digest(), "little") % ORDER
 
 
+@lru_cache(maxsize=64)
 def _expand(seed: bytes) -> tuple[int, bytes]:
     h = hashlib.sha512(seed).digest()
     return int.from_bytes(h[:32], "little") & ((1 << 254) - 8) | 1 << 254, h[32:]
 
 
+@lru_cache(maxsize=64)
 def public_of(seed: bytes) -> bytes:
-    return _pack(_times(_expand(seed)[0], BASE))
+    return _pack(_times_base(_expand(seed)[0]))
 
 
 def sign(seed: bytes, message: bytes) -> bytes:
     secret, prefix = _expand(seed)
-    public = _pack(_times(secret, BASE))
+    public = public_of(seed)
     nonce = _number(prefix, message)
-    point = _pack(_times(nonce, BASE))
+    point = _pack(_times_base(nonce))
     return point + ((nonce + _number(point, public, message) * secret) % ORDER).to_bytes(32, "little")
 
 
@@ -86,7 +123,7 @@ def verify(public: bytes, message: bytes, signature: bytes) -> bool:
     key, point, s = _unpack(public), _unpack(signature[:32]), int.from_bytes(signature[32:], "little")
     if key is None or point is None or s >= ORDER:
         return False
-    left, right = _times(s, BASE), _add(point, _times(_number(signature[:32], public, message), key))
+    left, right = _times_base(s), _add(point, _times(_number(signature[:32], public, message), key))
     return (left[0] * right[2] - right[0] * left[2]) % P == 0 and (left[1] * right[2] - right[1] * left[2]) % P == 0
 
 
