@@ -212,7 +212,10 @@ _SNIFFED = "type string, valid boolean, length long, embedded array<struct<start
 
 
 def sniff(df: DataFrame, content: str = "content", declared: str = "declared_type") -> DataFrame:
-    """``df`` with sniffed_type, valid, length, embedded; the type is the declared one where the start tells nothing."""
+    """``df`` with sniffed_type, valid, length, embedded (instead of columns of these names, if it has any).
+
+    The type is the declared one where the start of a value tells nothing.
+    """
 
     @F.pandas_udf(_SNIFFED)
     def look(values, types):  # noqa: ANN001, ANN202
@@ -228,7 +231,7 @@ def sniff(df: DataFrame, content: str = "content", declared: str = "declared_typ
 
     names = {"type": "sniffed_type", "valid": "valid", "length": "length", "embedded": "embedded"}
     kind = F.col(declared).cast("string") if declared in df.columns else F.lit(None).cast("string")
-    return df.withColumn("_s", look(F.col(content).cast("binary"), kind)).select(*df.columns, *(F.col(f"_s.{k}").alias(v) for k, v in names.items()))
+    return df.withColumn("_s", look(F.col(content).cast("binary"), kind)).select(*(c for c in df.columns if c not in names.values()), *(F.col(f"_s.{k}").alias(v) for k, v in names.items()))
 
 
 def to_wav(payload: bytes) -> bytes:

@@ -43,7 +43,7 @@ def test_validators(kind):
 def test_corrected_types_and_carved_media(spark):
     noise = b"GIF89a no image, RIFF no sound, PK\x03\x04 "
     rows = [(1, PNG, "image/jpeg"), (2, noise + PNG + b"--" + GIF, "text/plain"), (3, None, "image/png"), (4, b"", None), (5, media.to_wav(PNG + b"\0" * 3), "application/octet-stream"), (6, PNG + b"tail", "image/png")]
-    df = spark.createDataFrame([(*r, "mine") for r in rows], "id int, content binary, declared_type string, valid string").drop("valid")
+    df = spark.createDataFrame([(*r, "mine") for r in rows], "id int, content binary, declared_type string, valid string")
     got = {r.id: r for r in media.sniff(df).collect()}
     assert (got[1].sniffed_type, got[1].valid, got[1].length) == ("image/png", True, len(PNG))
     assert (got[2].sniffed_type, got[2].valid) == ("text/plain", False)
