@@ -21,19 +21,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node is either a component's smallest or has one edge, to it."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("v", F.lit(0), F.lit(1)))
+    sums = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return not sums.where("below > 1 OR below > 0 AND above > 0").limit(1).count()
+
+
 def connected_components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """(node, component) of every node with an edge; the component is its smallest node.
 
-    Each step aggregates to minima before it joins, so a node with very many edges is never gathered in one task; a
-    round moves edges towards the minimum and ends when a round changes nothing.
+    Each step aggregates to minima before it joins, so a node with very many edges is never gathered in one task; rounds
+    move edges towards the minima until they form stars around them.  Links that come as such stars need no round.
     """
-    now = scratch.save(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct(), f"{name}-0")
-    mark, step = None, 0
-    while True:
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if seen["n"] == 0 or (seen["n"], seen["s"]) == mark:
-            break
-        mark, step = (seen["n"], seen["s"]), step + 1
+    down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    now, step = scratch.save(down, f"{name}-0"), 0
+    while not _settled(now):
+        step += 1
         now = scratch.save(_small_star(_large_star(now)), f"{name}-{step}")
         scratch.drop(f"{name}-{step - 1}")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
