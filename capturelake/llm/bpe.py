@@ -33,7 +33,10 @@ from pyspark.sql import functions as F
 from .text import chunks, span_hash
 
 #: Words of one generation of an encoder's memory; it holds two, and what the older one gives moves to the newer.
-MEMORY = 400_000
+MEMORY = 300_000
+
+#: Bytes of text that are encoded at a time: more than elsewhere, since each chunk looks its distinct words up.
+CHUNK = 4 << 20
 
 OTHER, LETTER, NUMBER, SPACE, BLANK = range(5)
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -314,7 +317,7 @@ def _round_trips(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray,
     made, encode = automaton(path)
     if (path, "decoder") not in _made:
         _made[path, "decoder"] = Decoder(made.labels)
-    for lo, _, buf, off in chunks(column):
+    for lo, _, buf, off in chunks(column, CHUNK):
         ids, at = encode(buf, off)
         text, places = _made[path, "decoder"](ids)
         yield lo, ids, at, text, places[at]

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, byte_letters
+from .bpe import CHUNK, Encoder, byte_letters, ragged
 from .text import chunks
 
 _made: dict[str, Encoder] = {}
@@ -137,7 +137,7 @@ def pack_documents(docs: DataFrame, path: str, tokens: int = 2048, segments: int
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
             names, after = batch.column("doc_id"), batch.column("loss_from").to_numpy()
-            for lo, hi, buf, off in chunks(batch.column("text")):
+            for lo, hi, buf, off in chunks(batch.column("text"), CHUNK):
                 ids, at = encode(buf, off)
                 # every document's ids, each with the final id behind it
                 size = np.diff(at) + 1
@@ -154,8 +154,6 @@ def pack_documents(docs: DataFrame, path: str, tokens: int = 2048, segments: int
                     ids_out = pa.array([zlib.crc32(raw[x:y]) for x, y in zip(a.tolist(), (a + 4 * length).tolist())], pa.int64())
                 else:
                     cut = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                    from .bpe import ragged
-
                     ids_out = pa.ListArray.from_arrays(cut, full[ragged(first[doc] + start, length)].astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [names.take(pa.array(lo + doc)), pa.array(start), pa.array(length), ids_out, pa.array(size[doc]), pa.array(base + seq), pa.array(offset)],

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, give_back_memory
 from .text import LOWER, chunks, find_runs, span_hash
 
 ROWS, WIDTH, REACH, NONZERO = 1 << 14, 32, 2, 2
@@ -164,19 +164,19 @@ class QualityModel:
     pooler: Pooler
     network: Network
 
-    def score(self, docs: DataFrame, *keep: str) -> DataFrame:
-        """The columns ``keep`` and ``score`` of every row of ``docs`` (text)."""
+    def score(self, docs: DataFrame, *keep: str, into: str = "score") -> DataFrame:
+        """The columns ``keep`` and the score, in column ``into``, of every row of ``docs`` (text)."""
         pooler, network = self.pooler, self.network
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                parts = [network(pooler(row, first)) for _, row, first in hashed_words(batch.column("the_text"))]
+                parts = [network(pooler(row, first)) for _, row, first in hashed_words(batch.columns[-1])]
                 score = pa.array(np.concatenate(parts) if parts else np.zeros(0))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], score], names=[*batch.schema.names[:-1], "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], score], names=[*batch.schema.names[:-1], into])
 
         plain = docs.select(*keep, F.col("text").cast("string").alias("the_text"))
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
-        return plain.mapInArrow(run, f"{fields}, score double" if fields else "score double")
+        return plain.mapInArrow(run, f"{fields}, {into} double" if fields else f"{into} double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -202,4 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows:
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     rows = chosen.mapInArrow(run, "doc_id long, x binary, y double").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
     x = np.frombuffer(b"".join(rows["x"]), dtype=np.float32).reshape(len(rows), -1) if len(rows) else np.zeros((0, 2 * WIDTH + 3), np.float32)
-    return QualityModel(pooler, Network.fit(x.astype(np.float64), rows["y"].to_numpy(dtype=np.float64)))
+    model = QualityModel(pooler, Network.fit(x.astype(np.float64), rows["y"].to_numpy(dtype=np.float64)))
+    del rows, x
+    give_back_memory()
+    return model

@@ -6,9 +6,11 @@ lineage, survives lost executors, and lets Spark delete a step's shuffle files a
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def give_back_memory() -> None:
+    """Returns what this process has freed to the system; a driver keeps its memory for long otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Scratch:
     """Folder of one operator run; it goes when the driver's JVM ends, and single tables when they are dropped."""
 
@@ -54,6 +65,7 @@ class Scratch:
             df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
         finally:
             self.spark.conf.set(_CLEAN, before)
+            give_back_memory()
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def save_ids(self, ids: DataFrame, name: str) -> DataFrame:
