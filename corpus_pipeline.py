@@ -20,7 +20,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier gives label 1; vectors and weights come from the stage's own input."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return model.score(docs, *docs.columns).where("score >= 0.5").select(*docs.columns)
+    return model.score(docs, *docs.columns, into="_quality").where("_quality >= 0.5").select(*docs.columns)
 
 
 def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
