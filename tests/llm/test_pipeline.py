@@ -66,5 +66,21 @@ def test_stages_keep_columns_and_take_nothing(spark, folder):
             assert stage(spark, docs, out).columns == docs.columns
 
 
+def test_extra_columns_and_nulls(spark, folder):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    out, rows = folder
+    docs = spark.read.parquet(f"{out}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(None, "w1 w2 w3", None, None, None), (9001, None, None, None, None), (9002, "", "en", "s", 0), (9001, None, None, None, None)], docs.schema)
+    docs = docs.unionByName(odd).withColumns({c: F.lit("mine") for c in ("score", "kept", "component_id", "spans", "copy_of", "found", "h", "y")})
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, out)
+        assert name == "packing" or got.columns == docs.columns
+        assert {9001, 9002} <= {r["doc_id"] for r in got.select("doc_id").collect()} or name == "quality"
+        if name == "minhash":
+            assert got.where("doc_id = 9001").count() == 1 and got.where("doc_id IS NULL").count() == 1
+
+
 def test_queries_are_named(spark):
     assert [n for n in queries()] and {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 11))
