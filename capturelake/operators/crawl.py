@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..checkpoints import Steps
 
 
+#: Visits of a level are numbered below 2^LEVEL_BITS.
+LEVEL_BITS = 52
+
+
 @dataclass
 class CrawlResult:
     """visited (url, depth, seq, ok); frontier (url, depth) is what a limit left over."""
@@ -24,47 +28,47 @@ def crawl(edges: DataFrame, captures: DataFrame, start: DataFrame, max_depth: in
 
     edges (src, dst[, pos]) lead from page to page in order of ``pos``; a url without a row in captures (url) fails: it stays
     visited but does not count for ``max_pages``.  A page's links are followed while its depth is under ``max_depth``.  seq
-    numbers the visits: level by level, within a level by the order in which links were met.  ``visited`` (url) holds urls
+    orders the visits: level by level, within a level by the order in which links were met.  ``visited`` (url) holds urls
     of an earlier run that are not to be visited again.
     """
     spark = edges.sparkSession
     steps = Steps(spark, "crawl")
-    known = captures.select("url").distinct().withColumn("ok", F.lit(True))
+    known = steps.save(captures.select("url").distinct(), "known").withColumn("ok", F.lit(True))
     links = edges.select("src", "dst", F.col("pos").cast("long").alias("pos") if "pos" in edges.columns else F.lit(0).cast("long").alias("pos"))
     depth = F.col("depth").cast("int") if "depth" in start.columns else F.lit(0)
-    before = (visited or start.limit(0)).select("url").distinct()
-    first = start.groupBy("url").agg(F.min(depth).alias("depth")).join(before, "url", "left_anti")
-    level = steps.save(_numbered(first, ["depth", "url"]), "level-0")
-    seen = spark.createDataFrame([], "url string, depth int, seq long, ok boolean")
-    waiting, number, done, k = level.count(), 0, 0, 0
+    before = steps.save(visited.select("url").distinct(), "before") if visited is not None else None
+    first = start.groupBy("url").agg(F.min(depth).alias("depth"))
+    level = steps.save(_numbered(_without(first, before), ["depth", "url"]), "level-0")
+    seen = None
+    waiting, done, k = level.count(), 0, 0
     last = level
     while waiting and done < max_pages:
-        ranked = level.join(known, "url", "left").select("url", "depth", (F.col("seq") + number).alias("seq"), F.coalesce("ok", F.lit(False)).alias("ok"))
+        ranked = level.join(known, "url", "left").select("url", "depth", (F.col("seq") + (k << LEVEL_BITS)).alias("seq"), F.coalesce("ok", F.lit(False)).alias("ok"))
         if done + waiting > max_pages:
             # the limit may fall into this level
             ranked = _running(ranked.withColumn("n", F.col("ok").cast("long"))).where(F.col("before") + done < max_pages).select("url", "depth", "seq", "ok")
         taken = steps.save(ranked, f"taken-{k}")
-        count = taken.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("ok").cast("long")), F.lit(0)).alias("ok")).first()
-        last, seen = level, seen.unionByName(taken)
-        number, done, k = number + count["n"], done + count["ok"], k + 1
+        done += taken.where("ok").count()
+        last, seen = level, taken if seen is None else seen.unionByName(taken)
+        k += 1
         found = taken.where(F.col("ok") & (F.col("depth") < max_depth)).join(links, F.col("url") == F.col("src"))
         found = found.groupBy(F.col("dst").alias("url")).agg(F.min(F.col("depth") + 1).alias("depth"), F.min(F.struct("seq", "pos")).alias("at"))
-        fresh = found.join(seen.select("url"), "url", "left_anti").join(before, "url", "left_anti")
+        fresh = _without(_without(found, seen), before)
         level = steps.save(_numbered(fresh, ["at", "url"]).select("url", "depth", "seq"), f"level-{k}")
         waiting = level.count()
     rest = last.select("url", "depth").unionByName(level.select("url", "depth")).groupBy("url").agg(F.min("depth").alias("depth"))
-    frontier = steps.save(rest.join(seen.select("url"), "url", "left_anti"), "frontier")
+    seen = seen if seen is not None else spark.createDataFrame([], "url string, depth int, seq long, ok boolean")
+    frontier = steps.save(_without(rest, seen), "frontier")
     return CrawlResult(seen, frontier, done >= max_pages and bool(frontier.limit(1).count()))
 
 
+def _without(df: DataFrame, urls: DataFrame | None) -> DataFrame:
+    return df if urls is None else df.join(urls.select("url"), "url", "left_anti")
+
+
 def _numbered(df: DataFrame, by: list[str]) -> DataFrame:
-    """``df`` with seq from 1 in the order of ``by``; counted within ranges and offset by the ranges before."""
-    ranged = df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
-    inner = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*by)))
-    sizes = inner.groupBy("_part").agg(F.max("_row").alias("_size"))
-    # one row a partition
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    return inner.join(F.broadcast(offsets), "_part").withColumn("seq", (F.col("_row") + F.col("_before")).cast("long")).drop("_part", "_row", "_before", "_size", "at")
+    """``df`` with seq, ascending in the order of ``by``; ranges are sorted on their own, and numbers leave gaps."""
+    return df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("seq", F.monotonically_increasing_id()).drop("at")
 
 
 def _running(df: DataFrame) -> DataFrame:
