@@ -3,8 +3,8 @@
 A message's lines have a quote level, the number of ``>`` in front.  A run of lines of one level is a passage.  Passages
 and single lines are normalised (lower case, letters and digits only) and hashed.  What stands at level n + 1 in a message
 is looked up among what stood at level n in the same conversation; the *original* of a hash is the first message that has
-it.  A message answers the original that holds most of what it quotes at level 1 (in characters; the later one of equals),
-and one that quotes nothing known answers the message before it.
+it.  A message answers the original that holds most of what it quotes (in characters; the later one of equals) at the
+lowest level at which it quotes something known, and one that quotes nothing known answers the message before it.
 
 The answers form a tree per conversation; ``position`` numbers it so that each message stands after the one it answers:
 a first answer continues its thread, other answers branch off right behind the message they answer.  Threads are chains of
@@ -83,9 +83,9 @@ def reply_order(conversations: DataFrame, turn_format: str = "<|%s|>\n%s<|end|>\
     parts = scratch.save(passages(rows.join(talking, rows.conv.eqNullSafe(talking.conv), "left_semi")), "passages")
     units = _units(parts).join(rows.select("mid", "conv", "turn"), "mid").withColumn("conv", F.coalesce(F.col("conv").cast("string"), F.lit("")))
     originals = units.groupBy("conv", "level", "hash").agg(F.min(order).alias("first"))
-    asked = units.where("level = 1").select("conv", (F.col("level") - 1).alias("level"), "hash", "weight", "mid", order.alias("own"))
-    votes = asked.join(originals, ["conv", "level", "hash"]).where(F.col("first") < F.col("own")).groupBy("mid", "first").agg(F.sum("weight").alias("weight"))
-    linked = scratch.save(votes.groupBy("mid").agg(F.max_by("first", F.struct("weight", "first")).alias("first")).select("mid", F.col("first.mid").alias("linked")), "linked")
+    asked = units.where("level >= 1").select("conv", (F.col("level") - 1).alias("level"), "hash", "weight", "mid", order.alias("own"))
+    votes = asked.join(originals, ["conv", "level", "hash"]).where(F.col("first") < F.col("own")).groupBy("mid", "level", "first").agg(F.sum("weight").alias("weight"))
+    linked = scratch.save(votes.groupBy("mid").agg(F.max_by("first", F.struct(-F.col("level"), "weight", "first")).alias("first")).select("mid", F.col("first.mid").alias("linked")), "linked")
 
     before = rows.join(linked, "mid", "left").select("mid", "conv", "turn", "linked", F.lag("mid").over(by_turn).alias("previous"))
     answers = before.withColumn("parent", F.coalesce("linked", "previous"))

@@ -44,6 +44,23 @@ def test_levels_and_originals(spark):
     assert [(p.level, p.text) for p in parts] == [(0, "a\nb"), (1, "c"), (2, "d\ne"), (0, "f\n")]
 
 
+def test_deeper_quotes_link(spark):
+    rows = [
+        (1, 0, "a", "First words here\nSecond thoughts"),
+        (1, 1, "b", "> First words here\nyes, they are"),
+        (1, 2, "a", "something else"),
+        (1, 3, "b", ">> First words here\nonly a quote of a quote"),
+        (1, 4, "a", "> Words that were edited\n>> First words here\nedited above"),
+        (1, 5, "b", ">>> First words here\nstill deeper"),
+        # a known quote at level 1 wins over a longer one at level 2
+        (1, 6, "a", "> Second thoughts\n>> First words here\nof the first"),
+        # at level 2 words are sought at level 1, where nobody has these
+        (1, 7, "b", ">> something else\nno"),
+    ]
+    got = {r.turn: (r.reply_to, r.linked) for r in rows_of(spark, rows)}
+    assert got == {0: (None, False), 1: (0, True), 2: (1, False), 3: (1, True), 4: (1, True), 5: (3, True), 6: (0, True), 7: (6, False)}
+
+
 def test_awkward_rows(spark):
     rows = [(1, None, None, None), (1, 0, "user", ""), (1, 0, "user", ""), (None, 5, "user", "> x"), (None, 6, None, "x"), (3, 1, "user", "> only quotes\n> here"), (4, 1, "user", "%s %d <|end|>"), (4, 2, "user", "long " * 50_000)]
     got = rows_of(spark, rows)
