@@ -232,6 +232,9 @@ r AS (SELECT *, 10000 - coalesce(sum(length(text)) OVER (ORDER BY name ROWS BETW
 SELECT string_agg('## File: ' || name || chr(10) || CASE WHEN length(text) > room THEN substr(text, 1, CAST(room AS BIGINT)) || chr(10) || '[... truncated ...]' ELSE text END, chr(10) || chr(10) ORDER BY name) || chr(10) || chr(10) || '[Note: Showing 5 of ' || (SELECT count(*) FROM documents) || ' files]' AS content FROM r WHERE room > 0""",
     "crawl_bfs": f"""WITH RECURSIVE {_BFS}, seen(id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT dst, depth + 1 FROM seen JOIN edge ON src = id WHERE depth < 4)
 SELECT 'p' || s.id AS url, CAST(min(depth) AS BIGINT) AS depth, coalesce(bool_or(ok), false) AS ok FROM seen s LEFT JOIN node USING (id) GROUP BY s.id""",
+    # every page but the first is linked from one smaller page, so links back lead to nothing new
+    "crawl_whole": f"""WITH RECURSIVE {_BFS}, seen(id, depth) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT dst, depth + 1 FROM seen JOIN edge ON src = id WHERE dst > id)
+SELECT 'p' || s.id AS url, depth, coalesce(ok, false) AS ok FROM seen s LEFT JOIN node USING (id)""",
     "crawl_limited": f"""WITH RECURSIVE {_BFS}, seen(id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT dst, depth + 1 FROM seen JOIN edge ON src = id WHERE depth < 10),
 ranked AS (SELECT s.id, min(depth) AS depth FROM seen s JOIN node USING (id) WHERE ok GROUP BY s.id ORDER BY depth, s.id LIMIT 20) SELECT count(*) AS pages, CAST(max(depth) AS BIGINT) AS deepest FROM ranked""",
     "sitemap_urls": "SELECT page_id, unnest([CAST(0 AS BIGINT), CAST(1 AS BIGINT)]) AS seq, url FROM pages WHERE page_id % 6 < 4",

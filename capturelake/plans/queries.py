@@ -554,6 +554,14 @@ def crawl_bfs(spark: SparkSession, folder: str) -> DataFrame:
     return found.visited.select("url", F.col("depth").cast("bigint").alias("depth"), "ok")
 
 
+@query
+def crawl_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page that the links reach; neither depth nor pages are limited."""
+    edges, known = _edges(spark, folder)
+    found = crawl(edges, known, spark.createDataFrame([("p0",)], "url string"), max_depth=2**31 - 1, max_pages=2**62)
+    return found.visited.select("url", F.col("depth").cast("bigint").alias("depth"), "ok")
+
+
 @query
 def crawl_limited(spark: SparkSession, folder: str) -> DataFrame:
     edges, known = _edges(spark, folder)
