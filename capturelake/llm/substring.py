@@ -1,11 +1,13 @@
-"""Repeated passages: relative Lempel-Ziv parsing of documents against all earlier documents.
+"""Repeated passages: parsing of documents into factors that all earlier documents have, by an index of phrase hashes.
 
 The reference of a document is every document with a smaller doc_id.  It is indexed by phrase (``WINDOW`` consecutive
 words), in blocks that are the partitions of a shuffle by phrase hash; each phrase points to its first document.  A
 document is parsed greedily: from a word that starts an indexed phrase the factor grows word by word while the next
 phrase is indexed too, other words are literals.  A factor that ends is checked at its border: phrases that straddle it
 and are indexed join it to the next.  Factors are at least ``WINDOW`` words long and become the duplicate spans, so the
-spans cover exactly the words of all phrases that also start in an earlier document.
+spans cover exactly the words of all phrases that also start in an earlier document.  The index holds no positions: each
+phrase of a span occurs in an earlier document, and ``ref`` is the first that has the span's first phrase; where phrases
+of several documents overlap, the span as a whole need not stand in one of them.
 
 Indexing every phrase of every document would move many times the input.  Two steps keep that small without losing any:
 
@@ -37,7 +39,9 @@ ANCHOR = 5
 
 
 def sliding_min(g: np.ndarray, width: int) -> np.ndarray:
-    """Minima of all runs of ``width`` values."""
+    """Minima of all runs of ``width`` values; none if there are fewer values."""
+    if len(g) < width:
+        return g[:0]
     done, low = 1, g
     while done < width:
         step = min(done, width - done)
@@ -107,14 +111,17 @@ def contained(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 def parse(hits: np.ndarray, refs: np.ndarray, n_words: int, window: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """Covered words and spans (first word, words, reference) from the indexed phrases of one document.
 
-    ``hits`` are the words, ascending, that start an indexed phrase, ``refs`` the document each was indexed from.
+    ``hits`` are the words, ascending, that start an indexed phrase, ``refs`` the document each was indexed from.  A span
+    ends where no indexed phrase straddles its border.
     """
     edge = np.zeros(n_words + 1, dtype=np.int32)
     np.add.at(edge, hits, 1)
     np.add.at(edge, hits + window, -1)
     covered = np.cumsum(edge[:-1]) > 0
-    turn = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
-    spans = [(int(s), int(e - s), int(refs[np.searchsorted(hits, s)])) for s, e in zip(turn[::2], turn[1::2])]
+    last = np.flatnonzero(np.diff(hits) >= window)
+    first = np.concatenate([[0], last + 1]) if len(hits) else last
+    ends = hits[np.append(last, len(hits) - 1)] + window if len(hits) else hits
+    spans = [(int(s), int(e - s), int(r)) for s, e, r in zip(hits[first], ends, refs[first])]
     return covered, spans
 
 

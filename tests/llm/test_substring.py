@@ -1,9 +1,10 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
-from capturelake.llm.substring import remove_repeats
+from capturelake.llm.substring import remove_repeats, sliding_min
 
 
 def brute(rows, window):
@@ -42,6 +43,22 @@ def test_digest_of_query_form(spark):
     assert hashlib.sha256(got[3].text.encode()).hexdigest() == hashlib.sha256(b"").hexdigest()
 
 
+def test_factors_end_where_no_phrase_straddles(spark):
+    a, b = ([f"{x}{k}" for k in range(13)] for x in "ab")
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(a + b)), (4, " ".join(["x", *b, *a, "y"])), (5, " ".join(a + b[:5]))]
+    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [tuple(s) for s in got[3].spans] == [(0, 13, 1), (13, 13, 2)] and (got[3].text, got[3].n_removed) == ("", 26)
+    assert [tuple(s) for s in got[4].spans] == [(1, 13, 2), (14, 13, 1)] and got[4].text == "x y"
+    # phrases that straddle the border stand in document 3
+    assert [tuple(s) for s in got[5].spans] == [(0, 18, 1)]
+
+
+@pytest.mark.parametrize("n", range(16))
+def test_minima_of_few_words(n):
+    g = np.arange(n, dtype=np.uint64)[::-1]
+    assert sliding_min(g, 9).tolist() == [min(g[k : k + 9].tolist()) for k in range(n - 8)]
+
+
 def test_nothing_to_do(spark, no_documents):
     assert remove_repeats(no_documents).count() == 0
     nulls = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
