@@ -14,6 +14,7 @@ repeat are stored once each, equal texts to equal bytes.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -28,6 +29,7 @@ from .text import string_buffers
 
 UNIT = 64
 RATE = 8000
+PDF_END = re.compile(rb"startxref\s+\d+\s+%%EOF")
 
 
 def _wav(b: memoryview) -> int | None:
@@ -138,10 +140,16 @@ def _zip(b: memoryview) -> int | None:
 def _pdf(b: memoryview) -> int | None:
     raw = bytes(b)
     end = raw.find(b"%%EOF")
-    return end + 5 if raw[5:6].isdigit() and end >= 0 and b"startxref" in raw[:end] else None
+    if not raw[5:6].isdigit() or end < 0 or b"startxref" not in raw[:end]:
+        return None
+    # linearized and incrementally saved files have several ends; the last before another file's header counts
+    header = raw.find(b"%PDF-", end)
+    ends = [m.end() for m in PDF_END.finditer(raw, end + 5, header if header >= 0 else len(raw))]
+    return ends[-1] if ends else end + 5
 
 
-def _flac(b: memoryview) -> int | None:
+def _flac_frames(b: memoryview) -> int | None:
+    """Where the first frame starts."""
     at = 4
     while at + 4 <= len(b):
         size, last, kind = int.from_bytes(b[at + 1 : at + 4], "big"), b[at] & 0x80, b[at] & 0x7F
@@ -149,10 +157,15 @@ def _flac(b: memoryview) -> int | None:
             return None
         at += 4 + size
         if last:
-            return len(b) if at + 2 <= len(b) and b[at] == 0xFF and b[at + 1] & 0xFC == 0xF8 else None
+            return at if at + 2 <= len(b) and b[at] == 0xFF and b[at + 1] & 0xFC == 0xF8 else None
     return None
 
 
+def _flac(b: memoryview) -> int | None:
+    """The rest of the value: frames do not tell their length."""
+    return len(b) if _flac_frames(b) else None
+
+
 def _ogg(b: memoryview) -> int | None:
     at = 0
     while at + 27 <= len(b) and bytes(b[at : at + 5]) == b"OggS\0":
@@ -203,8 +216,9 @@ def parts(content: bytes) -> list[tuple[int, int, str]]:
         length = FORMATS[k][2](view[start:])
         if length:
             out.append((start, length, FORMATS[k][1]))
-            # a container at the very start is the value itself: look into it
-            inside = start + length if start else 0
+            # a container at the very start is the value itself: look into it; a FLAC's end is open, others may follow it
+            taken = _flac_frames(view[start:]) + 2 if FORMATS[k][2] is _flac else length
+            inside = start + taken if start else 0
     return out
 
 

@@ -40,6 +40,23 @@ def test_validators(kind):
     assert not [p for p in media.parts(raw[: len(raw) - 3]) if p[0] == 0 and kind not in ("audio/flac",)]
 
 
+def test_pdf_of_several_ends():
+    saved = PDF + b"\n2 0 obj\nendobj\nstartxref\n42\n%%EOF"
+    linearized = b"%PDF-1.4\n1 0 obj\nendobj\nstartxref\r\n0\r\n%%EOF\r\n2 0 obj\nendobj\nstartxref\r\n99\r\n%%EOF"
+    for raw in (saved, linearized):
+        assert media.parts(raw) == [(0, len(raw), "application/pdf")]
+        assert media.parts(b"--" + raw + b"\n" + PDF + b" %%EOF") == [(2, len(raw), "application/pdf"), (len(raw) + 3, len(PDF), "application/pdf")]
+        assert media.parts(b"--" + raw + PNG) == [(2, len(raw), "application/pdf"), (len(raw) + 2, len(PNG), "image/png")]
+
+
+def test_media_behind_flac():
+    raw = b"--" + FLAC + b"frames" + PNG + FLAC + GIF
+    assert [(s, t) for s, _, t in media.parts(raw)] == [(2, "audio/flac"), (2 + len(FLAC) + 6, "image/png"), (8 + len(FLAC) + len(PNG), "audio/flac"), (8 + 2 * len(FLAC) + len(PNG), "image/gif")]
+    # a picture in the metadata belongs to the embedded FLAC
+    art = FLAC[:4] + b"\0" + FLAC[5:42] + b"\x86" + len(PNG).to_bytes(3, "big") + PNG + FLAC[42:]
+    assert [t for _, _, t in media.parts(b"--" + art)] == ["audio/flac"]
+
+
 def test_corrected_types_and_carved_media(spark):
     noise = b"GIF89a no image, RIFF no sound, PK\x03\x04 "
     rows = [(1, PNG, "image/jpeg"), (2, noise + PNG + b"--" + GIF, "text/plain"), (3, None, "image/png"), (4, b"", None), (5, media.to_wav(PNG + b"\0" * 3), "application/octet-stream"), (6, PNG + b"tail", "image/png")]
