@@ -8,7 +8,9 @@ format at the start of a value corrects its declared type; valid formats further
 ``UNIT``.  Everything reported of it is computed from the samples carved out of the stored bytes.
 
 Defined results: null text is the empty text (one unit of zero bytes); null content has type null and no parts; rows that
-repeat are stored once each, equal texts to equal bytes.
+repeat are stored once each, equal texts to equal bytes; extra columns are ignored by the stores and kept by ``sniff``, whose
+own columns replace those of the same names.  A text is held whole, with its stored form and the samples read back; rows
+are handed on whenever some megabytes of stored forms are held.
 """
 
 from __future__ import annotations
@@ -17,7 +19,10 @@ import hashlib
 import re
 import struct
 import zlib
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -32,7 +37,63 @@ RATE = 8000
 PDF_END = re.compile(rb"startxref\s+\d+\s+%%EOF")
 
 
-def _wav(b: memoryview) -> int | None:
+class Value:
+    """Bytes that are looked into, and what validators have already found out about them.
+
+    Places of end records are collected once; chains of blocks (``chain``) remember for every place where its chain ends.
+    So a value full of magic bytes costs each place once, not once for each magic byte string in front of it.
+    """
+
+    def __init__(self, content: bytes) -> None:
+        self.raw, self.view = content, memoryview(content)
+        self.known: dict[str, array] = {}
+
+    def chain(self, name: str, at: int, step: Callable[[int], tuple[bool, int]]) -> int:
+        """Where the chain of blocks that starts at ``at`` ends, or -1; ``step`` gives (done, end) or (not done, next place)."""
+        size = len(self.raw)
+        if name not in self.known:
+            self.known[name] = array("q", [-2]) * (size + 1)
+        ends, path, end = self.known[name], [], -1
+        while at <= size:
+            if ends[at] != -2:
+                end = ends[at]
+                break
+            path.append(at)
+            done, at = step(at)
+            if done:
+                end = at
+                break
+        for p in path:
+            ends[p] = end
+        return end
+
+    def places(self, needle: bytes, at: int = 0) -> Iterator[int]:
+        at = self.raw.find(needle, at)
+        while at >= 0:
+            yield at
+            at = self.raw.find(needle, at + 1)
+
+    @cached_property
+    def archives(self) -> dict[int, int]:
+        """Start of each archive, as its end record tells it, and the archive's end."""
+        found: dict[int, int] = {}
+        for at in self.places(b"PK\x05\x06"):
+            if at + 22 <= len(self.raw):
+                size, directory, note = struct.unpack_from("<IIH", self.raw, at + 12)
+                start = at - size - directory
+                if start >= 0 and at + 22 + note <= len(self.raw) and self.raw[start + directory : start + directory + 4] in (b"PK\x01\x02", b"PK\x05\x06"):
+                    found.setdefault(start, at + 22 + note)
+        return found
+
+    @cached_property
+    def pdf_marks(self) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
+        """Places of headers, of all ends, of cross-reference marks; starts and ends of complete trailers."""
+        trailers = [m.span() for m in PDF_END.finditer(self.raw)]
+        return [*self.places(b"%PDF-")], [*self.places(b"%%EOF")], [*self.places(b"startxref")], [a for a, _ in trailers], [b for _, b in trailers]
+
+
+def _wav(v: Value, start: int) -> int | None:
+    b = v.view[start:]
     if len(b) < 12 or bytes(b[8:12]) != b"WAVE":
         return None
     end = 8 + struct.unpack_from("<I", b, 4)[0]
@@ -48,139 +109,158 @@ def _wav(b: memoryview) -> int | None:
     return end if {b"fmt ", b"data"} <= seen and at in (end, end + 1) else None
 
 
-def _png(b: memoryview) -> int | None:
-    at, first = 8, True
-    while at + 12 <= len(b):
-        size, name = struct.unpack_from(">I", b, at)[0], bytes(b[at + 4 : at + 8])
-        if at + 12 + size > len(b) or first and name != b"IHDR":
-            return None
-        if struct.unpack_from(">I", b, at + 8 + size)[0] != zlib.crc32(b[at + 4 : at + 8 + size]):
-            return None
-        at, first = at + 12 + size, False
-        if name == b"IEND":
-            return at
-    return None
+def _png(v: Value, start: int) -> int | None:
+    b, n = v.raw, len(v.raw)
+    if b[start + 8 : start + 16] != b"\0\0\0\x0dIHDR":
+        return None
 
+    def layout(at: int) -> tuple[bool, int]:
+        if at + 12 > n or not b[at + 4 : at + 8].isalpha():
+            return True, -1
+        end = at + 12 + struct.unpack_from(">I", b, at)[0]
+        return (b[at + 4 : at + 8] == b"IEND", end) if end <= n else (True, -1)
 
-def _gif(b: memoryview) -> int | None:
-    if len(b) < 13:
-        return None
-    at = 13 + (3 << ((b[10] & 7) + 1) if b[10] & 0x80 else 0)
+    def chunk(at: int) -> tuple[bool, int]:
+        size = struct.unpack_from(">I", b, at)[0]
+        if struct.unpack_from(">I", b, at + 8 + size)[0] != zlib.crc32(v.view[at + 4 : at + 8 + size]):
+            return True, -1
+        return b[at + 4 : at + 8] == b"IEND", at + 12 + size
+
+    # sums are computed only where the chunks lead to an end
+    end = v.chain("png layout", start + 8, layout)
+    end = v.chain("png", start + 8, chunk) if end >= 0 else -1
+    return end - start if end >= 0 else None
 
-    def blocks(at: int) -> int | None:
-        while at < len(b):
-            if not b[at]:
-                return at + 1
-            at += 1 + b[at]
-        return None
 
-    while at is not None and at < len(b):
-        kind = b[at]
-        if kind == 0x3B:
-            return at + 1
-        if kind == 0x21:
-            at = blocks(at + 2)
-        elif kind == 0x2C and at + 10 < len(b):
-            at = blocks(at + 11 + (3 << ((b[at + 9] & 7) + 1) if b[at + 9] & 0x80 else 0))
+def _gif(v: Value, start: int) -> int | None:
+    b, n = v.raw, len(v.raw)
+    if start + 13 > n:
+        return None
+    colours = lambda flags: 3 << ((flags & 7) + 1) if flags & 0x80 else 0
+
+    def block(at: int) -> tuple[bool, int]:
+        if at >= n:
+            return True, -1
+        return (False, at + 1 + b[at]) if b[at] else (True, at + 1)
+
+    def part(at: int) -> tuple[bool, int]:
+        if at < n and b[at] == 0x3B:
+            return True, at + 1
+        if at < n and b[at] == 0x21:
+            end = v.chain("gif blocks", at + 2, block)
+        elif at + 10 < n and b[at] == 0x2C:
+            end = v.chain("gif blocks", at + 11 + colours(b[at + 9]), block)
         else:
-            return None
-    return None
+            return True, -1
+        return end < 0, end
 
+    end = v.chain("gif", start + 13 + colours(b[start + 10]), part)
+    return end - start if end >= 0 else None
 
-def _jpeg(b: memoryview) -> int | None:
-    at = 2
-    while at + 4 <= len(b) and b[at] == 0xFF:
-        kind = b[at + 1]
+
+def _jpeg(v: Value, start: int) -> int | None:
+    b, n = v.raw, len(v.raw)
+
+    def part(at: int) -> tuple[bool, int]:
+        if at + 4 > n or b[at] != 0xFF or b[at + 1] in (0xD8, 0xD9):
+            return True, -1
         size = struct.unpack_from(">H", b, at + 2)[0]
-        if kind in (0xD8, 0xD9) or size < 2:
-            return None
-        at += 2 + size
-        if kind == 0xDA:
-            rest = bytes(b[at:])
-            k = rest.find(b"\xff")
-            while 0 <= k < len(rest) - 1:
-                nxt = rest[k + 1]
-                if nxt == 0xD9:
-                    return at + k + 2
-                if nxt and not 0xD0 <= nxt <= 0xD7:
-                    break
-                k = rest.find(b"\xff", k + 2)
-            if not 0 <= k < len(rest) - 1:
-                return None
-            at += k
-    return None
-
-
-def _gzip(b: memoryview) -> int | None:
+        if size < 2:
+            return True, -1
+        if b[at + 1] != 0xDA:
+            return False, at + 2 + size
+        k = b.find(b"\xff", at + 2 + size)
+        while 0 <= k < n - 1 and (not b[k + 1] or 0xD0 <= b[k + 1] <= 0xD7):
+            k = b.find(b"\xff", k + 2)
+        if not 0 <= k < n - 1:
+            return True, -1
+        return (True, k + 2) if b[k + 1] == 0xD9 else (False, k)
+
+    end = v.chain("jpeg", start + 2, part)
+    return end - start if end >= 0 else None
+
+
+def _gzip(v: Value, start: int) -> int | None:
+    b = v.view[start:]
     if len(b) < 18 or b[2] != 8 or b[3] & 0xE0:
         return None
-    made = zlib.decompressobj(31)
+    made, fed = zlib.decompressobj(31), 0
     try:
-        rest = b
-        while len(rest) and not made.eof:
-            made.decompress(rest, 1 << 20)
-            rest = made.unconsumed_tail
-        return len(b) - len(made.unused_data) if made.eof else None
+        while fed < len(b) and not made.eof:
+            rest: bytes | memoryview = b[fed : fed + (1 << 16)]
+            fed += len(rest)
+            while len(rest) and not made.eof:
+                made.decompress(rest, 1 << 20)
+                rest = made.unconsumed_tail
+        return fed - len(made.unused_data) if made.eof else None
     except zlib.error:
         return None
 
 
-def _zip(b: memoryview) -> int | None:
-    raw = bytes(b)
-    at = raw.find(b"PK\x05\x06")
-    while at >= 0:
-        if at + 22 <= len(raw):
-            size, start, note = struct.unpack_from("<IIH", raw, at + 12)
-            if start + size == at and raw[start : start + 4] in (b"PK\x01\x02", b"PK\x05\x06") and at + 22 + note <= len(raw):
-                return at + 22 + note
-        at = raw.find(b"PK\x05\x06", at + 1)
-    return None
+def _zip(v: Value, start: int) -> int | None:
+    end = v.archives.get(start)
+    return end - start if end is not None else None
 
 
-def _pdf(b: memoryview) -> int | None:
-    raw = bytes(b)
-    end = raw.find(b"%%EOF")
-    if not raw[5:6].isdigit() or end < 0 or b"startxref" not in raw[:end]:
+def _pdf(v: Value, start: int) -> int | None:
+    headers, ends, marks, trailers, trailer_ends = v.pdf_marks
+    k = bisect_left(ends, start + 5)
+    if not v.raw[start + 5 : start + 6].isdigit() or k == len(ends):
+        return None
+    end, mark = ends[k], bisect_left(marks, start)
+    if mark == len(marks) or marks[mark] + 9 > end:
         return None
     # linearized and incrementally saved files have several ends; the last before another file's header counts
-    header = raw.find(b"%PDF-", end)
-    ends = [m.end() for m in PDF_END.finditer(raw, end + 5, header if header >= 0 else len(raw))]
-    return ends[-1] if ends else end + 5
+    after = bisect_left(headers, end)
+    limit = headers[after] if after < len(headers) else len(v.raw)
+    last = bisect_right(trailer_ends, limit) - 1
+    return (trailer_ends[last] if last >= 0 and trailers[last] >= end + 5 else end + 5) - start
 
 
-def _flac_frames(b: memoryview) -> int | None:
+def _flac_frames(v: Value, start: int) -> int | None:
     """Where the first frame starts."""
-    at = 4
-    while at + 4 <= len(b):
-        size, last, kind = int.from_bytes(b[at + 1 : at + 4], "big"), b[at] & 0x80, b[at] & 0x7F
-        if at == 4 and (kind or size != 34) or at + 4 + size > len(b):
-            return None
-        at += 4 + size
-        if last:
-            return at if at + 2 <= len(b) and b[at] == 0xFF and b[at + 1] & 0xFC == 0xF8 else None
-    return None
+    b, n = v.raw, len(v.raw)
+    at = start + 4
+    if at + 4 > n or b[at] & 0x7F or int.from_bytes(b[at + 1 : at + 4], "big") != 34:
+        return None
 
+    def part(at: int) -> tuple[bool, int]:
+        if at + 4 > n:
+            return True, -1
+        after = at + 4 + int.from_bytes(b[at + 1 : at + 4], "big")
+        if after > n:
+            return True, -1
+        if not b[at] & 0x80:
+            return False, after
+        return True, after if after + 2 <= n and b[after] == 0xFF and b[after + 1] & 0xFC == 0xF8 else -1
 
-def _flac(b: memoryview) -> int | None:
+    end = v.chain("flac", at, part)
+    return end if end >= 0 else None
+
+
+def _flac(v: Value, start: int) -> int | None:
     """The rest of the value: frames do not tell their length."""
-    return len(b) if _flac_frames(b) else None
+    return len(v.raw) - start if _flac_frames(v, start) else None
 
 
-def _ogg(b: memoryview) -> int | None:
-    at = 0
-    while at + 27 <= len(b) and bytes(b[at : at + 5]) == b"OggS\0":
-        n = b[at + 26]
-        end = at + 27 + n + sum(b[at + 27 : at + 27 + n])
-        if end > len(b):
-            return None
-        last, at = b[at + 5] & 4, end
-        if last:
-            return at
-    return None
+def _ogg(v: Value, start: int) -> int | None:
+    b, n = v.raw, len(v.raw)
+
+    def page(at: int) -> tuple[bool, int]:
+        if at + 27 > n or b[at : at + 5] != b"OggS\0":
+            return True, -1
+        segments = b[at + 26]
+        end = at + 27 + segments + sum(b[at + 27 : at + 27 + segments])
+        if end > n:
+            return True, -1
+        return bool(b[at + 5] & 4), end
+
+    end = v.chain("ogg", start, page)
+    return end - start if end >= 0 else None
 
 
 #: Magic bytes, type, and what gives a valid value's length.
-FORMATS: list[tuple[bytes, str, Callable[[memoryview], int | None]]] = [
+FORMATS: list[tuple[bytes, str, Callable[[Value, int], int | None]]] = [
     (b"RIFF", "audio/wav", _wav),
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"GIF87a", "image/gif", _gif),
@@ -208,16 +288,16 @@ _automaton = _magics()
 def parts(content: bytes) -> list[tuple[int, int, str]]:
     """(start, length, type) of valid media in ``content``; inside another one's bytes only if that one starts it."""
     out: list[tuple[int, int, str]] = []
-    view, inside = memoryview(content), 0
+    value, inside = Value(content), 0
     for end, (k, size) in _automaton.iter(content.decode("latin-1")):
         start = end + 1 - size
         if start < inside:
             continue
-        length = FORMATS[k][2](view[start:])
+        length = FORMATS[k][2](value, start)
         if length:
             out.append((start, length, FORMATS[k][1]))
             # a container at the very start is the value itself: look into it; a FLAC's end is open, others may follow it
-            taken = _flac_frames(view[start:]) + 2 if FORMATS[k][2] is _flac else length
+            taken = _flac_frames(value, start) + 2 - start if FORMATS[k][2] is _flac else length
             inside = start + taken if start else 0
     return out
 
@@ -266,7 +346,7 @@ def samples(media: bytes) -> bytes:
 
 
 def feature(payload: bytes) -> str:
-    """Level, spread, turns through the middle and the spectrum's centre of 8-bit samples."""
+    """Mean, spread, turns through the middle and entropy in bits of 8-bit samples."""
     x = np.frombuffer(payload, dtype=np.uint8)
     count = np.bincount(x, minlength=256).astype(np.float64)
     level = np.arange(256)

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import wave
 import zipfile
 import zlib
@@ -92,3 +93,23 @@ def test_texts_that_look_like_media(spark, no_documents):
     a, b = media.digests(df).collect()
     assert a.asDict() | {"doc_id": 0} == b.asDict() | {"doc_id": 0}
     assert media.digests(no_documents).count() == 0
+
+
+@pytest.mark.parametrize("unit", [b"PK\x03\x04 PK\x05\x06", b"%PDF-1", b"%PDF-1 startxref %%EO", b"GIF89a       !!", b"OggS\0", b"\x89PNG\r\n\x1a\n\0\0\0\x0dIHDR", b"\xff\xd8\xff\xda\0\x04  ", b"fLaC\0\0\0\x22", b"RIFF\0\0\x10\0WAVE"])
+def test_values_full_of_magic_bytes(unit):
+    """Ten times the bytes take about ten times as long, not a hundred times."""
+
+    def seconds(n):
+        raw = unit * (n // len(unit))
+        began = time.process_time()
+        media.parts(raw)
+        return time.process_time() - began
+
+    assert seconds(2_000_000) < 30 * max(seconds(200_000), 0.02)
+
+
+def test_archives_and_documents_among_headers():
+    z, noise = zipped(), b"PK\x03\x04 PK\x05\x06" * 50
+    assert media.parts(b"-" + noise + z + noise + z)[0] == (1 + len(noise), len(z), "application/zip")
+    assert [s for s, _, t in media.parts(noise + z + noise + z) if t == "application/zip"] == [len(noise), 2 * len(noise) + len(z)]
+    assert [p[2] for p in media.parts(b"--%PDF-1 %PDF-2 " + PDF)] == ["application/pdf"]
