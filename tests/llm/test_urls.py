@@ -1,4 +1,4 @@
-from itertools import combinations
+from itertools import combinations, product
 from math import ceil
 
 import pytest
@@ -85,16 +85,48 @@ def labelled():
 
 
 def test_mined_rules_equal_all_subsets(spark, labelled):
-    got = urls.mine(spark.createDataFrame(labelled, "tokens array<string>, label string"), 0.05, 0.8).collect()
-    want = mined_by_hand(labelled, 0.05, 0.8)
-    # rules of any length beyond those tried by hand are pruned by a shorter one here
-    assert {(tuple(r.tokens), r.label): r.confidence for r in got} == pytest.approx(want)
+    # tokens that always go together, and one that only goes with a label
+    rows = [(t + ["a2"] * ("a" in t) + ["b2", "b3"] * ("b" in t) + ["only"] * (y == "block"), y) for t, y in labelled]
+    for given in (labelled, rows):
+        got = urls.mine(Scratch(spark, "t"), spark.createDataFrame(given, "tokens array<string>, label string"), 0.05, 0.8).collect()
+        # rules of any length beyond those tried by hand are pruned by a shorter one here
+        assert expanded(got) == pytest.approx(mined_by_hand(given, 0.05, 0.8))
+
+
+def expanded(rules):
+    return {(tuple(sorted(c)), r.label): r.confidence for r in rules for c in product(*r.groups)}
+
+
+def test_counts_are_rows(spark, labelled, monkeypatch):
+    monkeypatch.setattr(urls, "REPEAT", 3)
+    rows = [(t, y, 1 + k % 8) for k, (t, y) in enumerate(labelled)]
+    got = urls.mine(Scratch(spark, "t"), spark.createDataFrame(rows, "tokens array<string>, label string, rows long"), 0.05, 0.8).collect()
+    assert expanded(got) == pytest.approx(mined_by_hand([(t, y) for t, y, n in rows for _ in range(n)], 0.05, 0.8))
+
+
+def test_long_shared_urls_do_not_explode(spark):
+    shared = [f"t{k}" for k in range(40)]
+    rows = [(shared + [f"u{k % 7}"], "block" if k % 10 else "allow") for k in range(1000)] + [(["z", "t0"], "allow")] * 500
+    got = urls.mine(Scratch(spark, "t"), spark.createDataFrame(rows, "tokens array<string>, label string"), 0.02, 0.85).collect()
+    assert {("z",), ("t1",)} <= {c for (c, _) in expanded(got)} and ("t0",) not in {c for (c, _) in expanded(got)}
+    long = [(k, f"https://a.org/es/{'/'.join(shared)}?{'&'.join(f'q{j}=1' for j in range(30))}") for k in range(200)]
+    assert {r.verdict for r in urls.judge(spark.createDataFrame(long, "page_id long, url string")).collect()} == {"block"}
+
+
+def test_clashing_names(spark):
+    rows = [(k, u, *"abcdefg") for k, u in enumerate(URLS)]
+    df = spark.createDataFrame(rows, "page_id int, url string, _set string, _learnt string, rule_verdict string, verdict string, _Host string, `a.b` string, set_id string")
+    got = {r.page_id: r for r in urls.judge(df).collect()}
+    plain = {r.page_id: r for r in urls.judge(df.select("page_id", "url")).collect()}
+    assert {k: (r.host, r.path, r.rule, r.verdict) for k, r in got.items()} == {k: (r.host, r.path, r.rule, r.verdict) for k, r in plain.items()}
+    assert {(r["_set"], r["_learnt"], r["rule_verdict"], r["_Host"], r["a.b"], r["set_id"]) for r in got.values()} == {tuple("abcefg")}
+    assert list(got[0].asDict()).count("verdict") == 1
 
 
 def test_matching_equals_containment(spark, labelled, monkeypatch):
-    rules = urls.mine(spark.createDataFrame(labelled, "tokens array<string>, label string"), 0.05, 0.7)
-    plain = [(set(r.tokens), r.label, r.confidence) for r in rules.collect()]
-    sets = [(k, sorted(t)) for k, t in enumerate([{"a"}, {"a", "b"}, {"b", "c", "q"}, {"q"}, {"a", "b", "c", "z"}, {"z"}])]
+    rules = urls.mine(Scratch(spark, "t"), spark.createDataFrame([(t + ["a2"] * ("a" in t), y) for t, y in labelled], "tokens array<string>, label string"), 0.05, 0.7)
+    plain = [(set(tokens), y, p) for (tokens, y), p in expanded(rules.collect()).items()]
+    sets = [(k, sorted(t)) for k, t in enumerate([{"a"}, {"a2"}, {"a2", "b"}, {"a", "a2"}, {"a", "b"}, {"b", "c", "q"}, {"q"}, {"a", "b", "c", "z"}, {"z"}])]
     want = {}
     for k, t in sets:
         fits = [(c, y == "block", y) for s, y, c in plain if s <= set(t)]
