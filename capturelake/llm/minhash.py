@@ -7,14 +7,14 @@
 3. Representatives that share a bucket are candidates.  Similarity is estimated by bit counts of the packed signatures,
    corrected for chance agreement of ``PLANES`` bits; hopeless pairs go.  The rest is confirmed on the full sets.
 4. First each bucket's members are compared with its smallest member only.  Components of those links make most other
-   pairs needless; a second pass compares members of different components, in blocks of ``BLOCK`` rows a side.
+   pairs needless; a second pass compares members of different components only, in cells of ``BLOCK`` rows a side.
 
 With 4 rows and 32 bands a pair at similarity 0.8 shares no bucket with probability 5e-8.  Sets are sets of 64-bit
 shingle hashes.
 
 Defined results: null text counts as empty; a text without words has no shingles and links with nothing; a null doc_id
-takes no part (component_id null, kept true); rows that repeat a doc_id are judged by their own text and get the same
-component when their texts are near.
+takes no part (component_id null, kept true); rows that repeat a doc_id are judged by their own text each, also where
+their texts differ; long texts are read whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .scratch import Scratch
+from .scratch import BLOOM, Scratch
 from .text import LOWER, chunks, find_words, mix, ngram_hash, span_hash
 
 ROWS, BANDS, PLANES = 4, 32, 4
@@ -65,9 +65,8 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def pack(low: np.ndarray) -> np.ndarray:
-    """Low bits of scrambled minima, one plane of K bits after the other, as longs."""
-    bits = (low * np.uint32(0x9E3779B1)) >> np.uint32(32 - PLANES)
-    planes = ((bits[None, :] >> np.arange(PLANES, dtype=np.uint32)[:, None]) & 1).astype(np.uint8)
+    """The low PLANES bits of each minimum, one plane of K bits after the other, as longs."""
+    planes = ((low[None, :] >> np.arange(PLANES, dtype=np.uint32)[:, None]) & 1).astype(np.uint8)
     return np.packbits(planes, axis=1).reshape(-1).view(np.int64)
 
 
@@ -79,6 +78,13 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def checksums(sets: list[np.ndarray]) -> np.ndarray:
+    """Two longs for each set; equal sets have equal ones."""
+    salt = np.uint64(0xA5A5A5A55A5A5A5A)
+    sums = [(mix(s).sum(dtype=np.uint64), mix(s ^ salt).sum(dtype=np.uint64)) for s in sets]
+    return np.array(sums, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+
+
 _SIGNATURES = "doc_id long, n_shingles long, s1 long, s2 long, planes array<long>, bands array<long>"
 
 
@@ -86,18 +92,15 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """One row per document: set size, two checksums of the set, packed signature, bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = np.uint64(0xA5A5A5A55A5A5A5A)
         for batch in batches:
-            n, sums, planes, bands, counts = [], [], [], [], []
-            for s in shingle_sets(batch.column("text"), size):
-                n.append(len(s))
-                sums.append((mix(s).sum(dtype=np.uint64), mix(s ^ salt).sum(dtype=np.uint64)))
+            planes, bands, found = [], [], list(shingle_sets(batch.column("text"), size))
+            n = [len(s) for s in found]
+            for s in found:
                 if len(s):
                     low = minima(s)
                     planes.append(pack(low))
                     bands.append(band_keys(low))
-            some = np.array(n, dtype=np.int64) > 0
-            sums = np.array(sums, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            some, sums = np.array(n, dtype=np.int64) > 0, checksums(found)
 
             def lists(parts: list[np.ndarray], width: int) -> pa.Array:
                 off = np.concatenate([[0], np.cumsum(some * width)]).astype(np.int32)
@@ -143,22 +146,27 @@ def _promising(threshold_pct: int) -> Column:
     return sizes & (similarity(F.col("p_a"), F.col("p_b")) >= margin(threshold_pct / 100))
 
 
-def _side(sig: DataFrame, side: str) -> DataFrame:
-    return sig.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("planes").alias(f"p_{side}"))
+def _side(reps: DataFrame, side: str) -> DataFrame:
+    return reps.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("planes").alias(f"p_{side}"))
 
 
-def confirm(scratch: Scratch, docs: DataFrame, pairs: DataFrame, size: int, threshold_pct: int, name: str) -> DataFrame:
-    """Those of the distinct ``pairs`` (a, b) whose full sets have 100 * intersection >= threshold_pct * union."""
+def confirm(scratch: Scratch, docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, threshold_pct: int, name: str) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) of nodes whose full sets have 100 * intersection >= threshold_pct * union."""
     pairs = scratch.save(pairs, f"{name}-pairs")
-    need = scratch.save_ids(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))), f"{name}-need")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = scratch.save(reps.join(nodes, "node", "left_semi").select("doc_id", "s1", "s2", "node"), f"{name}-wanted")
+    need = scratch.save_ids(wanted.select("doc_id"), f"{name}-need")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [s.tobytes() for s in shingle_sets(batch.column("text"), size)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "shingles"])
+            found = list(shingle_sets(batch.column("text"), size))
+            sums = checksums(found)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "s1", "s2", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(need, "doc_id", "left_semi")
-    full = scratch.save(texts.mapInArrow(sets, "doc_id long, shingles binary"), f"{name}-sets")
+    own = texts.mapInArrow(sets, "doc_id long, s1 long, s2 long, shingles binary").join(wanted, ["doc_id", "s1", "s2"])
+    # rows that repeat a document give its set once
+    full = scratch.save(own.select("node", "shingles").dropDuplicates(["node"]), f"{name}-sets", **BLOOM)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,46 +180,89 @@ def confirm(scratch: Scratch, docs: DataFrame, pairs: DataFrame, size: int, thre
                 hit.append(both > 0 and 100 * both >= threshold_pct * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    joined = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s_a")), "a").join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("s_b")), "b")
+    joined = pairs.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a").join(full.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b")
     links = scratch.save(joined.select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long"), f"{name}-links")
-    scratch.drop(f"{name}-sets", f"{name}-pairs", f"{name}-need")
+    scratch.drop(f"{name}-sets", f"{name}-pairs", f"{name}-need", f"{name}-wanted")
     return links
 
 
+def mixed_cells(scratch: Scratch, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sides (cell columns, node, component) of what members of different components of a bucket must be compared in.
+
+    ``known`` has (key, node, component).  In a bucket with several components, each one of more than BLOCK members is cut
+    into blocks; the members of all smaller ones share the blocks of a pool.  A cell is a block of the pool with one of the
+    pool, one of a large component with one of the pool, or blocks of two large components.  So members of a large
+    component never meet each other: what is compared grows with those outside it.
+    """
+    sizes = known.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select("key")
+    sizes = scratch.save(sizes.join(mixed, "key").withColumn("large", F.col("n") > BLOCK), "part-sizes")
+    group = F.when(F.col("large"), F.col("component")).otherwise(F.lit(0))
+    blocks = sizes.groupBy("key", "large", group.alias("part")).agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("blocks"))
+    blocks = scratch.save(blocks, "part-blocks")
+    placed = known.join(sizes.select("key", "component", "large"), ["key", "component"]).withColumn("part", group)
+    placed = placed.join(blocks, ["key", "large", "part"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+
+    each = blocks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    pool, large = each.where("NOT large"), each.where("large")
+    several = blocks.where("large").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    one = lambda d: d.select("key", F.col("large").alias("large_1"), F.col("part").alias("part_1"), F.col("block").alias("block_1"))
+    two = lambda d: d.select("key", F.col("large").alias("large_2"), F.col("part").alias("part_2"), F.col("block").alias("block_2"))
+    big = large.join(several, "key", "left_semi")
+    cells = one(pool).join(two(pool), "key").where("block_1 <= block_2").unionByName(one(large).join(two(pool), "key")).unionByName(one(big).join(two(big), "key").where("part_1 < part_2"))
+    cells = scratch.save(cells.select("key", *CELL), "cells")
+
+    def side(k: int) -> DataFrame:
+        own = placed.select("key", F.col("large").alias(f"large_{k}"), F.col("part").alias(f"part_{k}"), F.col("block").alias(f"block_{k}"), "node", "component")
+        return own.join(cells, ["key", f"large_{k}", f"part_{k}", f"block_{k}"]).select("key", *CELL, "node", "component")
+
+    return side(1), side(2)
+
+
+CELL = [f"{c}_{k}" for k in (1, 2) for c in ("large", "part", "block")]
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold_pct: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text; other columns are ignored)."""
+    return judged(docs, shingle, threshold_pct).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def judged(docs: DataFrame, shingle: int = 5, threshold_pct: int = 80) -> DataFrame:
+    """``near_duplicates`` with the checksums s1, s2 of each row's set, which tell texts of one doc_id apart."""
     scratch = Scratch(docs.sparkSession, "minhash")
     sig = scratch.save(signatures(docs, shingle), "signatures")
     usable = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.save(usable.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = scratch.save(
-        usable.join(classes.select("s1", "s2", "n_shingles", F.col("rep").alias("doc_id")), ["s1", "s2", "n_shingles", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "planes", "bands"), "reps"
-    )
-    rows = reps.select(F.explode("bands").alias("key"), "doc_id")
-    buckets = rows.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("members")).where("members > 1")
+    # a node is a class of equal sets, whatever ids its rows have; its first id stands for it
+    classes = usable.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    of_rep = classes.select("s1", "s2", "n_shingles", F.col("rep").alias("doc_id"), "node")
+    reps = usable.join(of_rep, ["s1", "s2", "n_shingles", "doc_id"]).dropDuplicates(["node"])
+    reps = scratch.save(reps.select("node", "doc_id", "s1", "s2", "n_shingles", "planes", "bands"), "reps")
+    rows = reps.select(F.explode("bands").alias("key"), "node")
+    buckets = rows.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1").select("key", "leader")
     members = scratch.save(rows.join(buckets, "key"), "members")
 
-    stars = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(_side(reps, "a"), "a").join(_side(reps, "b"), "b").where(_promising(threshold_pct)).select("a", "b")
-    links = confirm(scratch, docs, stars, shingle, threshold_pct, "star")
+    links = confirm(scratch, docs, reps, stars, shingle, threshold_pct, "star")
     parts = scratch.save(connected_components(scratch, links, "star-cc"), "star-components")
 
-    # Members whose bucket holds more than one component; a member without links is a component of its own.
-    known = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_ = known.join(mixed, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    sides = open_.join(reps.select("doc_id", "n_shingles", "planes"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = sides.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "n_shingles", "planes")
-    one = cells.select("key", "i", "j", F.col("block").alias("k_a"), F.col("doc_id").alias("a"), F.col("component").alias("c_a"), F.col("n_shingles").alias("n_a"), F.col("planes").alias("p_a"))
-    two = cells.select("key", "i", "j", F.col("block").alias("k_b"), F.col("doc_id").alias("b"), F.col("component").alias("c_b"), F.col("n_shingles").alias("n_b"), F.col("planes").alias("p_b"))
-    across = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & ((F.col("i") == F.col("j")) | (F.col("k_a") != F.col("k_b")))
-    rest = one.join(two, ["key", "i", "j"]).where(across & _promising(threshold_pct)).select("a", "b").distinct()
-    more = confirm(scratch, docs, rest, shingle, threshold_pct, "rest")
+    # a member without links is a component of its own
+    known = members.select("key", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    one, two = mixed_cells(scratch, known)
+    one = one.withColumnsRenamed({"node": "a", "component": "c_a"}).join(_side(reps, "a"), "a")
+    two = two.withColumnsRenamed({"node": "b", "component": "c_b"}).join(_side(reps, "b"), "b")
+    same = (F.col("large_1") == F.col("large_2")) & (F.col("part_1") == F.col("part_2")) & (F.col("block_1") == F.col("block_2"))
+    across = (F.col("c_a") != F.col("c_b")) & (~same | (F.col("a") < F.col("b")))
+    rest = one.join(two, ["key", *CELL]).where(across & _promising(threshold_pct)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = confirm(scratch, docs, reps, rest, shingle, threshold_pct, "rest")
     final = scratch.save(connected_components(scratch, links.union(more), "all-cc"), "components")
-    scratch.drop("members", "reps", "star-components")
+    scratch.drop("members", "star-components", "part-sizes", "part-blocks", "cells")
 
-    of_class = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    # the smallest id of a component
+    first = final.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_node = final.join(first, "component").select("node", "component_id")
+    of_class = classes.join(of_node, "node", "left").select("s1", "s2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "s1", "s2")

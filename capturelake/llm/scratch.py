@@ -9,6 +9,8 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,9 @@ from pyspark.sql import functions as F
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+#: Settings of a write whose join is to be filtered by the ids of ``save_ids``.
+BLOOM = {f"spark__sql__optimizer__runtime__bloomFilter__{k}": v for k, v in (("applicationSideScanSizeThreshold", "0"), ("creationSideThreshold", "1GB"))}
+
 #: Rows of an Arrow batch sent to Python: texts can be long, so batches are short.
 BATCH_ROWS = 256
 
@@ -33,6 +38,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def quoted(name: str) -> str:
+    """A column's name as a reference that dots and backticks do not break."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores behind it while a column of ``taken`` goes by it in some case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def give_back_memory() -> None:
     """Returns what this process has freed to the system; a driver keeps its memory for long otherwise."""
     pa.default_memory_pool().release_unused()
@@ -42,13 +60,37 @@ def give_back_memory() -> None:
         pass
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from here on.
+
+    Plans read the setting when they are executed, which is after an operator has returned; so it stays in the session, and
+    every operator sets it: what one gives does not depend on which ran before.
+    """
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings (``__`` stands for a dot) that hold while a table is written, and the former ones behind it."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Folder of one operator run; it goes when the driver's JVM ends, and single tables when they are dropped."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+        short_batches(spark)
         path, fs = self._hadoop(self.folder)
         fs.mkdirs(path)
         fs.deleteOnExit(path)
@@ -57,28 +99,21 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` and reads it back; its shuffle files go once it is written."""
-        before = self.spark.conf.get(_CLEAN, "false")
-        self.spark.conf.set(_CLEAN, "true")
-        try:
+    def save(self, df: DataFrame, name: str, **values: str) -> DataFrame:
+        """Writes ``df`` and reads it back; its shuffle files go once it is written.  ``values`` are settings of the write."""
+        with settings(self.spark, **{_CLEAN.replace(".", "__"): "true"}, **values):
             df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
-        finally:
-            self.spark.conf.set(_CLEAN, before)
-            give_back_memory()
+        give_back_memory()
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def save_ids(self, ids: DataFrame, name: str) -> DataFrame:
-        """Writes distinct ids (one long column) so that a join with them filters the other side by a Bloom filter first.
+        """Writes distinct ids (the first column is a long) so that a join with them filters the other side by a Bloom filter
+        first, when it is saved with BLOOM.
 
         Spark builds that filter only from a side with a predicate, hence the one that always holds; the filter's size
         is bounded by spark.sql.optimizer.runtime.bloomFilter.maxNumBits, and the join itself stays exact.
         """
-        rule = "spark.sql.optimizer.runtime.bloomFilter"
-        self.spark.conf.set(f"{rule}.applicationSideScanSizeThreshold", "0")
-        self.spark.conf.set(f"{rule}.creationSideThreshold", "1GB")
-        column = ids.columns[0]
-        return self.save(ids.distinct(), name).where(F.col(column) > -(1 << 63))
+        return self.save(ids.distinct(), name).where(F.col(ids.columns[0]) > -(1 << 63))
 
     def drop(self, *names: str) -> None:
         for name in names:

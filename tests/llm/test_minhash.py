@@ -64,6 +64,40 @@ def test_members_of_a_bucket_beyond_a_block(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in components(rows, 4, 80).items()}
 
 
+def test_one_id_for_several_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(5, a), (5, b), (5, a), (9, b), (7, a + " x"), (1, "c d e f g")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, True), (5, 5, True), (5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False)]
+
+
+def test_members_of_a_component_do_not_meet(spark):
+    """50,000 near copies and ten outsiders of one bucket: only pairs with an outsider are compared."""
+    rows = spark.range(50_000).selectExpr("5L AS key", "id AS node", "0L AS component").unionByName(spark.range(50_000, 50_010).selectExpr("5L AS key", "id AS node", "id AS component"))
+    rows = rows.unionByName(spark.range(2000).selectExpr("6L AS key", "id AS node", "7L AS component"))
+    one, two = minhash.mixed_cells(Scratch(spark, "t"), rows)
+    assert one.count() <= 50_000 + 10 and two.count() <= 110 * 10
+    pairs = one.alias("a").join(two.alias("b"), ["key", *minhash.CELL])
+    assert pairs.count() <= 50_010 * 10
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs at similarities from 0.80 to 0.82 share a bucket and pass the estimate."""
+    rng, missed = np.random.default_rng(8), 0
+    for n in (10, 50, 100, 400, 1000):
+        for _ in range(300):
+            both = int(np.ceil(2 * n * rng.uniform(0.8, 0.82) / (1 + 0.8)))
+            while both / (2 * n - both) < 0.8:
+                both += 1
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            b = np.concatenate([a[:both], rng.integers(0, 1 << 63, n - both, dtype=np.uint64)])
+            x, y = minhash.minima(a), minhash.minima(b)
+            agree = np.mean((x & (2**minhash.PLANES - 1)) == (y & (2**minhash.PLANES - 1)))
+            chance = 2.0**-minhash.PLANES
+            missed += not (minhash.band_keys(x) == minhash.band_keys(y)).any() or (agree - chance) / (1 - chance) < minhash.margin(0.8)
+    assert not missed
+
+
 def test_estimate_is_corrected_for_chance(spark):
     rng = np.random.default_rng(1)
     for share in (0.2, 0.5, 0.8, 0.95):
