@@ -62,7 +62,12 @@ learnt AS (SELECT u.tokens, max_by(m.given, {{'c': m.confidence, 'b': m.given =
 SELECT page_id, host, path, rule, coalesce(given, l.verdict, 'allow') AS verdict FROM ruled LEFT JOIN learnt l USING (tokens)"""
 
 
-OP8 = r"""WITH RECURSIVE m AS (SELECT row_number() OVER (ORDER BY conv_id, turn, role, text) AS mid, conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM conversations),
+OP8 = r"""WITH RECURSIVE originals_of AS (SELECT conv_id, turn, min(text) AS original FROM conversations WHERE trim(text, ' ') <> '' GROUP BY ALL),
+kinds AS (SELECT *, (strpos('0123456789abcdef', substr(md5(concat_ws('/', conv_id, turn)), 1, 1)) - 1) % 4 AS kind FROM conversations),
+mail AS (SELECT k.conv_id, k.turn, k.role, CASE WHEN original IS NULL THEN text ELSE mark || replace(original, chr(10), chr(10) || mark) || chr(10) || text END AS text
+  FROM (SELECT *, CASE kind WHEN 0 THEN '> ' ELSE '>> ' END AS mark, CASE WHEN text IS NOT NULL THEN turn - CASE kind WHEN 0 THEN 2 WHEN 1 THEN 4 END END AS target FROM kinds) k
+  LEFT JOIN originals_of o ON o.conv_id = k.conv_id AND o.turn = k.target),
+m AS (SELECT row_number() OVER (ORDER BY conv_id, turn, role, text) AS mid, conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place FROM mail),
 lines AS (SELECT mid, generate_subscripts(ls, 1) AS line, unnest(ls) AS raw FROM (SELECT mid, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM m)),
 marked AS (SELECT mid, line, raw, regexp_extract(raw, '^((?:[ \t]*>)+)', 1) AS mark FROM lines),
 levels AS (SELECT mid, line, length(mark) - length(replace(mark, '>', '')) AS level, CASE WHEN mark = '' THEN raw ELSE ltrim(substr(raw, length(mark) + 1), ' ') END AS body FROM marked),
@@ -72,8 +77,8 @@ parts AS (SELECT mid, part, level, string_agg(body, chr(10) ORDER BY line) AS bo
 norms AS (SELECT DISTINCT mid, level, trim(regexp_replace(lower(b), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM (SELECT mid, level, body AS b FROM parts UNION ALL SELECT mid, level, body FROM levels)),
 units AS (SELECT u.*, conv_id, place FROM norms u JOIN m USING (mid) WHERE norm <> ''),
 originals AS (SELECT conv_id, level, norm, min(place) AS first FROM units GROUP BY ALL),
-votes AS (SELECT u.mid, o.conv_id, o.first, sum(length(u.norm)) AS weight FROM units u JOIN originals o ON o.conv_id IS NOT DISTINCT FROM u.conv_id AND o.level = 0 AND u.level = 1 AND o.norm = u.norm WHERE o.first < u.place GROUP BY ALL),
-linked AS (SELECT mid, first FROM votes QUALIFY row_number() OVER (PARTITION BY mid ORDER BY weight DESC, first DESC) = 1),
+votes AS (SELECT u.mid, u.level, o.conv_id, o.first, sum(length(u.norm)) AS weight FROM units u JOIN originals o ON o.conv_id IS NOT DISTINCT FROM u.conv_id AND o.level = u.level - 1 AND u.level >= 1 AND o.norm = u.norm WHERE o.first < u.place GROUP BY ALL),
+linked AS (SELECT mid, first FROM votes QUALIFY row_number() OVER (PARTITION BY mid ORDER BY level, weight DESC, first DESC) = 1),
 tree AS (SELECT m.*, l.first AS linked, CASE WHEN place > 1 THEN coalesce(l.first, place - 1) END AS parent FROM m LEFT JOIN linked l USING (mid)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, parent ORDER BY parent = place - 1 DESC, place) = 1 AS goes_on FROM tree),
 walk(conv_id, place, prefix) AS (SELECT conv_id, place, CAST([] AS BIGINT[]) FROM ranked WHERE parent IS NULL

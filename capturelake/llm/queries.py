@@ -68,9 +68,10 @@ def op7_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat import reply_order
+    from .chat import quoted_mail, reply_order
 
-    return reply_order(_table(spark, sf_dir, "conversations"))
+    # the table holds no quoted line of its own
+    return reply_order(quoted_mail(_table(spark, sf_dir, "conversations")))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

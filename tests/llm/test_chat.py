@@ -1,6 +1,6 @@
 import re
 
-from capturelake.llm.chat import passages, reply_order
+from capturelake.llm.chat import passages, quoted_mail, reply_order
 
 
 def rows_of(spark, rows):
@@ -73,6 +73,31 @@ def test_awkward_rows(spark):
     assert reply_order(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_one_conversation_fills_many_ranges(spark):
+    """Order, threads and positions go on across ranges: the same in one range as in many."""
+    rows = [(1, k, "user", (f"> n{k // 3}\n" if k % 5 == 4 else "") + f"n{k}") for k in range(400)] + [(2, k, "user", f"m{k}") for k in range(5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    found = []
+    for n in ("1", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found.append(sorted(tuple(r) for r in reply_order(df).collect()))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] and len(found[0]) == 405
+    got = {r[1]: r for r in found[0] if r[0] == 1}
+    assert all(got[k][3] == (k // 3 if k % 5 == 4 else k - 1) for k in range(1, 400))
+    assert sorted(r[5] for r in got.values()) == list(range(1, 401))
+
+
+def test_quotes_of_the_mail_archive_go_again(spark):
+    rows = [(c, k, "user", f"text {c} {k}\nof two lines") for c in range(30) for k in range(8)] + [(None, 4, "a", "x"), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = [r for r in reply_order(quoted_mail(df)).collect() if r.conv_id is not None and r.turn is not None]
+    assert len(got) == 240 and all(r.body == f"text {r.conv_id} {r.turn}\nof two lines" for r in got)
+    assert {r.turn - r.reply_to for r in got if r.linked} <= {1, 2, 4, 3, 5, 6} and sum(r.linked for r in got) > 60
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "> a\nb")], "conv_id long, turn long, role string, text string")
     plan = reply_order(df)._jdf.queryExecution().executedPlan().toString()
