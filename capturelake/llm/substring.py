@@ -1,25 +1,26 @@
-"""Repeated passages: parsing of documents into factors that all earlier documents have, by an index of phrase hashes.
+"""Repeated passages: relative Lempel-Ziv parsing of documents against all earlier ones.
 
 The reference of a document is every document with a smaller doc_id.  It is indexed by phrase (``WINDOW`` consecutive
-words), in blocks that are the partitions of a shuffle by phrase hash; each phrase points to its first document.  A
-document is parsed greedily: from a word that starts an indexed phrase the factor grows word by word while the next
-phrase is indexed too, other words are literals.  A factor that ends is checked at its border: phrases that straddle it
-and are indexed join it to the next.  Factors are at least ``WINDOW`` words long and become the duplicate spans, so the
-spans cover exactly the words of all phrases that also start in an earlier document.  The index holds no positions: each
-phrase of a span occurs in an earlier document, and ``ref`` is the first that has the span's first phrase; where phrases
-of several documents overlap, the span as a whole need not stand in one of them.
+words), in blocks that are the partitions of a shuffle by phrase hash; each phrase points to a place: the first document that
+has it and its first word there.  Phrases that follow each other both in a document and in its reference are one run.  A
+document is parsed greedily from left to right: at a word that a run covers, the longest run gives the factor, a verbatim
+piece of one earlier document; other words are literals.  A factor that ends is checked at its border: where a phrase that
+straddles it is indexed, the next factor begins right there with what that phrase's run has left.  So the factors, which become
+the duplicate spans, cover exactly the words of all phrases that also start in an earlier document.
 
 Indexing every phrase of every document would move many times the input.  Two steps keep that small without losing any:
 
 * Documents with equal texts are one class; only its first is parsed, the others are one factor (``copies``).
 * Each phrase has an anchor, the smallest hash among its ``ANCHOR``-word sequences.  Equal phrases have equal anchors, so
-  only phrases with an anchor that two documents share can repeat; a document has about one anchor for five words.
+  only phrases with an anchor that two documents share can repeat; a document has about two anchors for seven words.
 
-Hashes are 64 bits wide.  Minima over documents are aggregated before any join, so a passage that a third of all
-documents share is one row on the side it is joined with, and adaptive execution splits the other side.
+Phrases are compared by 128 bits, two hashes of their words' hashes; anchors, which only choose what is indexed, by 64.  Minima
+over documents are aggregated before any join, so a passage that a third of all documents share is one row on the side it is
+joined with, and adaptive execution splits the other side.
 
 Defined results: null text has no words; texts under ``WINDOW`` words stay whole; a doc_id is expected to name one text
-(rows that repeat it with the same text get the same result each); a null doc_id has no earlier documents and is none.
+(rows that repeat it with the same text get the same result each); a null doc_id has no earlier documents and is none; a long
+text is read whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .text import Words, chunks, find_words, ngram_hash, span_hash
+from .text import Words, chunks, find_words, mix, ngram_hash, span_hash
 
 WINDOW = 13
-ANCHOR = 5
+ANCHOR = 8
+_SALT = np.uint64(0x5851F42D4C957F2D)
 
 
 def sliding_min(g: np.ndarray, width: int) -> np.ndarray:
@@ -50,13 +52,22 @@ def sliding_min(g: np.ndarray, width: int) -> np.ndarray:
     return low
 
 
-def phrases(column: pa.Array, window: int) -> Iterator[tuple[int, Words, np.ndarray, np.ndarray]]:
-    """(first row, words, phrase hashes, anchors) of slices of a text column; both arrays go by the phrase's first word."""
+def phrases(column: pa.Array, window: int) -> Iterator[tuple[int, Words, np.ndarray]]:
+    """(first row, words, hashes of the words) of slices of a text column."""
     for lo, _, buf, off in chunks(column):
         words = find_words(buf, off)
-        h = span_hash(buf, words.start, words.end)
-        k = min(ANCHOR, window)
-        yield lo, words, ngram_hash(h, window), sliding_min(ngram_hash(h, k), window - k + 1)
+        yield lo, words, span_hash(buf, words.start, words.end)
+
+
+def anchors_of(h: np.ndarray, window: int) -> np.ndarray:
+    """The anchor of the phrase that starts at each word."""
+    k = min(ANCHOR, window)
+    return sliding_min(ngram_hash(h, k), window - k + 1)
+
+
+def phrase_hashes(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of the phrase that starts at each word."""
+    return ngram_hash(h, window), ngram_hash(mix(h ^ _SALT), window)
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -69,7 +80,8 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for lo, words, _, low in phrases(batch.column("text"), window):
+            for lo, words, h in phrases(batch.column("text"), window):
+                low = anchors_of(h, window)
                 first, hs, counts = words.first.tolist(), [], []
                 for a, b in zip(first, first[1:]):
                     own = np.unique(low[a : max(a, b - window + 1)])
@@ -81,22 +93,25 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """(w, doc_id): phrases of docs (doc_id, text, shared) whose anchor is among ``shared``."""
+    """(w, v, doc_id, place): phrases of docs (doc_id, text, shared) whose anchor is among ``shared``, each at its first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, shared = batch.column("doc_id").to_pylist(), batch.column("shared")
-            for lo, words, grams, low in phrases(batch.column("text"), window):
+            for lo, words, h in phrases(batch.column("text"), window):
+                low, (grams, others) = anchors_of(h, window), phrase_hashes(h, window)
                 first, out, counts = words.first.tolist(), [], []
                 for d, (a, b) in enumerate(zip(first, first[1:])):
                     e = max(a, b - window + 1)
                     known = np.sort(shared[lo + d].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                    own = np.unique(grams[a:e][contained(low[a:e], known)])
-                    out.append(own)
-                    counts.append(len(own))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(ids[lo : lo + len(words)], np.int64), counts))], names=["w", "doc_id"])
+                    place = np.flatnonzero(contained(low[a:e], known))
+                    place = np.sort(place[np.unique(grams[a + place], return_index=True)[1]])
+                    out.append((grams[a + place], others[a + place], place))
+                    counts.append(len(place))
+                w, v, place = (np.concatenate(c) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(v.view(np.int64)), pa.array(np.repeat(np.array(ids[lo : lo + len(words)], np.int64), counts)), pa.array(place.astype(np.int32))], names=["w", "v", "doc_id", "place"])
 
-    return docs.mapInArrow(run, "w long, doc_id long")
+    return docs.mapInArrow(run, "w long, v long, doc_id long, place int")
 
 
 def contained(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -108,21 +123,32 @@ def contained(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
-def parse(hits: np.ndarray, refs: np.ndarray, n_words: int, window: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Covered words and spans (first word, words, reference) from the indexed phrases of one document.
+def parse(hits: np.ndarray, refs: np.ndarray, places: np.ndarray, n_words: int, window: int) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """Covered words and factors (first word, words, reference, first word there) of one document.
 
-    ``hits`` are the words, ascending, that start an indexed phrase, ``refs`` the document each was indexed from.  A span
-    ends where no indexed phrase straddles its border.
+    ``hits`` are the words, ascending, that start an indexed phrase; ``refs`` and ``places`` where each was indexed from.
     """
     edge = np.zeros(n_words + 1, dtype=np.int32)
     np.add.at(edge, hits, 1)
     np.add.at(edge, hits + window, -1)
-    covered = np.cumsum(edge[:-1]) > 0
-    last = np.flatnonzero(np.diff(hits) >= window)
-    first = np.concatenate([[0], last + 1]) if len(hits) else last
-    ends = hits[np.append(last, len(hits) - 1)] + window if len(hits) else hits
-    spans = [(int(s), int(e - s), int(r)) for s, e, r in zip(hits[first], ends, refs[first])]
-    return covered, spans
+    covered, factors = np.cumsum(edge[:-1]) > 0, []
+    if not len(hits):
+        return covered, factors
+    fresh = np.r_[True, (np.diff(hits) != 1) | (np.diff(refs) != 0) | (np.diff(places) != 1)]
+    at = np.flatnonzero(fresh)
+    start, end = hits[at], hits[np.r_[at[1:] - 1, len(hits) - 1]] + window
+    word = int(start[0])
+    while True:
+        # of the runs that have begun, the last reaches furthest
+        k = int(np.searchsorted(start, word, side="right")) - 1
+        if end[k] > word:
+            factors.append((word, int(end[k]) - word, int(refs[at[k]]), int(places[at[k]]) + word - int(start[k])))
+            word = int(end[k])
+        elif k + 1 < len(start):
+            word = int(start[k + 1])
+        else:
+            break
+    return covered, factors
 
 
 def kept_text(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,34 +174,38 @@ def string_array(buf: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return made.cast(pa.string())
 
 
-_OUT = "doc_id long, n_words long, n_removed long, text string, spans array<struct<start: long, words: long, ref: long>>"
+_OUT = "doc_id long, n_words long, n_removed long, text string, spans array<struct<start: long, words: long, ref: long, place: long>>"
 
 
 def _remove(docs: DataFrame, window: int) -> DataFrame:
     """Parses docs (doc_id, text, copy_of, found) and takes their duplicate spans out."""
-    span = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("ref", pa.int64())]))
+    span = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("ref", pa.int64()), ("place", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             copy_of, found = batch.column("copy_of").to_pylist(), batch.column("found")
-            for lo, words, grams, _ in phrases(batch.column("text"), window):
+            for lo, words, h in phrases(batch.column("text"), window):
+                grams, others = phrase_hashes(h, window)
                 keep, first, n_removed, all_spans = np.ones(len(words.start), dtype=bool), words.first.tolist(), [], []
                 for d, (a, b) in enumerate(zip(first, first[1:])):
                     covered, spans = None, []
                     if b - a >= window and copy_of[lo + d] is not None:
-                        covered, spans = np.ones(b - a, dtype=bool), [(0, b - a, copy_of[lo + d])]
+                        covered, spans = np.ones(b - a, dtype=bool), [(0, b - a, copy_of[lo + d], 0)]
                     elif b - a >= window and found[lo + d].is_valid:
-                        pairs = found[lo + d].values
-                        known, refs = (pairs.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                        rows = found[lo + d].values
+                        known, check, refs, places = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(4))
                         order = np.argsort(known.view(np.uint64))
-                        known, refs = known.view(np.uint64)[order], refs[order]
+                        known, check, refs, places = known.view(np.uint64)[order], check.view(np.uint64)[order], refs[order], places[order]
                         own = grams[a : b - window + 1]
                         hits = np.flatnonzero(contained(own, known))
-                        covered, spans = parse(hits, refs[np.searchsorted(known, own[hits])], b - a, window)
+                        row = np.searchsorted(known, own[hits])
+                        same = check[row] == others[a + hits]
+                        hits, row = hits[same], row[same]
+                        covered, spans = parse(hits, refs[row], places[row], b - a, window)
                     if covered is not None:
                         keep[a:b] = ~covered
                     n_removed.append(0 if covered is None else int(covered.sum()))
-                    all_spans.append([{"start": s, "words": n, "ref": r} for s, n, r in spans])
+                    all_spans.append([{"start": s, "words": n, "ref": r, "place": p} for s, n, r, p in spans])
                 ids = batch.column("doc_id").slice(lo, len(words))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(words.first)), pa.array(n_removed, pa.int64()), string_array(*kept_text(words, keep)), pa.array(all_spans, span)], names=["doc_id", "n_words", "n_removed", "text", "spans"])
 
@@ -198,8 +228,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     windows = scratch.save(_windows(named.join(candidates, "doc_id"), window), "windows")
     scratch.drop("candidates")
-    index = windows.groupBy("w").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("hi")).where("ref < hi").drop("hi")
-    found = scratch.save(windows.join(index, "w").where("doc_id > ref").groupBy("doc_id").agg(F.collect_list(F.struct("w", "ref")).alias("found")), "found")
+    index = windows.groupBy("w", "v").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("hi"), F.min_by("place", "doc_id").alias("at")).where("ref < hi").drop("hi")
+    again = windows.join(index, ["w", "v"]).where("doc_id > ref")
+    found = scratch.save(again.groupBy("doc_id").agg(F.collect_list(F.struct("w", "v", "ref", "at")).alias("found")), "found")
     scratch.drop("windows")
 
     known = found.select("doc_id", F.lit(None).cast("long").alias("copy_of"), "found").unionByName(copies.select("doc_id", "copy_of", F.lit(None).cast(found.schema["found"].dataType).alias("found")))
