@@ -9,11 +9,17 @@ t where t may follow.  At first all bytes may follow each other.  Each merge u v
 
 Tokens are numbered in the order of a depth-first walk over "begins with" (later merges first), so the arcs that a
 gadget takes away are one interval of numbers; a state is the list of intervals that may not follow.  The automaton
-accepts exactly one labelling of every byte string, the BPE one, so encoding a word reads its bytes once and follows
-the arcs that are there; decoding writes the labels out.
+accepts exactly one labelling of every byte string, the BPE one.
+
+A table over bytes drives the encoding: each byte of a word is read once and leads to the longest string that ends there and
+begins a label; of the labels that end there, exactly one has an arc from the label before it, and it becomes the last label
+of what was read so far.  Decoding writes the labels out.
 
 The pre-tokenizer (words with a leading blank, numbers, symbols, white space, English contractions) is evaluated on whole
 chunks of text by array operations; each distinct word of a chunk is encoded once and remembered within a bound.
+
+Defined results: null and empty texts have no ids and decode to the empty text; a long text is encoded whole, in a chunk of
+its own; rows that repeat a doc_id, or have none, are encoded each; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -76,7 +82,7 @@ class Automaton:
         made = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
         self._number([vocab[c] for c in letters], made)
         self._build(made)
-        self._trie()
+        self._tables()
 
     def _number(self, roots: list[int], made: list[tuple[int, int, int]]) -> None:
         """Depth-first numbers; ``self.after[w]`` is the end of the subtree of w, ``self.kids[u]`` its (rank, token)."""
@@ -118,20 +124,36 @@ class Automaton:
                     lows.append(lo)
                     highs.append(hi)
 
-    def _trie(self) -> None:
-        """Byte transitions of the labels, and the label that ends at a node."""
-        self.step: dict[int, int] = {}
-        self.ends: list[int] = [-1]
-        for t in self.live:
+    def _tables(self) -> None:
+        """The byte table, and the labels that end at each of its states.
+
+        A state is a string of bytes that some label begins with; reading a byte leads to the longest such string that ends
+        there.  ``step`` has an entry for each state and byte that leads to another state than the byte alone does.
+        """
+        goto, text, self.whole = [{}], [b""], {self.labels[t]: t for t in self.live}
+        for t in sorted(self.live, key=lambda t: self.labels[t]):
             node = 0
-            for b in self.labels[t]:
-                key = node << 8 | b
-                node = self.step.get(key, 0)
-                if not node:
-                    node = self.step[key] = len(self.ends)
-                    self.ends.append(-1)
-            self.ends[node] = t
-        self.whole = {self.labels[t]: t for t in self.live}
+            for k, b in enumerate(self.labels[t]):
+                if b not in goto[node]:
+                    goto[node][b] = len(goto)
+                    goto.append({})
+                    text.append(self.labels[t][: k + 1])
+                node = goto[node][b]
+        self.root = [goto[0].get(b, 0) for b in range(256)]
+        # by length: the shorter state that a state falls back to is complete before it
+        fail, table = [0] * len(goto), [None] * len(goto)
+        table[0] = goto[0]
+        ends: list[tuple] = [()] * len(goto)
+        queue = list(goto[0].values())
+        for node in queue:
+            below = fail[node]
+            own = self.whole.get(text[node])
+            ends[node] = ((own, len(text[node])), *ends[below]) if own is not None else ends[below]
+            for b, to in goto[node].items():
+                fail[to] = table[below].get(b, self.root[b] if below else 0) if node else 0
+                queue.append(to)
+            table[node] = table[below] | goto[node] if below else goto[node]
+        self.step, self.ends = table, ends
 
     def follows(self, state: int, token: int) -> bool:
         p, lows = self.pre[token], self.lows[state]
@@ -139,29 +161,34 @@ class Automaton:
         return k < 0 or p >= self.highs[state][k]
 
     def encode_word(self, word: bytes) -> list[int]:
-        """Labels of the one accepting path of ``word``."""
+        """Labels of the one accepting path of ``word``: each byte is read once, and gives the last label of what was read."""
         if (t := self.whole.get(word)) is not None:
             return [t]
         if (t := self.special.get(word)) is not None:
             return [t]
-        n, step, ends, pre, all_lows, all_highs = len(word), self.step, self.ends, self.pre, self.lows, self.highs
-        at = [-1] * (n + 1)
-        for i in range(n):
-            state, node = at[i], 0
-            lows, highs = (all_lows[state], all_highs[state]) if i else ((), ())
-            for j in range(i, n):
-                node = step.get(node << 8 | word[j])
-                if node is None:
+        step, ends, root, pre, all_lows, all_highs = self.step, self.ends, self.root, self.pre, self.lows, self.highs
+        last, state = [(-1, 0)], 0
+        for place, b in enumerate(word, 1):
+            state = step[state].get(b)
+            if state is None:
+                state = root[b]
+            for label in ends[state]:
+                token, size = label
+                before = last[place - size][0]
+                if before < 0:
+                    if place == size:
+                        break
+                    continue
+                p, lows = pre[token], all_lows[before]
+                k = bisect_right(lows, p) - 1
+                if k < 0 or p >= all_highs[before][k]:
                     break
-                token = ends[node]
-                if token >= 0 and at[j + 1] < 0:
-                    k = bisect_right(lows, pre[token]) - 1
-                    if k < 0 or pre[token] >= highs[k]:
-                        at[j + 1] = token
-        out, i = [], n
-        while i:
-            out.append(at[i])
-            i -= len(self.labels[at[i]])
+            last.append(label)
+        out, place = [], len(word)
+        while place:
+            token, size = last[place]
+            out.append(token)
+            place -= size
         return out[::-1]
 
 
