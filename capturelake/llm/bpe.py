@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import short_batches
 from .text import chunks, span_hash
 
 #: Words of one generation of an encoder's memory; it holds two, and what the older one gives moves to the newer.
@@ -351,6 +352,7 @@ def _round_trips(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray,
 
 
 def _plain(docs: DataFrame) -> DataFrame:
+    short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

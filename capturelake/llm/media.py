@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import short_batches
 from .text import string_buffers
 
 UNIT = 64
@@ -374,6 +375,7 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[
 
 
 def _plain(docs: DataFrame) -> DataFrame:
+    short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
