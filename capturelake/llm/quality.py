@@ -3,16 +3,19 @@
 1. ``word_vectors``: every word has a fixed sparse ternary index vector; a word's vector is the sum of the index vectors of
    the words up to ``REACH`` places away, over all documents.  Words are hashed to ``ROWS`` rows, so what a task holds and
    what the driver gathers has one size whatever the corpus.
-2. ``Pooler``: a document is the mean of its words' vectors, the mean of their squares, the shares of words that repeat
-   the word before and of distinct words, and a constant.
+2. ``Pooler``: a document is the means of its words' vectors, of their squares, and of the products of each word's vector with
+   the next one's (which words follow each other), all by component, and a constant.  These poolings were chosen on rows that
+   may train, fitted on one half of them and judged on the other (README).
 3. ``Network``: two layers of numpy weights, trained on at most ``TRAIN_ROWS`` labelled documents (those with the smallest
-   hash of doc_id), with a temperature fitted on a fifth of them that the weights have not seen.
+   hash of doc_id), with a temperature fitted on a fifth of them that the weights have not seen.  Under five labelled rows
+   there is no such fifth, and the temperature is fitted on the same rows.
 
 Words are runs of letters and digits (and all non-ASCII bytes) or runs of other visible characters, A-Z lower-cased.
 Only the text enters a score.
 
 Defined results: null and empty texts are scored as the empty text; rows that repeat a doc_id are scored each; without
-labelled documents, or with one label only, every score is the label's share (0.5 without any).
+labelled documents, or with one label only, every score is the label's share (0.5 without any); of several labels of a doc_id
+the largest counts, of several texts of one that trains any; a long text is read whole; other columns never enter a score.
 """
 
 from __future__ import annotations
@@ -24,12 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .scratch import Scratch, give_back_memory
+from .scratch import Scratch, give_back_memory, quoted
 from .text import LOWER, chunks, find_runs, span_hash
 
 ROWS, WIDTH, REACH, NONZERO = 1 << 14, 32, 2, 2
 TRAIN_ROWS = 20_000
+#: Words whose neighbours are multiplied at a time.
+SLICE = 1 << 16
 
 #: Byte classes: white space 0, letters, digits and non-ASCII 1, other visible characters 2.
 CLASSES = np.full(256, 2, dtype=np.uint8)
@@ -77,7 +83,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 @dataclass
 class Pooler:
-    """Means of word vectors over documents."""
+    """Means over documents: of word vectors, of their squares, and of the products of neighbours, all by component."""
 
     vectors: np.ndarray
 
@@ -91,15 +97,16 @@ class Pooler:
 
     def __call__(self, row: np.ndarray, first: np.ndarray) -> np.ndarray:
         n, width = np.diff(first), self.vectors.shape[1]
-        out = np.zeros((len(n), width + 3), dtype=np.float32)
+        plain = self.vectors[:, : width // 2]
+        out = np.zeros((len(n), width + width // 2 + 1), dtype=np.float32)
         for d in np.flatnonzero(n).tolist():
             # a document's words, counted: long documents repeat their words
-            all_of = row[first[d] : first[d + 1]]
-            own, times = np.unique(all_of, return_counts=True)
-            out[d, :width] = times.astype(np.float32) @ self.vectors[own]
-            out[d, width] = np.count_nonzero(all_of[1:] == all_of[:-1])
-            out[d, width + 1] = len(own)
-        out[:, :-1] /= np.maximum(n, 1)[:, None]
+            words = row[first[d] : first[d + 1]]
+            own, times = np.unique(words, return_counts=True)
+            out[d, :width] = times.astype(np.float32) @ self.vectors[own] / len(words)
+            for k in range(0, len(words) - 1, SLICE):
+                near = plain[words[k : k + SLICE + 1]]
+                out[d, width:-1] += np.einsum("ab,ab->b", near[1:], near[:-1]) / (len(words) - 1)
         out[:, -1] = n > 0
         return out
 
@@ -127,8 +134,9 @@ class Network:
             return cls.constant(x.shape[1], float(y.mean()) if len(y) else 0.5)
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(y))
-        aside = order[: len(y) // 5] if len(y) >= 50 else order
-        train = order[len(y) // 5 :] if len(y) >= 50 else order
+        aside, train = order[: len(y) // 5], order[len(y) // 5 :]
+        if not len(aside):
+            aside = train
         mean, scale = x[train].mean(axis=0), x[train].std(axis=0) + 1e-6
         z = (x - mean) / scale
         p = [rng.normal(0, 1 / np.sqrt(z.shape[1]), (z.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
@@ -172,11 +180,12 @@ class QualityModel:
             for batch in batches:
                 parts = [network(pooler(row, first)) for _, row, first in hashed_words(batch.columns[-1])]
                 score = pa.array(np.concatenate(parts) if parts else np.zeros(0))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], score], names=[*batch.schema.names[:-1], into])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], score], names=[*batch.schema.names[:-1], "score"])
 
-        plain = docs.select(*keep, F.col("text").cast("string").alias("the_text"))
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields[:-1])
-        return plain.mapInArrow(run, f"{fields}, {into} double" if fields else f"{into} double")
+        # plain names on the way through Python
+        plain = docs.select(*(F.col(quoted(k)).alias(f"x{j}") for j, k in enumerate(keep)), F.col("text").cast("string").alias("text"))
+        made = plain.mapInArrow(run, StructType([*plain.schema.fields[:-1], StructField("score", DoubleType())]))
+        return made.select(*(F.col(f"x{j}").alias(k) for j, k in enumerate(keep)), F.col("score").alias(into))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -201,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows:
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     rows = chosen.mapInArrow(run, "doc_id long, x binary, y double").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    x = np.frombuffer(b"".join(rows["x"]), dtype=np.float32).reshape(len(rows), -1) if len(rows) else np.zeros((0, 2 * WIDTH + 3), np.float32)
+    x = np.frombuffer(b"".join(rows["x"]), dtype=np.float32).reshape(len(rows), -1) if len(rows) else np.zeros((0, 3 * WIDTH + 1), np.float32)
     model = QualityModel(pooler, Network.fit(x.astype(np.float64), rows["y"].to_numpy(dtype=np.float64)))
     del rows, x
     give_back_memory()
