@@ -3,14 +3,15 @@
 A piece is a vector: its tokens, one segment, its loss-bearing tokens.  A sequence has a limit in each of the three.
 Sequences are filled one at a time; the next piece is the one that fits and has the largest dot product of its vector
 with the room left, both in shares of the limits (Panigrahy et al., 2011).  When no whole piece fits and there is room
-for tokens, the largest piece left is cut and its head fills the room.
+for tokens, the piece whose head fills most of it within the limits is cut there.
 
 Documents of a partition are packed as they stream by, a chunk of text at a time; a sequence that is not full when its
 chunk ends goes on with the next chunk, so a partition pads one sequence at most (and those closed by the segment or
 loss limits), and memory is bounded by a chunk.  Sequence ids are the partition's number and a counter.
 
 Defined results: null text is empty and has the final id only; rows that repeat a doc_id are packed once each; a null
-doc_id is packed like any other.
+doc_id is packed like any other; a long text is encoded whole and cut into pieces; of equal pieces the earlier row's comes
+first; other columns than those named are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import CHUNK, Encoder, byte_letters, ragged
+from .scratch import short_batches
 from .text import chunks
 
 _made: dict[str, Encoder] = {}
@@ -61,7 +63,7 @@ class Packer:
     def _put(self, key: object, start: int, tokens: int, loss: int) -> None:
         self.placed.append((key, start, tokens, self.sequence, int(self.limit[0] - self.room[0])))
         self.room -= (tokens, 1, loss)
-        if not self.room.all() or (self.room < 1).any():
+        if self.room[0] < 1 or self.room[1] < 1:
             self.close()
 
     def close(self) -> None:
@@ -70,15 +72,11 @@ class Packer:
             self.room = self.limit.copy()
 
     def add(self, pieces: list[tuple[object, int, int, int]]) -> None:
-        """Places all pieces; what is longer than a sequence is cut first."""
+        """Places all pieces; what fits into no sequence is cut first."""
         keys: list[object] = []
         rows: list[tuple[int, int, int]] = []
         whole = int(min(self.limit[0], self.limit[2]))
         for key, start, tokens, loss in pieces:
-            while tokens > whole and self.room[0] == self.limit[0]:
-                self._put(key, start, whole, max(0, loss - (tokens - whole)))
-                start, tokens = start + whole, tokens - whole
-                loss = min(loss, tokens)
             while tokens > whole:
                 keys.append(key)
                 rows.append((start, whole, max(0, loss - (tokens - whole))))
@@ -89,48 +87,43 @@ class Packer:
                 rows.append((start, tokens, loss))
         table = np.array(rows, dtype=np.float64).reshape(-1, 3)
         starts, need = table[:, 0], np.column_stack([table[:, 1], np.ones(len(table)), table[:, 2]])
-        share, left = need / self.limit, np.ones(len(table), dtype=bool)
-        for _ in range(2 * len(table) + 1):
-            live = np.flatnonzero(left)
-            if not len(live):
-                break
+        share, live = need / self.limit, np.arange(len(table))
+        while len(live):
             fits = live[(need[live] <= self.room).all(axis=1)]
             if len(fits):
                 k = int(fits[np.argmax(share[fits] @ (self.room / self.limit))])
-                left[k] = False
+                live = live[live != k]
                 self._put(keys[k], int(starts[k]), int(need[k, 0]), int(need[k, 2]))
                 continue
-            k = int(live[np.argmax(need[live, 0])])
-            head = int(self.room[0])
-            free = int(need[k, 0] - need[k, 2])
-            if free < head:
-                head = min(head, free + int(self.room[2]))
-            if head < 1 or head >= need[k, 0]:
+            # no piece fits as it is: the head that fills most is cut off, of equals that of the largest piece
+            free = need[live, 0] - need[live, 2]
+            heads = np.minimum(self.room[0], free + self.room[2])
+            best = int(np.lexsort((need[live, 0], heads))[-1])
+            k, head = int(live[best]), int(heads[best])
+            if head < 1:
                 self.close()
                 continue
-            lost = max(0, head - free)
+            lost = max(0, head - int(free[best]))
             self._put(keys[k], int(starts[k]), head, lost)
             starts[k] += head
             need[k] -= (head, 0, lost)
             share[k] = need[k] / self.limit
-        rest = np.flatnonzero(left)
-        for k in rest.tolist():
-            self.close()
-            self._put(keys[k], int(starts[k]), int(need[k, 0]), int(need[k, 2]))
 
 
 _OUT = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
 _DIGEST = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, path: str, tokens: int = 2048, segments: int = 1024, loss: int | None = None, end_id: int = 1, digest: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, tokens: int = 2048, segments: int = 1024, loss: int | None = None, end_id: int = 1, digest: bool = False, context: int = 0) -> DataFrame:
     """Pieces of the token ids of ``docs`` (doc_id, text and, if it is there, loss_from) with their places.
 
-    loss_from is the first loss-bearing token of a row (0: all bear loss; null likewise).  With ``digest`` a piece
-    carries the CRC-32 of its ids instead of the ids.
+    loss_from, a whole number, is the first loss-bearing token of a row; where there is none, it is ``context``.  With
+    ``digest`` a piece carries the CRC-32 of its ids instead of the ids.
     """
+    short_batches(docs.sparkSession)
     limits = (tokens, segments, loss or tokens)
-    start_of_loss = F.coalesce(F.col("loss_from").cast("long"), F.lit(0)) if "loss_from" in docs.columns else F.lit(0).cast("long")
+    given = F.col("loss_from").try_cast("long") if "loss_from" in docs.columns else F.lit(None).cast("long")
+    start_of_loss = F.greatest(F.coalesce(given, F.lit(context).cast("long")), F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = library_encoder(path), Packer(*limits)

@@ -8,6 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Limits of a training sequence: tokens, documents' pieces, and tokens that bear loss; the first ``context`` tokens of a
+#: document bear none, so each sequence needs as many of such tokens as the last limit leaves.
+TRAINING = {"tokens": 2048, "segments": 16, "loss": 2032, "context": 16}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -52,7 +56,7 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), digest=True)
+    return pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), digest=True, **TRAINING)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

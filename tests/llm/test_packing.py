@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from capturelake.llm.packing import Packer, pack_documents
-from capturelake.llm.queries import vocabulary
+from capturelake.llm.queries import TRAINING, vocabulary
 
 PATH = vocabulary("byte_bpe_50k.json")
 
@@ -69,5 +69,20 @@ def test_prompt_tokens_bear_no_loss(spark):
     assert max(bearing.values()) <= 20
 
 
+def test_all_limits_bind_and_little_is_padded(spark):
+    """Long and short documents under the limits of the query: each limit is met by some sequence."""
+    rng = np.random.default_rng(2)
+    sizes = [int(x) for x in rng.choice([3, 8, 15, 40, 300, 900, 3000, 9000], 1500, p=[0.2, 0.2, 0.1, 0.1, 0.2, 0.15, 0.04, 0.01])]
+    p = Packer(TRAINING["tokens"], TRAINING["segments"], TRAINING["loss"])
+    for k in range(0, len(sizes), 500):
+        p.add([(j, 0, n, max(0, n - TRAINING["context"])) for j, n in enumerate(sizes[k : k + 500], k)])
+    held = defaultdict(list)
+    for key, start, length, sequence, _ in p.placed:
+        held[sequence].append((length, length - max(0, min(start + length, TRAINING["context"]) - min(start, TRAINING["context"]))))
+    full = [(sum(n for n, _ in h), len(h), sum(b for _, b in h)) for h in held.values()]
+    assert max(f[0] for f in full) == 2048 and max(f[1] for f in full) == 16 and max(f[2] for f in full) == 2032
+    assert 1 - sum(f[0] for f in full) / (2048 * len(full)) < 0.02
+
+
 def test_no_documents(no_documents):
     assert pack_documents(no_documents, PATH).count() == 0
