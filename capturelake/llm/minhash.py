@@ -85,7 +85,7 @@ def checksums(sets: list[np.ndarray]) -> np.ndarray:
     return np.array(sums, dtype=np.uint64).reshape(-1, 2).view(np.int64)
 
 
-_SIGNATURES = "doc_id long, n_shingles long, s1 long, s2 long, planes array<long>, bands array<long>"
+_SIGNATURES = "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, planes array<long>, bands array<long>"
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -107,11 +107,12 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 return pa.ListArray.from_arrays(off, np.concatenate(parts) if parts else np.zeros(0, np.int64))
 
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy()), lists(planes, PLANES * K // 64), lists(bands, BANDS)],
-                names=["doc_id", "n_shingles", "s1", "s2", "planes", "bands"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy()), lists(planes, PLANES * K // 64), lists(bands, BANDS)],
+                names=["doc_id", "text_hash", "n_shingles", "s1", "s2", "planes", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SIGNATURES)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, _SIGNATURES)
 
 
 def agreeing(a: Column, b: Column) -> Column:
@@ -228,7 +229,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold_pct: int = 80)
 
 
 def judged(docs: DataFrame, shingle: int = 5, threshold_pct: int = 80) -> DataFrame:
-    """``near_duplicates`` with the checksums s1, s2 of each row's set, which tell texts of one doc_id apart."""
+    """``near_duplicates`` with text_hash, xxhash64 of a row's text, which tells texts of one doc_id apart, and part, the
+    number of the row's component, which tells components of such texts apart (null without shingles or doc_id)."""
     scratch = Scratch(docs.sparkSession, "minhash")
     sig = scratch.save(signatures(docs, shingle), "signatures")
     usable = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -261,8 +263,9 @@ def judged(docs: DataFrame, shingle: int = 5, threshold_pct: int = 80) -> DataFr
 
     # the smallest id of a component
     first = final.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_node = final.join(first, "component").select("node", "component_id")
-    of_class = classes.join(of_node, "node", "left").select("s1", "s2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "s1", "s2")
+    of_node = final.join(first, "component")
+    of_class = classes.join(of_node, "node", "left").select("s1", "s2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component", "node").alias("part"))
+    out = sig.select("doc_id", "text_hash", "n_shingles", "s1", "s2").join(of_class, ["s1", "s2", "n_shingles"], "left")
+    named = F.col("doc_id").isNotNull()
+    component = F.when(named, F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash", F.when(named, F.col("part")).alias("part"))

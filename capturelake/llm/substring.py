@@ -12,15 +12,15 @@ Indexing every phrase of every document would move many times the input.  Two st
 
 * Documents with equal texts are one class; only its first is parsed, the others are one factor (``copies``).
 * Each phrase has an anchor, the smallest hash among its ``ANCHOR``-word sequences.  Equal phrases have equal anchors, so
-  only phrases with an anchor that two documents share can repeat; a document has about two anchors for seven words.
+  only phrases with an anchor that two documents share can repeat; a document has about one anchor for five words.
 
-Phrases are compared by 128 bits, two hashes of their words' hashes; anchors, which only choose what is indexed, by 64.  Minima
+Phrases are compared by 96 bits, two hashes of their words' hashes; anchors, which only choose what is indexed, by 64.  Minima
 over documents are aggregated before any join, so a passage that a third of all documents share is one row on the side it is
 joined with, and adaptive execution splits the other side.
 
-Defined results: null text has no words; texts under ``WINDOW`` words stay whole; a doc_id is expected to name one text
-(rows that repeat it with the same text get the same result each); a null doc_id has no earlier documents and is none; a long
-text is read whole; other columns are ignored, whatever their names.
+Defined results: null text has no words; texts under ``WINDOW`` words stay whole; rows that repeat a doc_id are judged each by
+their own text, against those of smaller ids; a null doc_id has no earlier documents and is none; a long text is read whole;
+other columns are ignored, or carried by ``without_repeats``, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,14 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .scratch import Scratch
+from .scratch import Scratch, quoted
 from .text import Words, chunks, find_words, mix, ngram_hash, span_hash
 
 WINDOW = 13
-ANCHOR = 8
+ANCHOR = 5
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -66,8 +68,8 @@ def anchors_of(h: np.ndarray, window: int) -> np.ndarray:
 
 
 def phrase_hashes(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Both hashes of the phrase that starts at each word."""
-    return ngram_hash(h, window), ngram_hash(mix(h ^ _SALT), window)
+    """Both hashes, of 64 and of 32 bits, of the phrase that starts at each word."""
+    return ngram_hash(h, window), (ngram_hash(mix(h ^ _SALT), window) >> np.uint64(32)).astype(np.uint32)
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -109,9 +111,9 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                     out.append((grams[a + place], others[a + place], place))
                     counts.append(len(place))
                 w, v, place = (np.concatenate(c) for c in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(v.view(np.int64)), pa.array(np.repeat(np.array(ids[lo : lo + len(words)], np.int64), counts)), pa.array(place.astype(np.int32))], names=["w", "v", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(v.view(np.int32)), pa.array(np.repeat(np.array(ids[lo : lo + len(words)], np.int64), counts)), pa.array(place.astype(np.int32))], names=["w", "v", "doc_id", "place"])
 
-    return docs.mapInArrow(run, "w long, v long, doc_id long, place int")
+    return docs.mapInArrow(run, "w long, v int, doc_id long, place int")
 
 
 def contained(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -177,8 +179,11 @@ def string_array(buf: np.ndarray, offsets: np.ndarray) -> pa.Array:
 _OUT = "doc_id long, n_words long, n_removed long, text string, spans array<struct<start: long, words: long, ref: long, place: long>>"
 
 
-def _remove(docs: DataFrame, window: int) -> DataFrame:
-    """Parses docs (doc_id, text, copy_of, found) and takes their duplicate spans out."""
+def _remove(docs: DataFrame, window: int, carried: list[StructField] | None = None) -> DataFrame:
+    """Parses docs (doc_id, text, copy_of, found) and takes their duplicate spans out.
+
+    With ``carried`` columns the result is n_removed, text and these; a text without such spans stays as it is then.
+    """
     span = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("ref", pa.int64()), ("place", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +200,7 @@ def _remove(docs: DataFrame, window: int) -> DataFrame:
                         rows = found[lo + d].values
                         known, check, refs, places = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(4))
                         order = np.argsort(known.view(np.uint64))
-                        known, check, refs, places = known.view(np.uint64)[order], check.view(np.uint64)[order], refs[order], places[order]
+                        known, check, refs, places = known.view(np.uint64)[order], check.view(np.uint32)[order], refs[order], places[order]
                         own = grams[a : b - window + 1]
                         hits = np.flatnonzero(contained(own, known))
                         row = np.searchsorted(known, own[hits])
@@ -207,19 +212,47 @@ def _remove(docs: DataFrame, window: int) -> DataFrame:
                     n_removed.append(0 if covered is None else int(covered.sum()))
                     all_spans.append([{"start": s, "words": n, "ref": r, "place": p} for s, n, r, p in spans])
                 ids = batch.column("doc_id").slice(lo, len(words))
+                if carried is not None:
+                    made = pc.if_else(pc.greater(pa.array(n_removed, pa.int64()), 0), string_array(*kept_text(words, keep)), batch.column("text").slice(lo, len(words)).cast(pa.string()))
+                    yield pa.RecordBatch.from_arrays([pa.array(n_removed, pa.int64()), made, *(batch.column(f.name).slice(lo, len(words)) for f in carried)], names=["n_removed", "text", *(f.name for f in carried)])
+                    continue
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(words.first)), pa.array(n_removed, pa.int64()), string_array(*kept_text(words, keep)), pa.array(all_spans, span)], names=["doc_id", "n_words", "n_removed", "text", "spans"])
 
+    if carried is not None:
+        return docs.mapInArrow(run, StructType([StructField("n_removed", LongType()), StructField("text", StringType()), *carried]))
     return docs.mapInArrow(run, _OUT)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, text (kept words), spans of every row of ``docs`` (doc_id, text; others are ignored)."""
+    known = _known(docs, window)
+    return _remove(_plain(docs).join(known, "doc_id", "left").select("doc_id", "text", "copy_of", "found"), window)
+
+
+def without_repeats(docs: DataFrame, count: str, window: int = WINDOW) -> DataFrame:
+    """``docs`` (doc_id, text and whatever else) with the kept words as text, where any word goes, and their number as ``count``."""
+    names = [f"x{k}" for k in range(len(docs.columns))]
+    rows = docs.select(*(F.col(quoted(c)).alias(x) for c, x in zip(docs.columns, names)))
+    of = dict(zip(docs.columns, names))
+    rows = rows.select(F.col(of["doc_id"]).cast("long").alias("doc_id"), F.col(of["text"]).cast("string").alias("text"), *names)
+    carried = [f for f in rows.schema.fields if f.name in names and f.name != of["text"]]
+    joined = rows.join(_known(docs, window), "doc_id", "left").select("doc_id", "text", "copy_of", "found", *(f.name for f in carried))
+    made = _remove(joined, window, carried)
+    return made.select(*(F.col("text" if c == "text" else of[c]).alias(c) for c in docs.columns), F.col("n_removed").alias(count))
+
+
+def _known(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, copy_of, found) of documents that share words with an earlier one."""
     scratch, plain = Scratch(docs.sparkSession, "substring"), _plain(docs)
     named = plain.where("doc_id IS NOT NULL")
 
+    # an id that names several texts is no copy as a whole; its texts are parsed
+    texts = named.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"))
+    several = texts.where("lo < hi").select("doc_id")
     digests = named.where("text <> ''").select("doc_id", F.sha2("text", 256).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.max("doc_id").alias("last")).where("copy_of < last").drop("last")
-    copies = scratch.save(digests.join(firsts, "digest").where("doc_id > copy_of").select("doc_id", "copy_of").distinct(), "copies")
+    copies = digests.join(firsts, "digest").where("doc_id > copy_of").select("doc_id", "copy_of").distinct()
+    copies = scratch.save(copies.join(several, "doc_id", "left_anti"), "copies")
 
     occur = anchors(docs, window)
     shared = scratch.save(occur.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h"), "shared")
@@ -233,5 +266,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = scratch.save(again.groupBy("doc_id").agg(F.collect_list(F.struct("w", "v", "ref", "at")).alias("found")), "found")
     scratch.drop("windows")
 
-    known = found.select("doc_id", F.lit(None).cast("long").alias("copy_of"), "found").unionByName(copies.select("doc_id", "copy_of", F.lit(None).cast(found.schema["found"].dataType).alias("found")))
-    return _remove(plain.join(known, "doc_id", "left").select("doc_id", "text", "copy_of", "found"), window)
+    return found.select("doc_id", F.lit(None).cast("long").alias("copy_of"), "found").unionByName(copies.select("doc_id", "copy_of", F.lit(None).cast(found.schema["found"].dataType).alias("found")))
