@@ -73,11 +73,21 @@ def test_extra_columns_and_nulls(spark, folder):
     out, rows = folder
     docs = spark.read.parquet(f"{out}/documents.parquet").limit(40)
     odd = spark.createDataFrame([(None, "w1 w2 w3", None, None, None), (9001, None, None, None, None), (9002, "", "en", "s", 0), (9001, None, None, None, None)], docs.schema)
-    docs = docs.unionByName(odd).withColumns({c: F.lit("mine") for c in ("score", "kept", "component_id", "spans", "copy_of", "found", "h", "y")})
+    docs = docs.unionByName(odd).withColumns({c: F.lit("mine") for c in ("score", "kept", "component_id", "spans", "copy_of", "found", "h", "i", "_quality", "_Kept", "_removed", "_text_hash", "x0", "a.b", "the_text", "loss_from", "part", "again")})
+    # one id for two texts that are far from each other, one that has near texts, and one that is near to another's
+    words = [f"v{k}" for k in range(60)]
+    docs = docs.unionByName(docs.where("doc_id = 9002").limit(1).withColumn("doc_id", F.lit(9100).cast("long")).withColumn("text", F.explode(F.array(F.lit(" ".join(words)), F.lit(" ".join(words[:59])), F.lit(" ".join(f"u{k}" for k in range(40)))))))
+    docs = docs.unionByName(docs.where("doc_id = 9002").limit(1).withColumn("doc_id", F.lit(9101).cast("long")).withColumn("text", F.explode(F.array(F.lit(" ".join(words[1:])), F.lit(" ".join(f"t{k}" for k in range(40)))))))
     for name, stage in corpus_pipeline.STAGES:
         got = stage(spark, docs, out)
         assert name == "packing" or got.columns == docs.columns
         assert {9001, 9002} <= {r["doc_id"] for r in got.select("doc_id").collect()} or name == "quality"
+        if name == "minhash":
+            texts = [(r["doc_id"], r["text"].split()[0][0], r["a.b"], r["loss_from"]) for r in got.where("doc_id BETWEEN 9100 AND 9101").collect()]
+            assert sorted(texts) == [(9100, "u", "mine", "mine"), (9100, "v", "mine", "mine"), (9101, "t", "mine", "mine")]
+        if name == "substring":
+            assert sorted(len(r["text"].split()) for r in got.where("doc_id = 9101").collect()) == [0, 40] and got.where("doc_id = 9101 AND text = ''").first()["n_chars"] == 0
+            assert sorted(len(r["text"].split()) for r in got.where("doc_id = 9100").collect()) == [40, 59, 60]
         if name == "minhash":
             assert got.where("doc_id = 9001").count() == 1 and got.where("doc_id IS NULL").count() == 1
 
