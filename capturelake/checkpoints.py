@@ -15,7 +15,8 @@ class Steps:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            if not spark.sparkContext.master.startswith("local["):
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             root = f"file://{tempfile.mkdtemp(prefix='capturelake-')}"
             spark.conf.set("spark.checkpoint.dir", root)

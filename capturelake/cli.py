@@ -10,7 +10,7 @@ from urllib.parse import urlparse
 
 import yaml
 
-from .config import Auth, Settings, load
+from .config import Auth, Settings, expand, load
 from .functions.policy import PROFILES, profile
 
 
@@ -28,6 +28,17 @@ def extras(pairs: list[str]) -> dict[str, str]:
     return out
 
 
+def headers_of(pairs: list[str]) -> dict[str, str]:
+    """``NAME: VALUE`` pairs; ${NAME} in values comes from the environment."""
+    out = {}
+    for pair in pairs:
+        name, colon, value = pair.partition(":")
+        if not colon or not name.strip():
+            raise SystemExit(f"not NAME: VALUE: {pair!r}")
+        out[name.strip()] = expand(value.strip())
+    return out
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="capturelake", description="Captured web pages to Markdown with provenance.")
     sub = p.add_subparsers(dest="command", required=True)
@@ -53,6 +64,13 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--llms", action="store_true")
     run.add_argument("--export", choices=("json", "jsonl", "parquet"))
     run.add_argument("--sign", metavar="KEY", help="private key: a file; or set CAPTURELAKE_KEY or CAPTURELAKE_KEY_PEM", nargs="?", const="")
+    run.add_argument("--header", action="append", default=[], metavar="NAME: VALUE", help="send with every request to the site")
+    run.add_argument("--render", choices=("never", "auto", "always"), default="never", help="by the program of the settings: always, or where static HTML gives little text")
+    run.add_argument("--resume", action="store_true", help="go on with the crawl whose state is in the output folder")
+    run.add_argument("--no-consent", action="store_true", help="do not ask for ai.txt and llms.txt")
+    run.add_argument("--index", metavar="PROGRAM", help="hand the output to a vector index program")
+    run.add_argument("--quiet", action="store_true")
+    run.add_argument("--verbose", action="store_true", help="print each page's outcome")
     run.add_argument("--auth", choices=("bearer", "basic", "header"), help="with CAPTURELAKE_TOKEN, CAPTURELAKE_USER and CAPTURELAKE_PASSWORD, or CAPTURELAKE_HEADER")
     sub.add_parser("keygen", help="print a new key pair")
     verify = sub.add_parser("verify", help="check a signed document")
@@ -85,7 +103,7 @@ def signing_key(given: str) -> str:
 
 def settings_of(a: argparse.Namespace) -> Settings:
     s = load(a.config)
-    fetching = replace(s.fetching, **{k: v for k, v in {"rate_limit_ms": a.rate_limit_ms, "respect_robots": False if a.no_robots else None, "block_private_networks": False if a.allow_private_networks else None, "auth": auth_from_environment(a.auth) if a.auth else None}.items() if v is not None})
+    fetching = replace(s.fetching, **{k: v for k, v in {"rate_limit_ms": a.rate_limit_ms, "respect_robots": False if a.no_robots else None, "block_private_networks": False if a.allow_private_networks else None, "auth": auth_from_environment(a.auth) if a.auth else None, "headers": s.fetching.headers | headers_of(a.header) if a.header else None}.items() if v is not None})
     crawling = replace(s.crawling, **{k: v for k, v in {"max_depth": a.max_depth, "max_pages": a.max_pages}.items() if v is not None})
     output = replace(s.output, warc=a.warc or s.output.warc, chunk=a.chunk or s.output.chunk, frontmatter=s.output.frontmatter and not a.no_frontmatter, overwrite=a.overwrite or s.output.overwrite)
     return replace(s, fetching=fetching, crawling=crawling, output=output)
@@ -102,13 +120,20 @@ def run_job(a: argparse.Namespace) -> int:
     from .html.metadata import normalize_url
     from .operators.capture import links_in_scope
     from .operators.crawl import crawl
+    from .plans import live
     from .plans.job import JobOptions, run, write
+    from .sinks.files import existing_files
     from .sources.http import capture
     from .sources.tables import captures, locations
 
     settings = settings_of(a)
+    if a.render != "never" and not settings.rendering.binary:
+        raise SystemExit("--render needs the renderer's program in the settings")
     spark = SparkSession.builder.appName("capturelake").getOrCreate()
     start = normalize_url(a.url)
+    there = existing_files(a.output)
+    manifest = live.old_manifest(spark, a.output, there)
+    fetch = live.conditional(lambda urls: capture(urls, settings.fetching, settings.plugins), None if a.overwrite else manifest)
     if a.sitemap:
         page = capture(spark.createDataFrame([(a.url if a.url.endswith(".xml") else f"{start.rstrip('/')}/sitemap.xml",)], "url string"), settings.fetching).first()
         print("\n".join(locations(page["html"])))
@@ -122,44 +147,38 @@ def run_job(a: argparse.Namespace) -> int:
         else:
             rows = stored.where(F.col("url") == a.url).withColumn("seq", F.lit(1).cast("long"))
     elif a.all:
-        rows = _crawl_live(spark, start, a.url, settings)
+        os.makedirs(a.output, exist_ok=True)
+        rows = live.crawl_live(spark, start, a.url, fetch, settings.crawling.max_depth, settings.crawling.max_pages, None if a.dry_run else os.path.join(a.output, live.STATE), a.resume)
     else:
-        rows = capture(spark.createDataFrame([(a.url,)], "url string"), settings.fetching).withColumn("seq", F.lit(1).cast("long"))
+        rows = fetch(spark.createDataFrame([(a.url,)], "url string")).withColumn("seq", F.lit(1).cast("long"))
     if a.dry_run:
-        for r in rows.orderBy("seq").select("url").toLocalIterator():
+        for r in live.discovered(rows).toLocalIterator():
             print(r["url"])
         return 0
+    if a.render != "never":
+        rows = live.with_rendering(rows, settings.rendering, a.render)
+    consent = live.consent_files(rows.where("error IS NULL").select(F.coalesce("final_url", "url").alias("url")), settings.fetching) if not a.captures and not a.no_consent else None
     options = JobOptions(source=urlparse(a.url).netloc, mode="crawl" if a.all else "single", policies=profile(a.profile) if a.profile else settings.policies, user_agent=settings.fetching.user_agent, extra=extras(a.frontmatter), private_key=signing_key(a.sign) if a.sign is not None else "", overwrite=settings.output.overwrite)
-    from .sinks.files import existing_files
+    existing = spark.createDataFrame([(n,) for n in there], "file string")
+    results = run(rows.drop("raw_bytes"), options, settings, manifest=manifest, consent_files=consent, existing=existing)
+    counts = write(results, a.output, options, settings, a.export, a.llms, manifest)
+    if a.verbose:
+        for r in results.orderBy("seq").select("url", "outcome", "error").toLocalIterator():
+            print(f"{r['outcome']}: {r['url']}" + (f" ({r['error']})" if r["error"] else ""))
+    if not a.quiet:
+        print(", ".join(f"{k} {v}" for k, v in sorted(counts.items())))
+    if a.index:
+        from .functions.urls import collection_name
+        from .sinks.index import IndexFailed, IndexNotFound, VectorIndex
 
-    existing = spark.createDataFrame([(n,) for n in existing_files(a.output)], "file string")
-    results = run(rows.drop("raw_bytes"), options, settings, existing=existing)
-    counts = write(results, a.output, options, settings, a.export, a.llms)
-    print(", ".join(f"{k} {v}" for k, v in sorted(counts.items())))
+        try:
+            name = spark.range(1).select(collection_name(F.lit(a.url))).first()[0]
+            VectorIndex(a.index).run(a.output, name)
+        except (IndexNotFound, IndexFailed) as e:
+            print(f"index: {e}", file=sys.stderr)
     return int(not any(counts.get(k) for k in ("saved", "skipped", "duplicate", "unchanged", "not_modified")))
 
 
-def _crawl_live(spark, start: str, given: str, settings: Settings):  # noqa: ANN001, ANN202
-    """Level by level from the network: captures of a level, then the links they hold."""
-    from pyspark.sql import functions as F
-
-    from .checkpoints import Steps
-    from .operators.capture import links_in_scope
-    from .sources.http import capture
-
-    steps, level, k, done = Steps(spark, "live"), spark.createDataFrame([(start,)], "url string"), 0, 0
-    seen, rows = level, None
-    while level.limit(1).count() and done < settings.crawling.max_pages and k <= settings.crawling.max_depth:
-        got = steps.save(capture(level.limit(settings.crawling.max_pages - done), settings.fetching), f"captures-{k}")
-        done += got.where("error IS NULL").count()
-        rows = got if rows is None else rows.unionByName(got)
-        seen = steps.save(seen.union(level).distinct(), f"seen-{k}")
-        found = links_in_scope(got.where("error IS NULL"), given).select(F.col("link").alias("url")).distinct()
-        level = steps.save(found.join(seen, "url", "left_anti"), f"level-{k + 1}")
-        k += 1
-    return rows.withColumn("seq", F.monotonically_increasing_id())
-
-
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     if a.command == "keygen":

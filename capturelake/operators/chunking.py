@@ -15,6 +15,8 @@ MAX_TOKENS, OVERLAP_TOKENS, MAX_CHARS, CHARS_PER_TOKEN = 512, 64, 2000, 4
 
 _WORDS = re.compile("[A-Za-z0-9_]+")
 _CJK = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff]")
+#: Long words in pieces of a multiple of four characters, which have as many tokens together.
+_TOKEN = re.compile("[A-Za-z0-9_]{1,1024}" + f"|(?P<cjk>{_CJK.pattern})")
 _HEADING = re.compile(r"(#{1,6})\s+(.*)")
 _BREAK = re.compile(r"(?<=[?!.？！。])[\s]+|\n[\s]*\n")
 _RUN = re.compile(r"\S+\s*")
@@ -34,15 +36,15 @@ class Span:
 
 
 def _longest_prefix(text: str, start: int, end: int, limit: int) -> int:
-    """End of the longest prefix of text[start:end] within ``limit`` tokens; one character at least."""
-    lo, hi = start + 1, end
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        if estimate(text[start:mid]) <= limit:
-            lo = mid
-        else:
-            hi = mid - 1
-    return lo
+    """End of the longest prefix of text[start:end] within ``limit`` tokens; one character at least.  Reads no further."""
+    tokens = 0
+    for m in _TOKEN.finditer(text, start, end):
+        need = 1 if m["cjk"] else (m.end() - m.start() + 3) // 4
+        if tokens + need > limit:
+            # as much of a word as there is room for
+            return max(start + 1, m.start() + (0 if m["cjk"] else CHARS_PER_TOKEN * (limit - tokens)))
+        tokens += need
+    return end
 
 
 def _tail_start(text: str, start: int, end: int, limit: int) -> int:

@@ -120,8 +120,8 @@ def manifest_rows(results: DataFrame) -> DataFrame:
     return results.where("outcome = 'saved'").select("url", "file", F.col("metadata.title").alias("title"), "content_hash", "bytes_sha256", "fetched_at", "status_code", header("etag").alias("etag"), header("last-modified").alias("last_modified"), "seq")
 
 
-def write(results: DataFrame, folder: str, options: JobOptions, settings: Settings = Settings(), export: str | None = None, llms: bool = False) -> dict[str, int]:
-    """Writes a job's files to ``folder``; the counts by outcome."""
+def write(results: DataFrame, folder: str, options: JobOptions, settings: Settings = Settings(), export: str | None = None, llms: bool = False, manifest: DataFrame | None = None) -> dict[str, int]:
+    """Writes a job's files to ``folder``; the counts by outcome.  Rows of an earlier ``manifest`` stay unless a page is saved anew."""
     steps = Steps(results.sparkSession, "write")
     done = steps.save(results, "results")
     saved = done.where("outcome = 'saved'")
@@ -136,8 +136,13 @@ def write(results: DataFrame, folder: str, options: JobOptions, settings: Settin
         files.write_store(raw, os.path.join(folder, "store"))
     os.makedirs(folder, exist_ok=True)
     jobs.write_data_card(page_records(done), options.source, options.mode, os.path.join(folder, "data-card.json"))
-    manifest = manifest_rows(done)
-    files.write_json_array(manifest.orderBy("seq"), os.path.join(folder, "_manifest.json"))
+    made = manifest_rows(done)
+    if manifest is not None:
+        kept = manifest.select(*(F.col(c) if c in manifest.columns else F.lit(None).alias(c) for c in made.columns)).join(made, "url", "left_anti")
+        # what was there stands in front; saved pages go on behind it
+        last = kept.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
+        made = kept.unionByName(made.withColumn("seq", F.col("seq") + last))
+    files.write_json_array(made.orderBy("seq"), os.path.join(folder, "_manifest.json"))
     if export:
         files.export(flat_record(saved), folder, export)
     if llms:

@@ -7,7 +7,7 @@ import re
 import socket
 import ssl
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import urljoin, urlsplit
 from urllib.robotparser import RobotFileParser
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import Fetching, utc_now
 from ..functions.urls import host
+from ..operators.plugins import Plugins
 from .network import FetchError, RobotsDisallowed, public_addresses
 
 CAPTURE_SCHEMA = (
@@ -148,21 +149,22 @@ class Fetcher:
         raise FetchError("no attempt made")
 
 
-def capture(urls: DataFrame, settings: Fetching = Fetching()) -> DataFrame:
-    """Capture rows of urls (url[, request_headers]).
+def capture(urls: DataFrame, settings: Fetching = Fetching(), plugins: Sequence[str] = ()) -> DataFrame:
+    """Capture rows of urls (url[, request_headers]); hooks of ``plugins`` run before and after each fetch.
 
     Rows of a host go to one task in order, so that pauses hold across the cluster; a failure is a row with an error.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fetcher = Fetcher(settings)
+        fetcher, hooks = Fetcher(settings), Plugins(list(plugins))
         names = [c.split()[0] for c in CAPTURE_SCHEMA.split(", ")]
         for part in parts:
             rows = []
             for url, extra in zip(part["url"], part["request_headers"]):
                 began = time.monotonic()
                 try:
-                    row = fetcher.fetch(url, dict(extra) if extra else None)
+                    asked, headers = hooks.pre_fetch(url, dict(extra or {}))
+                    row = hooks.post_fetch(fetcher.fetch(asked, headers or None) | {"url": url})
                 except Exception as e:  # a page that fails must not end the job
                     row = {"url": url, "final_url": url, "error": str(e), "error_kind": type(e).__name__}
                 rows.append(dict.fromkeys(names) | row | {"latency_ms": 1000 * (time.monotonic() - began)})

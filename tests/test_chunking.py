@@ -1,3 +1,4 @@
+import time
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,3 +61,17 @@ def test_tables(spark):
     assert [(r.doc_id, r.chunk_id, r.heading_path, len(r.chunk_sha256)) for r in rows] == [("u", "c0", ["A"], 64), ("u", "c1", ["A", "B"], 64)]
     assert df.select(chunks(df.markdown).alias("c")).where("size(c) = 0").count() == 2
     assert [(r.level, r.title) for r in sections_table(df, "url", "markdown").orderBy("line").collect()] == [(1, "A"), (2, "B")]
+
+
+@pytest.mark.parametrize("unit", ["\u8a9e", "x", "\u8a9ex", ". "])
+def test_long_unbroken_text_is_linear(unit):
+    """Slices of a run cost their own length: a long run takes its share, and its slices are as long as they may be."""
+
+    def seconds(n):
+        began = time.process_time()
+        made = chunk(unit * (n // len(unit)))
+        assert "".join(c["content"] for c in made).strip() == (unit * (n // len(unit))).strip() or unit == ". "
+        assert all(c["token_count"] == 512 for c in made[:-2]) or len(unit) > 1
+        return time.process_time() - began
+
+    assert seconds(800_000) < 20 * max(seconds(100_000), 0.05)

@@ -188,7 +188,11 @@ def test_command_line(spark, tmp_path, capsys):
     args = ["run", "https://h.org/docs", "--all", "--captures", str(tmp_path / "captures"), "--output", str(tmp_path / "out")]
     assert main([*args, "--dry-run"]) == 0 and capsys.readouterr().out == "https://h.org/docs\nhttps://h.org/docs/a\n"
     assert main([*args, "--llms", "--chunk"]) == 0 and "saved 2" in capsys.readouterr().out
-    assert main(args) == 0 and "skipped 2" in capsys.readouterr().out
+    assert main(args) == 0 and "unchanged 2" in capsys.readouterr().out
+    (tmp_path / "out" / "_manifest.json").unlink()
+    assert main([*args, "--verbose"]) == 0
+    said = capsys.readouterr().out
+    assert "skipped 2" in said and "skipped: https://h.org/docs/a" in said
     assert main(["keygen"]) == 0
     pem, public = capsys.readouterr().out.rsplit("-----\n", 1)
     (tmp_path / "key.pem").write_text(pem + "-----\n")
