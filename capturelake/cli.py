@@ -125,6 +125,7 @@ def run_job(a: argparse.Namespace) -> int:
     from .sinks.files import existing_files
     from .sources.http import capture
     from .sources.tables import captures, locations
+    from .storage import join
 
     settings = settings_of(a)
     if a.render != "never" and not settings.rendering.binary:
@@ -147,8 +148,7 @@ def run_job(a: argparse.Namespace) -> int:
         else:
             rows = stored.where(F.col("url") == a.url).withColumn("seq", F.lit(1).cast("long"))
     elif a.all:
-        os.makedirs(a.output, exist_ok=True)
-        rows = live.crawl_live(spark, start, a.url, fetch, settings.crawling.max_depth, settings.crawling.max_pages, None if a.dry_run else os.path.join(a.output, live.STATE), a.resume)
+        rows = live.crawl_live(spark, start, a.url, fetch, settings.crawling.max_depth, settings.crawling.max_pages, None if a.dry_run else join(a.output, live.STATE), a.resume)
     else:
         rows = fetch(spark.createDataFrame([(a.url,)], "url string")).withColumn("seq", F.lit(1).cast("long"))
     if a.dry_run:

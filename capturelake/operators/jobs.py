@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import GENERATOR
 from ..functions.urls import netloc
+from ..storage import whole_file
 
 SCHEMA_VERSION = "1.0"
 
@@ -60,11 +60,11 @@ def data_card(pages: DataFrame, source: str, mode: str) -> DataFrame:
 def write_data_card(pages: DataFrame, source: str, mode: str, path: str) -> None:
     """data-card.json: the card and its pages, which stream to the file a partition at a time."""
     card = data_card(pages, source, mode).first().asDict(recursive=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(json.dumps(card, indent=2, ensure_ascii=False)[:-2] + ',\n  "pages": [')
+    with whole_file(path) as f:
+        f.write((json.dumps(card, indent=2, ensure_ascii=False)[:-2] + ',\n  "pages": [').encode())
         for k, line in enumerate(pages.toJSON().toLocalIterator()):
-            f.write((",\n    " if k else "\n    ") + line)
-        f.write("\n  ]\n}\n")
+            f.write(((",\n    " if k else "\n    ") + line).encode())
+        f.write(b"\n  ]\n}\n")
 
 
 def scorecard(results: DataFrame, *by: str) -> DataFrame:
@@ -107,11 +107,18 @@ def context_sample(files: DataFrame, max_files: int = 5, max_chars: int = 10_000
     return joined.select(content.alias("content"))
 
 
-def llms_txt(pages: DataFrame, site: str, tagline: str = "Pages of this site as Markdown.", order: str = "seq") -> DataFrame:
-    """One row (content): the index of a site's pages in the order of ``seq``; a page without a title goes by its url."""
+def _entry() -> Column:
     title = F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("url"))
-    line = F.concat(F.lit("- ["), title, F.lit("]("), F.col("url"), F.lit(")"))
-    listed = pages.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
+    return F.concat(F.lit("- ["), title, F.lit("]("), F.col("url"), F.lit(")"))
+
+
+def llms_txt(pages: DataFrame, site: str, tagline: str = "Pages of this site as Markdown.", order: str = "seq") -> DataFrame:
+    """One row (content): the index of a site's pages in the order of ``seq``; a page without a title goes by its url.
+
+    A row holds it whole, so this is for sites of a size that a model's context could take; files are written by
+    ``write_llms_txt``.
+    """
+    listed = pages.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), _entry().alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
     return listed.select(F.concat(F.regexp_replace(F.concat(F.lit(f"# {site}\n\n> {tagline}\n\n## Pages\n\n"), "lines"), r"(?U)\s+\z", ""), F.lit("\n")).alias("content"))
 
 
@@ -122,13 +129,21 @@ def llms_blocks(pages: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def write_llms_full(pages: DataFrame, path: str, order: str = "seq") -> None:
-    with open(path, "w", encoding="utf-8") as f:
+    """The parts in order, streamed partition by partition; white space at the end goes."""
+    with whole_file(path) as f:
         held = ""
         for k, row in enumerate(llms_blocks(pages, order).orderBy("seq").toLocalIterator()):
-            f.write(held if not k else held + "\n\n---\n\n")
+            f.write((held if not k else held + "\n\n---\n\n").encode())
             held = row["block"]
-        f.write(held.rstrip() + "\n")
+        f.write((held.rstrip() + "\n").encode())
 
 
-def write_text(df: DataFrame, path: str) -> None:
-    Path(path).write_text(df.first()["content"], encoding="utf-8")
+def write_llms_txt(pages: DataFrame, site: str, path: str, tagline: str = "Pages of this site as Markdown.", order: str = "seq") -> None:
+    """``llms_txt`` as a file, streamed line by line: no row holds a site's pages."""
+    head = f"# {site}\n\n> {tagline}\n\n## Pages\n\n"
+    with whole_file(path) as f:
+        held = ""
+        for row in pages.select(F.col(order).alias("o"), _entry().alias("line")).orderBy("o").toLocalIterator():
+            f.write((held or head).encode())
+            held = ("\n" if held else "") + row["line"]
+        f.write(((held or head).rstrip() + "\n").encode())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -20,6 +19,7 @@ from ..operators.documents import rendered, signed
 from ..operators.plugins import Plugins
 from ..operators.provenance import flat_record, front_matter
 from ..sinks import files
+from ..storage import join
 
 OUTCOMES = ("failed", "not_modified", "unchanged", "duplicate", "blocked", "skipped", "saved")
 
@@ -132,21 +132,20 @@ def write(results: DataFrame, folder: str, options: JobOptions, settings: Settin
         from ..sources.warc import archives
 
         raw = done.where(F.col("outcome").isin("saved", "skipped")).withColumn("raw_bytes", F.col("html").cast("binary"))
-        files.write_archives(archives(raw), os.path.join(folder, "archive"))
-        files.write_store(raw, os.path.join(folder, "store"))
-    os.makedirs(folder, exist_ok=True)
-    jobs.write_data_card(page_records(done), options.source, options.mode, os.path.join(folder, "data-card.json"))
+        files.write_archives(archives(raw), join(folder, "archive"))
+        files.write_store(raw, join(folder, "store"))
+    jobs.write_data_card(page_records(done), options.source, options.mode, join(folder, "data-card.json"))
     made = manifest_rows(done)
     if manifest is not None:
         kept = manifest.select(*(F.col(c) if c in manifest.columns else F.lit(None).alias(c) for c in made.columns)).join(made, "url", "left_anti")
         # what was there stands in front; saved pages go on behind it
         last = kept.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
         made = kept.unionByName(made.withColumn("seq", F.col("seq") + last))
-    files.write_json_array(made.orderBy("seq"), os.path.join(folder, "_manifest.json"))
+    files.write_json_array(made.orderBy("seq"), join(folder, "_manifest.json"))
     if export:
         files.export(flat_record(saved), folder, export)
     if llms:
         pages = saved.select("seq", "url", F.col("metadata.title").alias("title"), "markdown")
-        jobs.write_text(jobs.llms_txt(pages, options.source), os.path.join(folder, "llms.txt"))
-        jobs.write_llms_full(pages, os.path.join(folder, "llms-full.txt"))
+        jobs.write_llms_txt(pages, options.source, join(folder, "llms.txt"))
+        jobs.write_llms_full(pages, join(folder, "llms-full.txt"))
     return {r["outcome"]: r["n"] for r in jobs.run_counters(done).collect()}

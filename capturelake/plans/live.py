@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +16,7 @@ from ..operators.capture import links_in_scope, needs_render
 from ..sinks.files import load_checkpoint, save_checkpoint
 from ..sources.http import capture
 from ..sources.render import rendered
+from ..storage import exists, get, join
 
 STATE = "_crawl.json"
 MANIFEST = "_manifest.json"
@@ -71,12 +71,11 @@ def discovered(rows: DataFrame) -> DataFrame:
 
 def old_manifest(spark: SparkSession, folder: str, existing: list[str]) -> DataFrame | None:
     """One row per url of the manifest that an earlier run left in ``folder``, with file_exists; None without any."""
-    where = os.path.join(folder, MANIFEST)
-    if not os.path.isfile(where):
+    where = join(folder, MANIFEST)
+    if not exists(where):
         return None
     # Spark takes names that begin with _ for hidden; one file that one run of a live job wrote is read as one
-    with open(where, encoding="utf-8") as f:
-        found = [r for r in json.load(f) if r.get("url")]
+    found = [r for r in json.loads(get(where)) if r.get("url")]
     names = [c.split()[0] for c in _OLD.split(", ")]
     rows = spark.createDataFrame([tuple(r.get(n) for n in names) for r in found], _OLD)
     there = spark.createDataFrame([(n, True) for n in existing], "file string, _there boolean")

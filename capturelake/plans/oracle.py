@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .queries import ADDRESSES, AGENTS, SIGNED_AT
 
 _URL = r"'^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?'"
@@ -155,9 +157,68 @@ node AS (SELECT page_id AS id, page_id % 9 <> 8 AS ok FROM pages),
 edge AS (SELECT id AS src, unnest([id * 2 + 1, id * 2 + 2, 0]) AS dst FROM node WHERE ok)
 """
 
+_CHUNK = "substr(t, s + 1, e - s)"
+
+
+def _element(expected: str) -> str:
+    """SQL of the Markdown of a fragment; W, S, L and N as in the queries."""
+    values = {"W": "('w' || doc_id)", "S": "source", "L": "lang", "N": "doc_id"}
+    parts = [values.get(part, "'" + part.replace("'", "''").replace("\n", "' || chr(10) || '") + "'") for part in re.split(r"\b([WSLN])\b", expected) if part]
+    return " || ".join(parts)
+
+
+_ELEMENTS = {
+    "markdown_inline": "A **W** and *S*, `f(N)`.\nnext **L**\n\n---\n",
+    "markdown_code": "```python\nx = N\n```\n\nor\n\n```js\nW\n```\n\n```rust\nS\n```\n\n```\nplain L\n```\n",
+    "markdown_lists": "- W\n- S\n  L\n\n3. a\n5. W\n\n1. N\n",
+    "markdown_quotes": "> W\n\n**T W**\n: S\n\nL\n",
+    "markdown_tables": "| Name | Lang |\n| ---- | ---- |\n| W | L |\n| a \\| S | x<br>N |\n| W |  |\n",
+    "markdown_links": "[W](https://h.org/a?n=N) S z ![I L](https://h.org/d/N.png)\n",
+}
+
+
+def _windows(limit: int, overlap: int) -> str:
+    """Chunks of '# T' and n sentences of 21 characters and 4 tokens: a first window, then ones that begin with a tail.
+
+    The first piece is the heading with the first sentence, 25 characters and 5 tokens.  A tail is 4 characters for a token.
+    """
+    first = (limit - 5) // 4 + 1
+    # an empty tail counts as one token
+    tail = tokens(f"substr(t, 5 + {first} * 21 - {4 * overlap}, {4 * overlap})") if overlap else "1"
+    return f"""WITH d AS (SELECT doc_id, doc_id % 397 + 3 AS n, '# T' || chr(10) || repeat('aaaa bbbb cccc dddd. ', CAST(doc_id % 397 + 3 AS INTEGER)) AS t FROM documents),
+sized AS (SELECT *, 1 + 4 * n <= {limit} AS whole, CASE WHEN n > {first} THEN {tail} ELSE 0 END AS tail FROM d),
+steps AS (SELECT *, ({limit} - tail) // 4 AS step FROM sized),
+cut AS (SELECT *, unnest(range(0, CASE WHEN whole OR n <= {first} THEN 1 ELSE 1 + CAST(ceil((n - {first}) / step) AS BIGINT) END)) AS k FROM steps),
+chunk AS (SELECT doc_id, t, whole, k, CASE WHEN k = 0 THEN 0 ELSE 4 + 21 * ({first} + (k - 1) * step) - {4 * overlap} END AS s,
+  CASE WHEN whole THEN length(t) WHEN k = 0 THEN 4 + 21 * least(n, {first}) ELSE 4 + 21 * least(n, {first} + k * step) END AS e,
+  CASE WHEN whole THEN 1 + 4 * n WHEN k = 0 THEN 1 + 4 * least(n, {first}) ELSE tail + 4 * (least(n, {first} + k * step) - {first} - (k - 1) * step) END AS token_count FROM cut)
+SELECT doc_id, CASE WHEN whole THEN 'c0' ELSE 'c0.' || k END AS chunk_id, 'T' AS heading, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", CAST(e - s AS BIGINT) AS char_count, CAST(token_count AS BIGINT) AS token_count, sha256({_CHUNK}) AS content_sha256 FROM chunk"""
+
+
+_EXPORT = f"WITH {CONVERTED} SELECT url, CAST(strlen(html) AS BIGINT) AS raw_bytes, CAST(length(markdown) AS BIGINT) AS markdown_chars, '[\"' || url || '\"]' AS redirect_chain, sha256(html) AS bytes_sha256 FROM converted"
+
 _SPECIAL = "'<think>why' || chr(10) || '</think>' || chr(10) || chr(10) || ' ' || chr(10) || text || chr(10)"
 
 ORACLE: dict[str, str] = {
+    **{name: f"SELECT doc_id, {_element(expected)} AS markdown FROM documents" for name, expected in _ELEMENTS.items()},
+    "markdown_boilerplate": f"SELECT doc_id, {_element('## W' + chr(10) * 2 + 'kept W' + chr(10) * 2 + 'S' + chr(10) * 2 + 'L' + chr(10))} AS markdown, CAST(6 AS BIGINT) AS stripped_elements FROM documents",
+    "markdown_shadow_tables": f"SELECT doc_id, '| ' || source || ' |' || chr(10) || '| ' || repeat('-', greatest(3, length(source))) || ' |' || chr(10) || '| w' || doc_id || ' |' || chr(10) AS markdown FROM documents",
+    "markdown_content": "WITH d AS (SELECT doc_id, repeat('Many words of content stand here for w' || doc_id || '. ', 8) AS long FROM documents) SELECT doc_id, trim(long || 'inner ' || long) || chr(10) AS markdown FROM d",
+    "meta_tags": "SELECT doc_id, 'w' || doc_id || ' & ' || source AS title, 'A w' || doc_id AS author, lang AS language, 'D \"' || lang || '\"' AS description, source AS site_name, '20N' AS published_time, '2021' AS modified_time, '/lic/' || doc_id AS license FROM documents",
+    "chunk_windows": _windows(512, 64),
+    "chunk_legacy_chars": _windows(250, 0),
+    "chunk_hard_split": """WITH d AS (SELECT doc_id, CAST(doc_id % 97 * 100 + 1 AS BIGINT) AS n FROM documents), c AS (SELECT doc_id, n, unnest(range(0, (n + 2047) // 2048)) AS k FROM d)
+SELECT doc_id, CASE WHEN n <= 2048 THEN 'c0' ELSE 'c0.' || k END AS chunk_id, '' AS heading, 2048 * k AS start, least(n, 2048 * (k + 1)) AS "end", least(n, 2048 * (k + 1)) - 2048 * k AS char_count, (least(n, 2048 * (k + 1)) - 2048 * k + 3) // 4 AS token_count, sha256(repeat('x', CAST(least(n, 2048 * (k + 1)) - 2048 * k AS INTEGER))) AS content_sha256 FROM c""",
+    "sink_markdown_files": f"WITH {CONVERTED} SELECT {file_name()} || '.md' AS file, sha256(markdown) AS document_sha256 FROM converted",
+    "sink_markdown_existing": f"SELECT {file_name()} || '.md' AS file, CASE WHEN page_id % 2 = 0 THEN url ELSE 'new' END AS document FROM pages",
+    "sink_export_parquet": _EXPORT,
+    "sink_export_jsonl": _EXPORT,
+    "sink_export_json": _EXPORT,
+    "sink_store": "SELECT DISTINCT sha256(html) AS name, CAST(strlen(html) AS BIGINT) AS length, sha256(html) AS bytes_sha256 FROM pages",
+    "sink_chunk_manifests": f"WITH {CONVERTED} SELECT url AS doc_id, sha256(markdown) AS content_hash, CAST(0 AS BIGINT) AS first, count(*) AS openings FROM converted WHERE markdown <> '' GROUP BY ALL",
+    "sink_archives": "SELECT url AS target_uri, sha256(html) AS bytes_sha256 FROM pages",
+    "sink_llms_txt": "SELECT '# example' || chr(10) || chr(10) || '> All pages.' || chr(10) || chr(10) || '## Pages' || chr(10) || chr(10) || string_agg('- [' || CASE WHEN page_id % 2 = 0 THEN 'Page ' || page_id ELSE url END || '](' || url || ')', chr(10) ORDER BY page_id) || chr(10) AS content FROM pages",
+    "url_list_file": "SELECT url FROM pages WHERE page_id % 5 <> 0 AND page_id % 7 <> 0",
     "capture_hash": "SELECT page_id, sha256(html) AS bytes_sha256, CAST(strlen(html) AS BIGINT) AS raw_bytes FROM pages",
     "content_hash": f"SELECT doc_id, {content_hash('text')} AS content_hash, substr(sha256(text), 1, 8) AS short_hash FROM documents",
     "capture_rows": f"SELECT page_id, url, url AS final_url, 200 AS status_code, '{SIGNED_AT}' AS fetched_at, 'text/html' AS content_type, url AS last_hop, CAST(length(html) AS BIGINT) AS html_chars FROM pages",

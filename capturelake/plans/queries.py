@@ -11,6 +11,7 @@ from ..functions import consent, hashing, policy, text, urls
 from ..operators import bench, chunking, dedup, documents, jobs, provenance
 from ..operators.capture import converted, fetch_and_convert, links_in_scope, needs_render
 from ..operators.crawl import crawl
+from ..sinks import files
 from ..sources import network, tables, warc
 from .job import JobOptions, manifest_rows, page_records, run
 
@@ -162,6 +163,72 @@ def render_routing(spark: SparkSession, folder: str) -> DataFrame:
     return needs_render(pages(spark, folder), "auto").select("page_id", "needs_render")
 
 
+# --- elements: fragments made of each document's columns, converted
+
+
+#: Fragments by query; W, S, L and N stand for a document's word (w and its id), source, language and id.
+FRAGMENTS = {
+    "markdown_inline": "<p>A <strong>W</strong> and <em>S</em>, <code>f(N)</code>.<br>next <i></i><b> L </b></p><hr>",
+    "markdown_code": "<pre><code class='hljs language-python'>x = N\n</code></pre><p>or</p><pre><code class='lang-js'>W</code></pre><pre><code class='rust'>S</code></pre><pre> plain L </pre>",
+    "markdown_lists": "<ul><li>W</li><li></li><li>S<p>L</p></li></ul><ol start=3><li>a</li><li></li><li>W</li></ol><ol start=x><li>N</ol>",
+    "markdown_quotes": "<blockquote><p>W</p></blockquote><dl><dt>T W</dt><dd>S</dd></dl><section><div>L</div></section>",
+    "markdown_tables": "<table><thead><tr><th>Name<th>Lang<tbody><tr><td>W<td>L<tr><td>a | S<td><p>x<p>N<tr><td>W</table>",
+    "markdown_links": "<p><a href='/a?n=N'>W</a> <a href='#f'>S</a> <a href='javascript:z()'>z</a> <a href='/e'></a><img src='N.png' alt='I L'><img src='data:x'></p>",
+}
+
+
+def _filled(fragment: str):  # noqa: ANN202
+    """``fragment`` with a document's values: pieces between W, S, L and N standing alone."""
+    import re
+
+    values = {"W": F.concat(F.lit("w"), F.col("doc_id")), "S": F.col("source"), "L": F.col("lang"), "N": F.col("doc_id").cast("string")}
+    return F.concat(*(values.get(part, F.lit(part)) for part in re.split(r"\b([WSLN])\b", fragment) if part))
+
+
+def _fragments(spark: SparkSession, folder: str, html: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", F.lit("https://h.org/d/").alias("url"), _filled(html).alias("html"))
+    return converted(docs)
+
+
+def _element_query(name: str, fragment: str) -> None:
+    def run_one(spark: SparkSession, folder: str) -> DataFrame:
+        return _fragments(spark, folder, f"<html><body><main>{fragment}</main></body></html>").select("doc_id", "markdown")
+
+    run_one.__name__ = name
+    query(run_one)
+
+
+for _name, _fragment in FRAGMENTS.items():
+    _element_query(_name, _fragment)
+
+
+@query
+def markdown_boilerplate(spark: SparkSession, folder: str) -> DataFrame:
+    """Comments, excluded tags, classes, class words, permalinks and unknown elements of a page without a main part."""
+    html = "<html><head><title>t</title></head><body><!-- N --><h2>W<a class='headerlink' href='#x'>\u00b6</a></h2><nav>menu</nav><div class='bd-sidebar-primary'>side</div><div class='cookie-note'>bar</div><div class='research-content'>kept W</div><script>x()</script><p>S</p><foo>L</foo><footer>f</footer></body></html>"
+    return _fragments(spark, folder, html).select("doc_id", "markdown", F.col("stripped_elements").cast("bigint").alias("stripped_elements"))
+
+
+@query
+def markdown_shadow_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """A sticky clone of a table's header goes, the table stays."""
+    html = "<html><body><div class='pm-table-sticky-wrapper'><table><tr><th>S</th></tr></table></div><table><tr><th>S</th></tr><tr><td>W</td></tr></table></body></html>"
+    return _fragments(spark, folder, html).select("doc_id", "markdown")
+
+
+@query
+def markdown_content(spark: SparkSession, folder: str) -> DataFrame:
+    """Outer articles that are long enough are the content; inner, short and outside text is not taken twice, or at all."""
+    long = "Many words of content stand here for W. " * 8
+    return _fragments(spark, folder, f"<html><body><p>outside</p><article>{long}<article>inner {long}</article></article><article>short</article></body></html>").select("doc_id", "markdown")
+
+
+@query
+def meta_tags(spark: SparkSession, folder: str) -> DataFrame:
+    html = "<html lang=' L '><head><title>W &amp;amp; S</title><meta name='author' content='A W'><meta property='og:site_name' content='S'><meta name='description' content='D &quot;L&quot;'><meta property='article:published_time' content='20N'><meta property='article:modified_time' content='2021'><link rel='stylesheet license' href='/lic/N'></head><body>x</body></html>"
+    return _fragments(spark, folder, html).select("doc_id", "metadata.*")
+
+
 # --- text
 
 
@@ -373,6 +440,37 @@ def chunk_spans(spark: SparkSession, folder: str) -> DataFrame:
     return c.where(wrong).select("doc_id", "c.chunk_id")
 
 
+def _sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """A heading and some hundred equal sentences of four tokens for each document."""
+    n = (F.col("doc_id") % 397 + 3).cast("int")
+    return table(spark, folder, "documents").select("doc_id", F.concat(F.lit("# T\n"), F.repeat(F.lit("aaaa bbbb cccc dddd. "), n)).alias("markdown"))
+
+
+def _plain_chunks(docs: DataFrame, **limits: int) -> DataFrame:
+    c = docs.select("doc_id", F.explode(chunking.chunks(F.col("markdown"), **limits)).alias("c"))
+    longs = (F.col(f"c.{k}").cast("bigint").alias(k) for k in ("start", "end", "char_count", "token_count"))
+    return c.select("doc_id", "c.chunk_id", F.array_join("c.heading_path", "/").alias("heading"), *longs, F.sha2("c.content", 256).alias("content_sha256"))
+
+
+@query
+def chunk_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Long sections in overlapping windows of at most 512 tokens."""
+    return _plain_chunks(_sentences(spark, folder))
+
+
+@query
+def chunk_legacy_chars(spark: SparkSession, folder: str) -> DataFrame:
+    """A limit in characters: windows of a quarter as many tokens, without overlap."""
+    return _plain_chunks(_sentences(spark, folder), max_chars=1000)
+
+
+@query
+def chunk_hard_split(spark: SparkSession, folder: str) -> DataFrame:
+    """One word of thousands of letters, cut where 512 tokens are full."""
+    docs = table(spark, folder, "documents").select("doc_id", F.repeat(F.lit("x"), (F.col("doc_id") % 97 * 100 + 1).cast("int")).alias("markdown"))
+    return _plain_chunks(docs)
+
+
 @query
 def chunk_whole(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of one section that fit into one chunk."""
@@ -453,6 +551,100 @@ def warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("target_uri", F.sha2("body", 256).alias("bytes_sha256"))
 
 
+# --- sinks, written to the shared folder and read back
+
+
+def _written(spark: SparkSession, name: str) -> str:
+    from ..checkpoints import Steps
+
+    return Steps(spark, name).root
+
+
+@query
+def sink_markdown_files(spark: SparkSession, folder: str) -> DataFrame:
+    where = _written(spark, "markdown")
+    rows = converted_pages(spark, folder)
+    files.write_markdown(rows.select("url", F.col("markdown").alias("document")), where)
+    return tables.stored_markdown(spark, where).select("file", F.sha2("document", 256).alias("document_sha256"))
+
+
+@query
+def sink_markdown_existing(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that are there stay: a second write of other text changes nothing but what is new."""
+    where = _written(spark, "existing")
+    rows = pages(spark, folder).select("page_id", "url", F.col("url").alias("document"))
+    files.write_markdown(rows.where("page_id % 2 = 0"), where)
+    files.write_markdown(rows.withColumn("document", F.lit("new")), where)
+    return tables.stored_markdown(spark, where).select("file", "document")
+
+
+def _exported(spark: SparkSession, folder: str, kind: str) -> str:
+    rows = provenance.flat_record(_records(spark, folder)).select("url", "raw_bytes", "markdown_chars", "redirect_chain", "bytes_sha256")
+    return files.export(rows, _written(spark, kind), kind)
+
+
+@query
+def sink_export_parquet(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(_exported(spark, folder, "parquet"))
+
+
+@query
+def sink_export_jsonl(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("url string, raw_bytes bigint, markdown_chars bigint, redirect_chain string, bytes_sha256 string").json(_exported(spark, folder, "jsonl"))
+
+
+@query
+def sink_export_json(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("url string, raw_bytes bigint, markdown_chars bigint, redirect_chain string, bytes_sha256 string").option("multiLine", True).json(_exported(spark, folder, "json"))
+
+
+@query
+def sink_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Each distinct body once, under its digest."""
+    where = _written(spark, "store")
+    rows = pages(spark, folder).select(F.sha2("html", 256).alias("bytes_sha256"), F.col("html").cast("binary").alias("raw_bytes"))
+    files.write_store(rows.unionByName(rows), where)
+    return tables.binary_documents(spark, where).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("bytes_sha256"))
+
+
+@query
+def sink_chunk_manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunk rows of each page, from the manifests beside its file."""
+    where = _written(spark, "chunks")
+    rows = converted_pages(spark, folder).select("url", "markdown", "content_hash")
+    files.write_chunk_manifests(chunking.manifest(rows), where)
+    found = spark.read.schema("doc_id string, content_hash string, chunk_id string, start bigint, `end` bigint").option("multiLine", True).json(where)
+    return found.groupBy("doc_id", "content_hash").agg(F.min("start").alias("first"), F.count_if(F.col("start") == 0).alias("openings"))
+
+
+@query
+def sink_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Archive files read back through the data source."""
+    where = _written(spark, "archive")
+    files.write_archives(warc.archives(tables.captures(pages(spark, folder), fetched_at=FETCHED_AT).withColumn("raw_bytes", F.col("html").cast("binary"))), where)
+    spark.dataSource.register(warc.WarcSource)
+    rows = spark.read.format("warc").load(where).where("record_type = 'response'")
+    return rows.select("target_uri", F.sha2("body", 256).alias("bytes_sha256"))
+
+
+@query
+def sink_llms_txt(spark: SparkSession, folder: str) -> DataFrame:
+    """The index as it is streamed to a file."""
+    where = f"{_written(spark, 'llms')}/llms.txt"
+    rows = pages(spark, folder).select(F.col("page_id").alias("seq"), "url", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("Page "), F.col("page_id"))).otherwise("").alias("title"))
+    jobs.write_llms_txt(rows, "example", where, "All pages.")
+    return spark.read.text(where, wholetext=True).select(F.col("value").alias("content"))
+
+
+@query
+def url_list_file(spark: SparkSession, folder: str) -> DataFrame:
+    """A list of addresses with comments and blank lines, read from files."""
+    where = f"{_written(spark, 'urls')}/list"
+    line = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("#"), F.col("url"))).when(F.col("page_id") % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), F.col("url")))
+    pages(spark, folder).select(line.alias("value")).write.text(where)
+    return tables.url_list(spark, where)
+
+
 # --- jobs
 
 

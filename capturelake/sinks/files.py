@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,26 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import file_name
+from ..storage import get, join, names, put, whole_file
 
 FORMATS = ("json", "jsonl", "parquet")
 
 
-def _put(path: str, data: bytes) -> None:
-    """Whole files only: a task that dies leaves none, one that is repeated writes the same."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    part = f"{path}.{os.getpid()}.part"
-    with open(part, "wb") as f:
-        f.write(data)
-    os.replace(part, path)
-
-
 def _write_each(df: DataFrame, folder: str, name: str, data: str) -> int:
     """Writes column ``data`` (string or binary) of every row to the file named by column ``name``; how many there were."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for n, d in zip(part["n"], part["d"]):
-                _put(os.path.join(folder, n), d.encode() if isinstance(d, str) else bytes(d))
+                put(join(folder, n), d.encode() if isinstance(d, str) else bytes(d))
             yield pd.DataFrame({"written": [len(part)]})
 
     done = df.select(F.col(name).alias("n"), F.col(data).alias("d")).mapInPandas(run, "written long")
@@ -38,7 +29,7 @@ def _write_each(df: DataFrame, folder: str, name: str, data: str) -> int:
 
 
 def existing_files(folder: str) -> list[str]:
-    return sorted(os.listdir(folder)) if os.path.isdir(folder) else []
+    return names(folder)
 
 
 def write_markdown(docs: DataFrame, folder: str, overwrite: bool = False, extension: str = ".md", url: str = "url", document: str = "document") -> int:
@@ -71,7 +62,7 @@ def export(records: DataFrame, folder: str, kind: str) -> str:
     """documents.<kind>: jsonl and parquet as Spark folders, json as one array streamed to a file."""
     if kind not in FORMATS:
         raise ValueError(f"unsupported export format: {kind!r} (one of {', '.join(FORMATS)})")
-    path = os.path.join(folder, f"documents.{kind}")
+    path = join(folder, f"documents.{kind}")
     if kind == "parquet":
         records.write.mode("overwrite").parquet(path)
     elif kind == "jsonl":
@@ -82,25 +73,24 @@ def export(records: DataFrame, folder: str, kind: str) -> str:
 
 
 def write_json_array(df: DataFrame, path: str) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
+    """One row a line, streamed partition by partition."""
+    with whole_file(path) as f:
+        f.write(b"[")
         for k, line in enumerate(df.toJSON().toLocalIterator()):
-            f.write(("," if k else "") + "\n  " + line)
-        f.write("\n]\n")
+            f.write(((",\n  " if k else "\n  ") + line).encode())
+        f.write(b"\n]\n")
 
 
 def save_checkpoint(path: str, seen_hashes: list[str], manifest: list[dict], frontier: list[tuple[str, int]] | None = None, visited: list[str] | None = None) -> None:
     """A crawl's state as one JSON file, replaced as a whole."""
     held = {"manifest": manifest, "seen_hashes": sorted(seen_hashes), "visited": None if visited is None else sorted(visited), "frontier": None if frontier is None else [[u, d] for u, d in frontier]}
-    _put(path, json.dumps({k: v for k, v in held.items() if v is not None}, ensure_ascii=False).encode())
+    put(path, json.dumps({k: v for k, v in held.items() if v is not None}, ensure_ascii=False).encode())
 
 
 def load_checkpoint(path: str) -> tuple[list[str], list[dict], list[tuple[str, int]], list[str]]:
     """(seen hashes, manifest, frontier, visited); a missing or broken file is an empty state."""
     try:
-        with open(path, encoding="utf-8") as f:
-            state = json.load(f)
+        state = json.loads(get(path))
         return state.get("seen_hashes", []), state.get("manifest", []), [(u, int(d)) for u, d in state.get("frontier", [])], state.get("visited", [])
     except (OSError, ValueError, TypeError, AttributeError):
         return [], [], [], []

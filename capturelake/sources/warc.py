@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import GENERATOR
+from ..storage import exists, get, join, names
 
 RECORD_SCHEMA = "record_type string, target_uri string, record_id string, date string, content_type string, http_headers string, body binary"
 _HOP = "transfer-encoding content-encoding content-length".split()
@@ -108,13 +109,12 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        if os.path.isdir(self.path):
-            return [_File(os.path.join(self.path, n)) for n in sorted(os.listdir(self.path)) if n.endswith((".warc.gz", ".warc"))]
-        return [_File(self.path)]
+        if exists(self.path):
+            return [_File(self.path)]
+        return [_File(join(self.path, n)) for n in names(self.path) if n.endswith((".warc.gz", ".warc"))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            yield from records(f.read())
+        yield from records(get(partition.path))
 
 
 class WarcSource(DataSource):
