@@ -4,15 +4,16 @@ Vectors are scaled to length 1; cosine >= c is then distance <= eps = sqrt(2 - 2
 about one for ``CELL`` of them; a vector is native to the cell of its nearest pivot.  If x, native to cell i, has a
 partner y native to cell j at distance d, the triangle inequality gives |x pj| - |x pi| <= 2d, and for Euclidean distance
 the sharper (|x pj|^2 - |x pi|^2) / (2 |pi pj|) <= d.  So x is replicated to the later cells where that holds for eps, and
-each pair is met exactly once.  Cells join independently: natives in blocks of at most ``BLOCK``, with everything else of
-the cell streaming past in Arrow batches, so no task holds more than a block and a batch.  A block gives sums of links and
+each pair is met exactly once.  Cells join independently: natives in blocks of about ``BLOCK`` (by a hash), with everything
+else of the cell streaming past in Arrow batches, so no task holds more than a block and a batch.  A block gives sums of links and
 a forest that spans its links, never the pairs.
 
 Equal vectors are one class before that; a class counts with its size and costs one row.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
 different lengths never link; a null vec_id takes no part (component_id null, kept true); rows that repeat a vec_id with
-its vector count as further vectors.
+its vector count as further vectors; a cosine that double precision gives as exactly the limit is a link; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .scratch import Scratch
 
 CELL, BLOCK, PIVOTS = 4096, 4096, 4096
 _SLACK = 1e-6
+#: Vectors are short, so their Arrow batches may be longer than those of texts.
+_ROWS = {"spark__sql__execution__arrow__maxRecordsPerBatch": "2048"}
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -79,12 +82,26 @@ class _Block:
         self.edges: list[tuple[np.ndarray, np.ndarray]] = []
         self.root = np.arange(len(rep))
 
-    def _find(self, k: int) -> int:
-        root = self.root
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = int(root[k])
-        return k
+    def _roots(self, k: np.ndarray) -> np.ndarray:
+        at = self.root[k]
+        while ((up := self.root[at]) != at).any():
+            at = up
+        self.root[k] = at
+        return at
+
+    def _merge(self, p: np.ndarray, q: np.ndarray) -> None:
+        """Joins the components of each p and q; every root that goes gives one edge to the smallest root that it meets."""
+        while True:
+            a, b = self._roots(p), self._roots(q)
+            differ = a != b
+            if not differ.any():
+                return
+            p, q, high, low = p[differ], q[differ], np.maximum(a, b)[differ], np.minimum(a, b)[differ]
+            order = np.lexsort((low, high))
+            high, low = high[order], low[order]
+            first = np.r_[True, high[1:] != high[:-1]]
+            self.root[high[first]] = low[first]
+            self.edges.append((self.rep[high[first]], self.rep[low[first]]))
 
     def compare(self, rep: np.ndarray, members: np.ndarray, x: np.ndarray, same: bool = False) -> np.ndarray:
         i, j = np.nonzero(x.astype(np.float32) @ self.coarse.T >= self.least - 1e-4)
@@ -98,22 +115,14 @@ class _Block:
             np.add.at(found, p, self.members[q])
             np.add.at(self.links, q, members[p])
             if same:
-                for a, b in zip(p.tolist(), q.tolist()):
-                    self._union(a, b)
+                self._merge(p, q)
             else:
                 first = np.unique(p, return_index=True)[1]
                 self.edges.append((rep[p[first]], self.rep[q[first]]))
                 lead = q[first][np.searchsorted(p[first], p)]
-                for a, b in set(zip(q[q != lead].tolist(), lead[q != lead].tolist())):
-                    self._union(a, b)
+                self._merge(q[q != lead], lead[q != lead])
         return found
 
-    def _union(self, a: int, b: int) -> None:
-        a, b = self._find(a), self._find(b)
-        if a != b:
-            self.root[max(a, b)] = min(a, b)
-            self.edges.append((self.rep[[a]], self.rep[[b]]))
-
 
 _UNIT = "rep long, links long, other long"
 
@@ -172,7 +181,6 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding; other columns are ignored)."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embedding")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     finite = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     good = F.coalesce(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda c: c != 0), F.lit(False))
@@ -187,7 +195,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
         count = min(PIVOTS, max(1, math.ceil(n / CELL)))
         picked = reps.orderBy(F.xxhash64("rep"), "rep").select("embedding").limit(count).toPandas()["embedding"]
         pivots = _matrix(pa.array([list(map(float, v)) for v in picked], pa.list_(pa.float64())))
-        rows = scratch.save(_assign(reps, pivots, math.sqrt(max(0.0, 2 - 2 * cosine))), f"assigned-{width}")
+        rows = scratch.save(_assign(reps, pivots, math.sqrt(max(0.0, 2 - 2 * cosine))), f"assigned-{width}", **_ROWS)
         cells = rows.where("native").groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         # at most PIVOTS rows
         own = rows.join(F.broadcast(cells), "cell").withColumn("own", F.when(F.col("native"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
@@ -195,7 +203,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
         placed = own.withColumn("block", F.explode(F.sequence(F.coalesce("own", F.lit(0)), F.col("blocks") - 1)))
         units = placed.select((F.col("cell").cast("long") * (1 << 31) + F.col("block")).alias("unit"), (F.col("native") & (F.col("block") == F.col("own"))).alias("native"), "rep", "members", "x")
         spread = units.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * count), "unit").sortWithinPartitions("unit", F.desc("native"))
-        parts.append(scratch.save(_join_units(spread, cosine), f"joined-{width}"))
+        parts.append(scratch.save(_join_units(spread, cosine), f"joined-{width}", **_ROWS))
         scratch.drop(f"assigned-{width}")
 
     empty = spark.createDataFrame([], _UNIT)
