@@ -13,7 +13,8 @@ Only texts with a word that all key phrases need (``CUE``) are split into positi
 The postings have ``RARE`` rows a template, so the join with them is a broadcast of a known size.
 
 Defined results: null text has no words; a text's labels are those of its base phrases and its alignments; rows that
-repeat a doc_id, and null ids, are judged each by their own text.
+repeat a doc_id, and null ids, are judged each by their own text; of templates that stand, all labels count and the largest
+share; a long text is read whole, its words in one array; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from .scratch import Scratch
 RARE = 6
 LEAST = 0.6
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Every base phrase and every key phrase holds one of these.
-CUE = r"(?i)licen[sc]e|copying|copyright|redistribution|public domain"
+#: Every base phrase, and a key phrase of every template, holds one of these.
+CUE = rf"(?i)licen[sc]e|copying|copyright|redistribution|public{SEPARATOR}domain|held{SEPARATOR}liable"
 
 PHRASES: dict[str, str] = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -61,6 +62,42 @@ TEMPLATES: tuple[Template, ...] = (
     Template("cc-by-4.0", "licensed under cc by 4 0", ("licensed under cc by 4 0",)),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
+    Template(
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        ("you may not use this file except in compliance with the license",),
+    ),
+    Template(
+        "bsd",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        ("redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce"),
+    ),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        ("provided that the above copyright notice and this permission notice appear in all copies",),
+    ),
+    Template(
+        "bsl-1.0",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use reproduce display distribute execute and transmit the software",
+        ("accompanying documentation covered by this license",),
+    ),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+        ("in no event will the authors be held liable", "permission is granted to anyone to use this software for any purpose"),
+    ),
+    Template(
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        ("free and unencumbered software released into the public domain",),
+    ),
+    Template("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
+    Template(
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        ("under the terms of the gnu general public license as published by the free software foundation",),
+    ),
     Template("all-rights-reserved", "copyright all rights reserved", ("copyright all rights reserved",)),
 )
 

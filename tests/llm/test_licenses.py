@@ -66,3 +66,11 @@ def test_no_python_in_the_plan(spark, no_documents):
     plan = licenses.scan(no_documents)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert licenses.scan(no_documents).count() == 0
+
+
+def test_every_template_is_found(spark):
+    """A template's own words, among others, with punctuation and over several lines."""
+    rows = [(k, "Some words first.\n" + t.text.upper().replace(" of ", "\n OF ").replace("PUBLIC DOMAIN", "PUBLIC\nDOMAIN") + ".\nMore words.", t.label) for k, t in enumerate(licenses.TEMPLATES)]
+    rows += [(100 + k, "the of is under to and a in this words", None) for k in range(200)]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, want string")).collect()}
+    assert [want for k, _, want in rows if want and want not in got[k]] == []
