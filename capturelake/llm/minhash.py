@@ -166,8 +166,8 @@ def confirm(scratch: Scratch, docs: DataFrame, reps: DataFrame, pairs: DataFrame
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(need, "doc_id", "left_semi")
     own = texts.mapInArrow(sets, "doc_id long, s1 long, s2 long, shingles binary").join(wanted, ["doc_id", "s1", "s2"])
-    # rows that repeat a document give its set once
-    full = scratch.save(own.select("node", "shingles").dropDuplicates(["node"]), f"{name}-sets", **BLOOM)
+    # rows that repeat a document give its set once; by the columns of the join, so that sets are not moved again
+    full = scratch.save(own.dropDuplicates(["node", "doc_id", "s1", "s2"]).select("node", "shingles"), f"{name}-sets", **BLOOM)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -11,9 +11,10 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -25,6 +26,9 @@ BLOOM = {f"spark__sql__optimizer__runtime__bloomFilter__{k}": v for k, v in (("a
 #: Rows of an Arrow batch sent to Python: texts can be long, so batches are short.
 BATCH_ROWS = 256
 
+#: Bits of a ``KeyFilter``: for each key, and at most (8 MB).
+KEY_BITS, MOST_BITS = 12, 1 << 26
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; only a local master may fall back to a folder of this machine."""
@@ -84,6 +88,29 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+class KeyFilter:
+    """A Bloom filter of keys, as an array of longs that a scalar subquery hands to every task: a key sets up to four bits of
+    one word.
+
+    Rows that it does not hold need no join with the keys; those it holds do, since it may err that way.
+    """
+
+    def __init__(self, table: DataFrame, words: int) -> None:
+        self.table, self.words = table, words
+
+    @staticmethod
+    def place(keys: list[str], words: int) -> tuple[Column, Column]:
+        """The word of a key, and its bits there."""
+        h, one = F.xxhash64(F.lit(0), *(F.col(quoted(c)) for c in keys)), F.lit(1).cast("long")
+        bits = [F.call_function("shiftleft", one, F.shiftrightunsigned(h, k).bitwiseAND(F.lit(63)).cast("int")) for k in (40, 46, 52, 58)]
+        return h.bitwiseAND(F.lit(words - 1)), reduce(Column.bitwiseOR, bits)
+
+    def holds(self, *keys: str) -> Column:
+        """Whether a row's keys may be among those of the filter; true wherever they are.  It is never null."""
+        at, bits = self.place(list(keys), self.words)
+        return F.get(self.table.scalar(), at.cast("int")).bitwiseAND(bits) == bits
+
+
 class Scratch:
     """Folder of one operator run; it goes when the driver's JVM ends, and single tables when they are dropped."""
 
@@ -115,6 +142,17 @@ class Scratch:
         """
         return self.save(ids.distinct(), name).where(F.col(ids.columns[0]) > -(1 << 63))
 
+    def save_filter(self, keys: DataFrame, name: str) -> KeyFilter:
+        """A filter of all columns of the saved table ``keys``.  Its size is bounded: with very many keys it holds more rows."""
+        words, most = 1, KEY_BITS * keys.count()
+        while 64 * words < min(MOST_BITS, most):
+            words *= 2
+        at, bits = KeyFilter.place(keys.columns, words)
+        some = keys.select(at.alias("id"), bits.alias("bits")).groupBy("id").agg(F.bit_or("bits").alias("bits"))
+        every = self.spark.range(words).join(some, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+        one = every.agg(F.sort_array(F.collect_list(F.struct("id", "bits"))).alias("x")).select(F.col("x.bits").alias("bits"))
+        return KeyFilter(self.save(one, name), words)
+
     def drop(self, *names: str) -> None:
         for name in names:
             path, fs = self._hadoop(f"{self.folder}/{name}")

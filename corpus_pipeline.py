@@ -37,18 +37,20 @@ def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id and its text stay once; texts of one id that are no near duplicates stay each.  Rows without a doc_id stay, and so
     do texts without words (null ones too), which are near to nothing.
     """
-    scratch, keys = Scratch(spark, "pipeline-minhash"), [free_name("_doc", docs.columns), free_name("_text", docs.columns)]
+    scratch, names = Scratch(spark, "pipeline-minhash"), [free_name(n, docs.columns) for n in ("_doc", "_text", "_gone", "_each")]
+    *keys, gone, each = names
     found = judged(docs, shingle=5, threshold_pct=80).where("doc_id IS NOT NULL")
     found = scratch.save(found.select(F.col("doc_id").alias(keys[0]), F.col("text_hash").alias(keys[1]), "part"), "judged")
     first = found.where("part IS NOT NULL").groupBy("part").agg(F.min(F.struct(*keys)).alias("x")).select("x.*")
-    stay = first.unionByName(found.where("part IS NULL").select(*keys)).distinct()
-    counted = found.groupBy(*keys).agg(F.count("*").alias("rows"))
-    gone = scratch.save(counted.join(stay, keys, "left_anti").select(*keys), "gone")
-    again = scratch.save(counted.where("rows > 1").select(*keys), "again")
-    left = docs.withColumns({keys[0]: F.col("doc_id").cast("long"), keys[1]: F.xxhash64(F.col("text").cast("string"))}).join(gone, keys, "left_anti")
-    # only rows that repeat are gathered by their text
-    once = left.join(again, keys, "left_semi").dropDuplicates(keys)
-    return left.join(again, keys, "left_anti").unionByName(once).select(*map(quoted, docs.columns))
+    stay = first.unionByName(found.where("part IS NULL").select(*keys)).distinct().withColumn("stays", F.lit(True))
+    counted = found.groupBy(*keys).agg(F.count("*").alias("rows")).join(stay, keys, "left")
+    marks = scratch.save(counted.where("stays IS NULL OR rows > 1").select(*keys, F.col("stays").isNull().alias(gone)), "marks")
+    # only rows that go or repeat, and the few that a filter takes for such, are moved with their texts
+    rows = docs.withColumns({keys[0]: F.col("doc_id").cast("long"), keys[1]: F.xxhash64(F.col("text").cast("string"))})
+    marked = scratch.save_filter(marks.select(*keys), "filter").holds(*keys)
+    some = rows.where(marked).join(marks, keys, "left").where(~F.coalesce(gone, F.lit(False)))
+    some = some.withColumn(each, F.when(F.col(gone).isNull(), F.monotonically_increasing_id())).dropDuplicates([*keys, each])
+    return rows.where(~marked).unionByName(some.drop(gone, each)).select(*map(quoted, docs.columns))
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

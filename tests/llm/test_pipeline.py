@@ -1,9 +1,11 @@
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from capturelake.llm.queries import queries, vocabulary
+from capturelake.llm.scratch import Scratch, settings
 
 from .test_minhash import components
 from .test_substring import brute
@@ -92,5 +94,85 @@ def test_extra_columns_and_nulls(spark, folder):
             assert got.where("doc_id = 9001").count() == 1 and got.where("doc_id IS NULL").count() == 1
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        yield
+
+
+def long_texts(n, twins, again):
+    """Texts that don't compress, of which some have a twin with another id, and some rows come twice."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"{rng.getrandbits(64):x}" for _ in range(300))) for k in range(n)]
+    return rows + [(n + k, rows[k][1] + " more") for k in range(twins)] + rows[n - again :]
+
+
+def test_only_texts_that_go_or_repeat_are_moved(spark, tmp_path, no_broadcasts):
+    import corpus_pipeline
+
+    rows = long_texts(600, 20, 10)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    docs.write.parquet(f"{tmp_path}/docs")
+    out = corpus_pipeline.minhash(spark, spark.read.parquet(f"{tmp_path}/docs"), "")
+    before = shuffled(spark)
+    out.write.parquet(f"{tmp_path}/out")
+    moved, size = shuffled(spark) - before, sum(len(t) for _, t in rows)
+    assert 0 < moved < 0.25 * size
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == rows[:600]
+
+
+def test_sets_to_confirm_are_moved_once(spark, no_broadcasts):
+    from capturelake.llm import minhash
+
+    # no two of these rows are near, but all of them are to be compared
+    docs = spark.createDataFrame(long_texts(400, 0, 0), "doc_id long, text string")
+    reps = minhash.signatures(docs, 5).withColumn("node", F.col("doc_id"))
+    pairs, sizes, save = spark.range(0, 400, 2).selectExpr("id AS a", "id + 1 AS b"), {}, Scratch.save
+
+    class Counted(Scratch):
+        def save(self, df, name, **values):
+            before = shuffled(spark)
+            made = save(self, df, name, **values)
+            sizes[name] = shuffled(spark) - before
+            return made
+
+    assert minhash.confirm(Counted(spark, "t"), docs, reps, pairs, 5, 80, "x").count() == 0
+    # random texts are joined with the ids that are needed, then their sets of 8 bytes a word with the nodes
+    texts, sets = sum(len(t) for _, t in long_texts(400, 0, 0)), 400 * 296 * 8
+    assert sizes["x-sets"] < texts + 1.5 * sets
+
+
+@pytest.mark.parametrize("most", [64, 1 << 26])
+def test_a_full_filter_loses_nothing(spark, monkeypatch, no_broadcasts, most):
+    import corpus_pipeline
+    from capturelake.llm import scratch
+
+    monkeypatch.setattr(scratch, "MOST_BITS", most)
+    rows = long_texts(300, 40, 10)
+    odd = [(None, "a b c"), (None, "a b c"), (901, None), (901, None), (902, ""), (5, "x y")]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string")
+    got = corpus_pipeline.minhash(spark, docs, "").collect()
+    want = sorted([*rows[:300], *odd[:2], *odd[3:]], key=lambda r: (r[0] or 0, r[1] or ""))
+    assert sorted(map(tuple, got), key=lambda r: (r[0] or 0, r[1] or "")) == want
+
+
+def test_key_filter(spark):
+    keys = spark.range(3000).selectExpr("id * 7 AS a", "IF(id % 5 = 0, NULL, id) AS b")
+    held = Scratch(spark, "t").save_filter(keys, "f")
+    assert keys.where(held.holds("a", "b")).count() == 3000
+    assert spark.range(100_000).selectExpr("id AS a", "-1L AS b").where(held.holds("a", "b")).count() < 2000
+    none = Scratch(spark, "t").save_filter(keys.where("false"), "f")
+    assert not keys.where(none.holds("a", "b")).count() and not keys.where(none.holds("a", "b").isNull()).count()
+
+
 def test_queries_are_named(spark):
     assert [n for n in queries()] and {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 11))
