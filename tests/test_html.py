@@ -118,3 +118,10 @@ def test_tolerant_tree():
     assert not [e for e in tree.all("div") if e.up.tag == "p"]
     assert parse("<script>var t='</p>'</script>t").texts().strip() == "t"
     assert [e.attrs["id"] for e in select(parse('<div id=a class="x y"><p id=b data-k="v"></p></div><p id=c></p>'), "div.x > p, [data-k='v'], #c")] == ["b", "c"]
+
+
+@pytest.mark.parametrize("text,want", [("a &amp", "a &amp"), ("a &am", "a &am"), ("a &copy 1 &copy;", "a &copy 1 ©"), ("&notit; &#65 &#x42;", "&notit; A B"), ("a & b", "a & b")])
+def test_references_need_their_semicolon(text, want):
+    page = parse(f"<title>{text}</title><body><p>{text}</p><a href='/x?a=1&copy=2&amp;b=3'>y</a>")
+    assert page.first("p").texts() == metadata(page)["title"] == want
+    assert page.first("a").attrs["href"] == "/x?a=1&copy=2&b=3"
