@@ -119,8 +119,12 @@ def robots_allowed(pages: DataFrame, robots: DataFrame, user_agent: str, url: st
 
 
 def robots_allow_chain(captures: DataFrame, robots: DataFrame, user_agent: str, chain: str = "redirect_chain") -> DataFrame:
-    """``captures`` (url, redirect_chain) with robots_allowed: whether every hop is; a capture without hops is allowed."""
+    """``captures`` (redirect_chain) with robots_allowed: whether every hop is; a capture without hops is allowed.
+
+    Chains are judged, not pages: one page may be reached by several of them.
+    """
     hops = captures.select(F.explode(chain).alias("_hop")).distinct()
     denied = robots_allowed(hops, robots, user_agent, "_hop").where(~F.col("robots_allowed")).select("_hop")
-    bad = captures.select("url", F.explode(chain).alias("_hop")).join(denied, "_hop", "left_semi").select("url").distinct()
-    return captures.join(bad.withColumn("_bad", F.lit(True)), "url", "left").withColumn("robots_allowed", F.col("_bad").isNull()).drop("_bad")
+    bad = captures.select(F.col(chain).alias("_chain"), F.explode(chain).alias("_hop")).join(denied, "_hop", "left_semi").select("_chain").distinct()
+    judged = captures.join(bad.withColumn("_bad", F.lit(True)), F.col(chain) == F.col("_chain"), "left")
+    return judged.withColumn("robots_allowed", F.col("_bad").isNull()).drop("_bad", "_chain")

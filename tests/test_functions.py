@@ -120,3 +120,12 @@ def test_robots(spark):
     robots = spark.createDataFrame([("https://a.org/robots.txt", 200, "User-agent: *\nDisallow: /blocked"), ("https://b.org/robots.txt", 500, "User-agent: *\nDisallow: /")], "url string, status_code int, body string")
     pages = spark.createDataFrame([(u,) for u in ("https://a.org/blocked/x", "https://a.org/ok", "https://b.org/x", "https://c.org/x")], "url string")
     assert {r.url[8:]: r.robots_allowed for r in consent.robots_allowed(pages, robots, "lake").collect()} == {"a.org/blocked/x": False, "a.org/ok": True, "b.org/x": True, "c.org/x": True}
+
+
+def test_chains_of_one_page_are_judged_apart(spark):
+    robots = spark.createDataFrame([("https://a.org/robots.txt", 200, "User-agent: *\nDisallow: /blocked")], "url string, status_code int, body string")
+    rows = [(1, "https://a.org/x", ["https://a.org/blocked/s", "https://a.org/x"]), (2, "https://a.org/x", ["https://a.org/s", "https://a.org/x"]), (3, "https://a.org/x", []), (4, None, ["https://a.org/blocked/s"]), (5, "https://a.org/x", None)]
+    captures = spark.createDataFrame(rows, "page_id int, url string, redirect_chain array<string>")
+    got = consent.robots_allow_chain(captures, robots, "lake")
+    assert {r.page_id: r.robots_allowed for r in got.collect()} == {1: False, 2: True, 3: True, 4: False, 5: True}
+    assert got.columns == [*captures.columns, "robots_allowed"]
