@@ -24,11 +24,16 @@ def visible_text(markdown: Column) -> Column:
     return F.trim(markdown)
 
 
+def bare(text: Column) -> Column:
+    """``text`` without white space at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
 def tidy(markdown: Column) -> Column:
     """At most one blank line, no white space at line ends, one line end at the end of what is not empty."""
     slim = F.regexp_replace(F.regexp_replace(markdown, "\n\n\n+", "\n\n"), r"(?U)[^\S\n]+(?=\n|\z)", "")
-    bare = F.regexp_replace(slim, r"(?U)^\s+|\s+\z", "")
-    return F.when(bare == "", bare).otherwise(F.concat(bare, F.lit("\n")))
+    held = bare(slim)
+    return F.when(held == "", held).otherwise(F.concat(held, F.lit("\n")))
 
 
 def retention(kept_chars: Column, source_chars: Column) -> Column:
@@ -41,8 +46,8 @@ def is_low_content(markdown_chars: Column) -> Column:
 
 def without_thinking(text: Column) -> Column:
     """Model output without its <think> parts, blank lines collapsed."""
-    bare = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"(?U)\n\s*\n+", "\n\n"), r"(?U)^\s+|\s+\z", "")
+    said = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
+    return bare(F.regexp_replace(said, r"(?U)\n\s*\n+", "\n\n"))
 
 
 def prompt(template: str, content: Column, model: str = "") -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import bytes_hash, content_hash
+from ..functions.text import bare
 from ..html.dom import parse
 from ..html.markdown import ConvertOptions, convert_tree
 from ..html.metadata import FIELDS, base_path, links, metadata, normalize_url
@@ -83,12 +84,12 @@ def links_in_scope(pages: DataFrame, start_url: str, html: str = "html", url: st
 
 
 def needs_render(pages: DataFrame, mode: str, html: str = "html", url: str = "url", options: ConvertOptions = ConvertOptions()) -> DataFrame:
-    """``pages`` with needs_render: always, never, or (auto) where conversion gives under 200 characters."""
+    """``pages`` with needs_render: always, never, or (auto) where conversion gives under 200 characters, white space around them not counted."""
     if mode in ("always", "never"):
         return pages.withColumn("needs_render", F.lit(mode == "always"))
     if mode != "auto":
         raise ValueError(f"unknown render mode: {mode!r}")
-    return pages.withColumn("needs_render", F.length(F.trim(page(F.col(html), F.col(url), options)["markdown"])) < 200)
+    return pages.withColumn("needs_render", F.length(bare(page(F.col(html), F.col(url), options)["markdown"])) < 200)
 
 
 __all__ = ["base_path", "converted", "links_in_scope", "needs_render", "normalize_url", "page", "read_page"]

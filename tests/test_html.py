@@ -125,3 +125,11 @@ def test_references_need_their_semicolon(text, want):
     page = parse(f"<title>{text}</title><body><p>{text}</p><a href='/x?a=1&copy=2&amp;b=3'>y</a>")
     assert page.first("p").texts() == metadata(page)["title"] == want
     assert page.first("a").attrs["href"] == "/x?a=1&copy=2&b=3"
+
+
+def test_rendering_is_wanted_under_200_characters(spark):
+    from capturelake.operators.capture import needs_render
+
+    rows = [(n, "https://h.org/", f"<html><body><p>{'x' * n}</p></body></html>") for n in (199, 200)]
+    got = needs_render(spark.createDataFrame(rows, "n int, url string, html string"), "auto").collect()
+    assert {r.n: r.needs_render for r in got} == {199: True, 200: False}
