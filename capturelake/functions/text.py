@@ -36,8 +36,16 @@ def tidy(markdown: Column) -> Column:
     return F.when(held == "", held).otherwise(F.concat(held, F.lit("\n")))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """The nearest number of so many digits to what is stored, as SQL engines and Python have it: 0.78375 is stored as less.
+
+    ``F.round`` goes by the shortest decimal that a double prints as.
+    """
+    return F.round(value * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
 def retention(kept_chars: Column, source_chars: Column) -> Column:
-    return F.round(F.least(F.lit(1.0), kept_chars / F.greatest(F.lit(1), source_chars)), 4)
+    return rounded(F.least(F.lit(1.0), kept_chars / F.greatest(F.lit(1), source_chars)), 4)
 
 
 def is_low_content(markdown_chars: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import GENERATOR
+from ..functions.text import rounded
 from ..functions.urls import netloc
 from ..storage import whole_file
 
@@ -35,9 +36,9 @@ def summary(pages: DataFrame, *by: str, digits: int = 4) -> DataFrame:
         F.count_if(~ok).alias("failed"),
         F.coalesce(F.sum(F.coalesce("raw_bytes", F.lit(0))), F.lit(0)).cast("bigint").alias("total_raw_bytes"),
         F.coalesce(F.sum(F.coalesce("markdown_chars", F.lit(0))), F.lit(0)).cast("bigint").alias("total_markdown_chars"),
-        F.round(F.min(ratio), 4).alias("retention_min"),
-        F.round(F.max(ratio), 4).alias("retention_max"),
-        F.round(F.avg(ratio), digits).alias("retention_avg"),
+        rounded(F.min(ratio), 4).alias("retention_min"),
+        rounded(F.max(ratio), 4).alias("retention_max"),
+        rounded(F.avg(ratio), digits).alias("retention_avg"),
         F.sort_array(F.collect_set(F.when(F.col("license") != "", F.col("license")))).alias("licenses_seen"),
         F.count_distinct(F.when(F.size(F.coalesce("ai_txt", F.create_map().cast("map<string,string>"))) > 0, site)).alias("ai_txt_hosts"),
         F.count_distinct(F.when(F.col("llms_txt"), site)).alias("llms_txt_hosts"),
@@ -73,9 +74,9 @@ def scorecard(results: DataFrame, *by: str) -> DataFrame:
     return results.groupBy(*by).agg(
         F.count("*").alias("total"),
         F.count_if(ok).alias("successful"),
-        F.round(F.count_if(ok) / F.count("*"), 4).alias("success_rate"),
-        F.round(F.avg(F.when(ok, F.col("latency_ms"))), 1).alias("avg_latency_ms"),
-        F.round(F.avg(F.when(ok, F.col("markdown_chars") / F.greatest(F.lit(1), F.col("raw_bytes")))), 3).alias("avg_markdown_ratio"),
+        rounded(F.count_if(ok) / F.count("*"), 4).alias("success_rate"),
+        rounded(F.avg(F.when(ok, F.col("latency_ms"))), 1).alias("avg_latency_ms"),
+        rounded(F.avg(F.when(ok, F.col("markdown_chars") / F.greatest(F.lit(1), F.col("raw_bytes")))), 3).alias("avg_markdown_ratio"),
         F.count_if(ok & F.col("provenance_complete")).alias("provenance_complete"),
         F.floor(F.coalesce(F.sum(F.when(ok, F.col("markdown_chars"))), F.lit(0)) / 4).cast("bigint").alias("token_estimate"),
     )

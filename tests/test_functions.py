@@ -129,3 +129,9 @@ def test_chains_of_one_page_are_judged_apart(spark):
     got = consent.robots_allow_chain(captures, robots, "lake")
     assert {r.page_id: r.robots_allowed for r in got.collect()} == {1: False, 2: True, 3: True, 4: False, 5: True}
     assert got.columns == [*captures.columns, "robots_allowed"]
+
+
+def test_rounding_goes_by_the_stored_double(spark):
+    # 627 / 800 prints as 0.78375 and is stored as a little less
+    made = spark.createDataFrame([(627, 800), (725, 928), (9, 8)], "kept int, source int")
+    assert [r[0] for r in made.select(text.retention(F.col("kept"), F.col("source"))).collect()] == [0.7837, 0.7813, 1.0]
