@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import short_batches
 from ..functions.hashing import bytes_hash, content_hash
 from ..functions.text import bare
 from ..html.dom import parse
@@ -39,16 +40,6 @@ def page(html: Column, url: Column, options: ConvertOptions = ConvertOptions(),
     return run(html, url)
 
 
-#: Rows of an Arrow batch of pages: a page has tens of kilobytes and more.
-BATCH_ROWS = 512
-
-
-def short_batches(df: DataFrame) -> DataFrame:
-    """``df``, with its session's Arrow batches no longer than pages allow."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
-    return df
 
 
 def converted(pages: DataFrame, html: str = "html", url: str = "url", options: ConvertOptions = ConvertOptions()) -> DataFrame:

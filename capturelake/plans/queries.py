@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..batches import short_batches
 from ..functions import consent, hashing, policy, text, urls
 from ..operators import bench, chunking, dedup, documents, jobs, provenance
 from ..operators.capture import converted, fetch_and_convert, links_in_scope, needs_render
@@ -429,7 +430,8 @@ def chunk_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "text", F.explode(chunking.chunks(F.col("text"))).alias("c"))
+    docs = short_batches(table(spark, folder, "documents"))
+    return docs.select("doc_id", "text", F.explode(chunking.chunks(F.col("text"))).alias("c"))
 
 
 @query
@@ -447,7 +449,7 @@ def _sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _plain_chunks(docs: DataFrame, **limits: int) -> DataFrame:
-    c = docs.select("doc_id", F.explode(chunking.chunks(F.col("markdown"), **limits)).alias("c"))
+    c = short_batches(docs).select("doc_id", F.explode(chunking.chunks(F.col("markdown"), **limits)).alias("c"))
     longs = (F.col(f"c.{k}").cast("bigint").alias(k) for k in ("start", "end", "char_count", "token_count"))
     return c.select("doc_id", "c.chunk_id", F.array_join("c.heading_path", "/").alias("heading"), *longs, F.sha2("c.content", 256).alias("content_sha256"))
 

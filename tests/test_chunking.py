@@ -75,3 +75,17 @@ def test_long_unbroken_text_is_linear(unit):
         return time.process_time() - began
 
     assert seconds(800_000) < 20 * max(seconds(100_000), 0.05)
+
+
+@pytest.mark.parametrize("name", ["chunk_spans", "chunk_whole", "chunk_windows", "chunk_hard_split"])
+def test_chunk_queries_hold_short_batches(spark, tmp_path, name):
+    """A task holds the chunks of one Arrow batch, however many rows its partition has."""
+    from capturelake.batches import BYTES, ROWS
+    from capturelake.plans.queries import REGISTRY
+
+    spark.createDataFrame([(1, "word " * 900)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(rows, "10000")
+    spark.conf.unset(size)
+    REGISTRY[name](spark, str(tmp_path)).collect()
+    assert int(spark.conf.get(rows)) <= ROWS and int(spark.conf.get(size)) <= BYTES
