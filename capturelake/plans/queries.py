@@ -541,15 +541,7 @@ def warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Records read back from archives of all pages."""
     raw = tables.captures(pages(spark, folder), fetched_at=FETCHED_AT).withColumn("raw_bytes", F.col("html").cast("binary"))
 
-    import pandas as pd
-
-    def read(parts):  # noqa: ANN001, ANN202
-        for part in parts:
-            for data in part["archive"]:
-                rows = [(r[0], r[1], r[6]) for r in warc.records(bytes(data))]
-                yield pd.DataFrame(rows, columns=["record_type", "target_uri", "body"])
-
-    found = warc.archives(raw).mapInPandas(read, "record_type string, target_uri string, body binary").where("record_type = 'response'")
+    found = warc.stored_records(warc.archives(raw)).where("record_type = 'response'")
     return found.select("target_uri", F.sha2("body", 256).alias("bytes_sha256"))
 
 

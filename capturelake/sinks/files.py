@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import short_batches
 from ..functions.urls import file_name
 from ..storage import get, join, names, put, whole_file
 
@@ -18,13 +19,13 @@ FORMATS = ("json", "jsonl", "parquet")
 def _write_each(df: DataFrame, folder: str, name: str, data: str) -> int:
     """Writes column ``data`` (string or binary) of every row to the file named by column ``name``; how many there were."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for n, d in zip(part["n"], part["d"]):
-                put(join(folder, n), d.encode() if isinstance(d, str) else bytes(d))
-            yield pd.DataFrame({"written": [len(part)]})
+            for n, d in zip(part.column("n"), part.column("d")):
+                put(join(folder, n.as_py()), d.as_buffer())
+            yield pa.RecordBatch.from_pydict({"written": [part.num_rows]})
 
-    done = df.select(F.col(name).alias("n"), F.col(data).alias("d")).mapInPandas(run, "written long")
+    done = short_batches(df.select(F.col(name).alias("n"), F.col(data).cast("binary").alias("d"))).mapInArrow(run, "written long")
     return int(done.agg(F.coalesce(F.sum("written"), F.lit(0)).alias("n")).first()["n"])
 
 

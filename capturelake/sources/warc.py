@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import gzip
+import io
 import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import IO
 from urllib.parse import urlsplit, urlunsplit
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..batches import BYTES, ROWS, short_batches
 from ..config import GENERATOR
-from ..storage import exists, get, join, names
+from ..storage import exists, join, names, opened
 
 RECORD_SCHEMA = "record_type string, target_uri string, record_id string, date string, content_type string, http_headers string, body binary"
+_ARROW = pa.schema([(name, pa.binary() if kind == "binary" else pa.string()) for name, kind in (c.split() for c in RECORD_SCHEMA.split(", "))])
 _HOP = "transfer-encoding content-encoding content-length".split()
 
 
@@ -61,34 +66,48 @@ def archives(captures: DataFrame) -> DataFrame:
 
     Archives can be written anywhere and joined end to end; a retried task makes its own anew.
     """
-    import pandas as pd
     from pyspark import TaskContext
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[bytes] = []
-        size, piece, where = 0, 0, TaskContext.get().partitionId()
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, piece, where = bytearray(), 0, TaskContext.get().partitionId()
+
+        def whole() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"part": [f"part-{where:05d}-{piece:05d}.warc.gz"], "archive": pa.array([held], pa.binary())})
+
         for part in parts:
-            for r in part.itertuples():
+            for r in part.to_pylist():
                 if not held:
-                    held.append(info_record(r.fetched_at or ""))
-                held.append(capture_records(r.url, r.fetched_at or "", int(r.status_code), dict(r.response_headers or {}), bytes(r.raw_bytes)))
-                size += len(held[-1])
-                if size > 64 << 20:
-                    yield pd.DataFrame({"part": [f"part-{where:05d}-{piece:05d}.warc.gz"], "archive": [b"".join(held)]})
-                    held, size, piece = [], 0, piece + 1
+                    held += info_record(r["fetched_at"] or "")
+                held += capture_records(r["url"], r["fetched_at"] or "", int(r["status_code"]), dict(r["response_headers"] or {}), r["raw_bytes"])
+                if len(held) > 64 << 20:
+                    yield whole()
+                    held, piece = bytearray(), piece + 1
         if held:
-            yield pd.DataFrame({"part": [f"part-{where:05d}-{piece:05d}.warc.gz"], "archive": [b"".join(held)]})
+            yield whole()
 
     rows = captures.where(F.coalesce("status_code", F.lit(0)) > 0).select("url", "fetched_at", "status_code", "response_headers", F.col("raw_bytes").cast("binary").alias("raw_bytes"))
-    return rows.mapInPandas(run, "part string, archive binary")
-
-
-def records(data: bytes) -> Iterator[tuple[str, str, str, str, str, str, bytes]]:
-    """Rows of RECORD_SCHEMA from the bytes of an archive, one gzip member a record."""
-    while data:
-        member = zlib.decompressobj(31)
-        raw = member.decompress(data) + member.flush()
-        data = member.unused_data
+    return short_batches(rows).mapInArrow(run, "part string, archive binary")
+
+
+def _members(stream: IO[bytes]) -> Iterator[bytes]:
+    """Contents of the gzip members of a stream, which is read in short pieces: what follows a member is copied for each."""
+    member, parts = zlib.decompressobj(31), []
+    held = stream.read(1 << 16)
+    while held:
+        parts.append(member.decompress(held))
+        if member.eof:
+            yield b"".join(parts)
+            held, member, parts = member.unused_data, zlib.decompressobj(31), []
+        else:
+            held = b""
+        held = held or stream.read(1 << 16)
+    if parts:
+        yield b"".join([*parts, member.flush()])
+
+
+def records(archive: bytes | IO[bytes]) -> Iterator[tuple[str, str, str, str, str, str, bytes]]:
+    """Rows of RECORD_SCHEMA from the bytes of an archive, or a stream of them, one gzip member a record."""
+    for raw in _members(io.BytesIO(archive) if isinstance(archive, bytes) else archive):
         head, _, rest = raw.partition(b"\r\n\r\n")
         named = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
         block = rest[: int(named.get("content-length", 0))]
@@ -99,6 +118,30 @@ def records(data: bytes) -> Iterator[tuple[str, str, str, str, str, str, bytes]]
         yield (named.get("warc-type", ""), named.get("warc-target-uri", ""), named.get("warc-record-id", ""), named.get("warc-date", ""), named.get("content-type", ""), http, body)
 
 
+def _batches(found: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Records as Arrow batches of bounded size."""
+    held, size = [], 0
+    for r in found:
+        held.append(r)
+        size += len(r[-1])
+        if len(held) >= ROWS or size >= BYTES:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*held), _ARROW.types)), schema=_ARROW)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*held), _ARROW.types)), schema=_ARROW)
+
+
+def stored_records(archives: DataFrame) -> DataFrame:
+    """Rows of RECORD_SCHEMA of archives (archive)."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for data in part.column("archive"):
+                yield from _batches(records(pa.BufferReader(data.as_buffer())))
+
+    return short_batches(archives.select("archive")).mapInArrow(run, RECORD_SCHEMA)
+
+
 class _File(InputPartition):
     def __init__(self, path: str) -> None:
         self.path = path
@@ -113,8 +156,9 @@ class _Reader(DataSourceReader):
             return [_File(self.path)]
         return [_File(join(self.path, n)) for n in names(self.path) if n.endswith((".warc.gz", ".warc"))]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from records(get(partition.path))
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        with opened(partition.path) as f:
+            yield from _batches(records(f))
 
 
 class WarcSource(DataSource):

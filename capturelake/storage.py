@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import IO
 
+import pyarrow as pa
 from pyarrow import fs
 
 
@@ -31,14 +32,21 @@ def whole_file(path: str) -> Iterator[IO[bytes]]:
     where.move(part, name)
 
 
-def put(path: str, data: bytes) -> None:
+def put(path: str, data: bytes | pa.Buffer) -> None:
     with whole_file(path) as out:
         out.write(data)
 
 
-def get(path: str) -> bytes:
+@contextmanager
+def opened(path: str) -> Iterator[IO[bytes]]:
+    """A stream of the file's bytes."""
     where, name = place(path)
     with where.open_input_stream(name, compression=None) as f:
+        yield f
+
+
+def get(path: str) -> bytes:
+    with opened(path) as f:
         return f.read()
 
 

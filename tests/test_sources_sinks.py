@@ -1,6 +1,7 @@
 import gzip
 import http.server
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,3 +200,26 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([*args, "--overwrite", "--sign", str(tmp_path / "key.pem")]) == 0
     signed = next((tmp_path / "out").glob("h.org-docs-a-*.md"))
     assert main(["verify", str(signed), "--public-key", public.strip()]) == 0 and main(["verify", str(signed)]) == 1
+
+
+def test_archives_are_read_in_linear_time():
+    """A record costs its own length, not that of the archive behind it."""
+    one = warc.capture_records("https://a/", "t", 200, {"a": "b"}, b"body")
+
+    def seconds(n):
+        began = time.process_time()
+        assert sum(r[6] == b"body" for r in warc.records(one * n)) == n
+        return time.process_time() - began
+
+    assert list(warc.records(b"")) == [] and [r[0] for r in warc.records(one[:-9])] == ["request", "response"]
+    assert seconds(48_000) < 20 * max(seconds(6_000), 0.05)
+
+
+def test_archives_are_read_in_short_batches(spark):
+    from capturelake.batches import BYTES, ROWS
+
+    many = list(warc._batches(iter([("response", "https://a/", "", "", "", "", b"x")] * (2 * ROWS + 1))))
+    large = list(warc._batches(iter([("response", "https://a/", "", "", "", "", b"x" * (BYTES // 2))] * 5)))
+    assert [b.num_rows for b in many] == [ROWS, ROWS, 1] and [b.num_rows for b in large] == [2, 2, 1]
+    df = spark.createDataFrame([("https://a/", "t", 200, {"a": "b"}, bytearray(b"x"))] * 3, "url string, fetched_at string, status_code int, response_headers map<string,string>, raw_bytes binary")
+    assert warc.stored_records(warc.archives(df.coalesce(1))).where("record_type = 'response' AND body = X'78'").count() == 3
