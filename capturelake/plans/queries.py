@@ -125,7 +125,9 @@ def page_metadata(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def page_links(spark: SparkSession, folder: str) -> DataFrame:
-    return converted_pages(spark, folder).select("page_id", F.posexplode("links").alias("pos", "link")).select("page_id", F.col("pos").cast("bigint").alias("pos"), "link")
+    # an inner explode filters by the size of the array first, and would convert each page twice for that
+    found = converted_pages(spark, folder).select("page_id", F.posexplode_outer("links").alias("pos", "link")).where("pos IS NOT NULL")
+    return found.select("page_id", F.col("pos").cast("bigint").alias("pos"), "link")
 
 
 @query

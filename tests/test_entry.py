@@ -51,3 +51,9 @@ def test_crawl_grows_with_its_table(spark, tmp_path):
         assert sorted(db.execute(entry.oracle_sql()["crawl_whole"]).fetchall()) == sorted(map(tuple, rows))
         deepest.append(max(r.depth for r in rows))
     assert 4 < deepest[0] < deepest[1]
+
+
+@needs_data
+def test_links_convert_a_page_once(spark):
+    plan = entry.queries()["page_links"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
