@@ -133,3 +133,23 @@ def test_rendering_is_wanted_under_200_characters(spark):
     rows = [(n, "https://h.org/", f"<html><body><p>{'x' * n}</p></body></html>") for n in (199, 200)]
     got = needs_render(spark.createDataFrame(rows, "n int, url string, html string"), "auto").collect()
     assert {r.n: r.needs_render for r in got} == {199: True, 200: False}
+
+
+@pytest.mark.parametrize("tag,attrs", [("script", ""), ("nav", ""), ("div", " class=toc"), ("div", " class=cookie-x")])
+def test_many_stripped_siblings_are_linear(tag, attrs):
+    import time
+
+    def seconds(n):
+        page = f"<html><body><p>kept</p>{f'<{tag}{attrs}></{tag}>' * n}</body></html>"
+        began = time.process_time()
+        out = convert(page)
+        assert out.markdown == "kept\n" and out.stripped_elements == (0 if tag == "script" else n)
+        return time.process_time() - began
+
+    assert seconds(16_000) < 20 * max(seconds(2_000), 0.05)
+
+
+def test_stripped_elements_inside_others_count_once():
+    # in the order of the settings: nav goes with the button in it, a form goes before the footer around it; sidebar before toc
+    page = "<nav><button></button><nav></nav></nav><footer><form></form></footer><div class='toc'><p class='sidebar'></p></div><div class='sidebar'><p class='toc'></p></div><p>kept</p>"
+    assert convert(f"<html><body>{page}</body></html>").stripped_elements == 2 + 1 + 2 + 1
