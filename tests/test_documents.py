@@ -77,3 +77,35 @@ def test_columns(spark):
     df = spark.createDataFrame([(DOC,), (None,)], "doc string").withColumn("s", d.signed(F.col("doc"), PEM, "2026-01-01T00:00:00Z"))
     got = df.select("s", d.verified(F.col("s"), KEY).alias("v")).collect()
     assert got[0].v.ok and got[1].s is None and not got[1].v.ok
+
+
+def test_known_keys_are_not_doubled_again(monkeypatch):
+    """A key that comes a second time is laid in as multiples; from then on a signature costs additions only."""
+    doubled = []
+    twice = ed25519._twice
+    monkeypatch.setattr(ed25519, "_twice", lambda p: doubled.append(p) or twice(p))
+    key, signature = ed25519.public_of(SEED), ed25519.sign(SEED, b"m")
+    assert all(ed25519.verify(key, b"m", signature) for _ in range(2))
+    doubled.clear()
+    assert ed25519.verify(key, b"m", signature) and not ed25519.verify(key, b"n", signature) and not doubled
+
+
+def test_blocks_are_read_alike_by_both_parsers():
+    import yaml
+
+    for text in ("a: 1\nb: [x, 2026-01-01]\nc: {d: 'e', f: 1_000}\n", "t: \U0001f600 é\nu: 0o17\nv: yes\n", "a: 1\na: 2\n", "a: [\n", "~: 2﻿!\t`0\\\n", "k: é\t&|x\n"):
+        made = []
+        for loader in (d._Loader, None):
+            try:
+                made.append(yaml.load(text, loader) if loader else d._loaded(text))
+            except yaml.YAMLError:
+                made.append("refused")
+        assert made[0] == made[1]
+
+
+def test_documents_are_signed_once(spark):
+    rows = spark.createDataFrame([("---\na: 1\n---\n\nb\n",)], "t string").withColumn("d", d.signed(F.col("t"), PEM))
+    made = rows.select(*(d.verified(c, KEY)["ok"].alias(n) for n, c in (("good", F.col("d")), ("same", F.col("d")), ("changed", F.concat("d", F.lit("x"))))))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "run(run(" not in plan
+    assert tuple(made.first()) == (True, True, False)
